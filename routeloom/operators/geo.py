@@ -17,9 +17,8 @@ def combine_providers(city_rows: DataFrame, network_rows: DataFrame) -> DataFram
 
     Where the delimited source has rows, it replaces the network table for CN in IPv4.
     """
-    have = city_rows.limit(1).agg((F.count(F.lit(1)) > 0).alias("have"))  # one row
-    net = (network_rows.crossJoin(F.broadcast(have))
-           .where(~(F.col("have") & (F.col("cc") == "CN") & (F.col("family") == 4))).drop("have"))
+    have = city_rows.limit(1).agg(F.count(F.lit(1)) > 0).scalar()
+    net = network_rows.where(~(have & (F.col("cc") == "CN") & (F.col("family") == 4)))
     cols = ["family", "ip_start", "ip_end", *PLACE]
     both = (city_rows.select(*cols).withColumn("provider", F.lit("ipdb"))
             .unionByName(net.select(*cols).withColumn("provider", F.lit("geolite"))))
