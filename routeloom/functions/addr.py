@@ -29,6 +29,11 @@ def _as_col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _shl(value, bits) -> Column:
     return F.call_function("shiftleft", value, bits)
 
@@ -106,9 +111,10 @@ def wide(hi_bits, lo_bits) -> Column:
 
 
 def wide_from_hex(hex32) -> Column:
-    h = _as_col(hex32)
-    half = lambda p: F.conv(F.substring(h, p, 16), 16, -10).cast("bigint")
-    return F.when(h.isNotNull(), wide(half(1), half(17)))
+    def build(h):
+        half = lambda p: F.conv(F.substring(h, p, 16), 16, -10).cast("bigint")
+        return F.when(h.isNotNull(), wide(half(1), half(17)))
+    return let(_as_col(hex32), build)
 
 
 def wide_hex(point) -> Column:
@@ -127,41 +133,52 @@ def v4_from_wide(point) -> Column:
     return _as_col(point)["lo"].bitwiseXOR(F.lit(SIGN))
 
 
-def _v6_groups(t: Column) -> Column:
+def _v6_groups(text: Column) -> Column:
     """Eight hex groups of lower-case IPv6 text, or NULL."""
-    first = F.instr(t, "::")
-    last = F.length(t) - F.instr(F.reverse(t), "::")
-    listed = lambda s: F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, ":"))
-    head = listed(F.split_part(t, F.lit("::"), F.lit(1)))
-    tail = listed(F.split_part(t, F.lit("::"), F.lit(2)))
-    gap = F.lit(8) - F.size(head) - F.size(tail)
-    groups = (F.when(first == 0, F.split(t, ":"))
-              .when((first == last) & (gap >= 0), F.concat(head, F.array_repeat(F.lit("0"), gap), tail)))
-    return F.when((F.size(groups) == 8) & F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$")), groups)
+    listed = lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, ":"))
+
+    def expand(t):
+        first = F.instr(t, "::")
+        last = F.length(t) - F.instr(F.reverse(t), "::")
+        halves = F.array(*[listed(F.split_part(t, F.lit("::"), F.lit(i))) for i in (1, 2)])
+
+        def fill(h):
+            gap = F.lit(8) - F.size(F.get(h, F.lit(0))) - F.size(F.get(h, F.lit(1)))
+            return F.when(gap >= 0, F.concat(F.get(h, F.lit(0)), F.array_repeat(F.lit("0"), gap), F.get(h, F.lit(1))))
+
+        return F.when(first == 0, F.split(t, ":")).when(first == last, let(halves, fill))
+
+    valid = lambda g: F.when((F.size(g) == 8) & F.forall(g, lambda x: x.rlike("^[0-9a-f]{1,4}$")), g)
+    return let(let(text, expand), valid)
 
 
 def _groups_hex(groups: Column) -> Column:
-    return F.concat(*[F.lpad(F.get(groups, F.lit(i)), 4, "0") for i in range(8)])
+    return F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), "")
 
 
 def v6_point(text) -> Column:
     """IPv6 text (one ``::`` at most, no embedded IPv4) to the ordered form; NULL when malformed."""
-    t = F.lower(F.trim(_as_col(text)))
-    ok = t.rlike("^[0-9a-f:]+$") & F.contains(t, F.lit(":"))
-    return F.when(ok, wide_from_hex(_groups_hex(_v6_groups(t))))
+    def parse(t):
+        ok = t.rlike("^[0-9a-f:]+$") & F.contains(t, F.lit(":"))
+        return F.when(ok, wide_from_hex(_groups_hex(_v6_groups(t))))
+    return let(F.lower(F.trim(_as_col(text))), parse)
 
 
 def v6_range(text) -> Column:
     """IPv6 address or CIDR to ``struct(start, end, plen, is_cidr)``; NULL when malformed."""
-    t = F.trim(_as_col(text))
-    ok = t.rlike(r"^[0-9a-fA-F:]+(/\d{1,3})?$")
-    base = v6_point(F.split_part(t, F.lit("/"), F.lit(1)))
-    cidr = F.contains(t, F.lit("/"))
-    plen = F.when(cidr, F.split_part(t, F.lit("/"), F.lit(2)).try_cast("int")).otherwise(F.lit(128))
-    good = ok & base.isNotNull() & (plen <= 128)
-    return F.when(good, F.struct(
-        WIDE.mask(base, plen).alias("start"), WIDE.last(base, plen).alias("end"),
-        plen.alias("plen"), cidr.alias("is_cidr")))
+    def parse(t):
+        cidr = F.contains(t, F.lit("/"))
+        plen = F.when(cidr, F.split_part(t, F.lit("/"), F.lit(2)).try_cast("int")).otherwise(F.lit(128))
+        base = F.when(t.rlike(r"^[0-9a-fA-F:]+(/\d{1,3})?$"), v6_point(F.split_part(t, F.lit("/"), F.lit(1))))
+
+        def build(x):
+            b, n = x["b"], x["n"]
+            return F.when(b.isNotNull() & (n <= 128), F.struct(
+                WIDE.mask(b, n).alias("start"), WIDE.last(b, n).alias("end"), n.alias("plen"), x["c"].alias("is_cidr")))
+
+        return let(F.struct(base.alias("b"), plen.alias("n"), cidr.alias("c")), build)
+
+    return let(F.trim(_as_col(text)), parse)
 
 
 def _ones_above(bits: Column) -> Column:
@@ -241,18 +258,26 @@ def family_width(family) -> Column:
 
 def wide_text(point) -> Column:
     """RFC 5952 text: lower case, no leading zeros, the first longest run of two or more zero groups cut."""
-    h = wide_hex(point)
-    groups = [F.regexp_replace(F.substring(h, 1 + 4 * i, 4), "^0{1,3}", "") for i in range(8)]
-    zeros = F.concat(*[F.when(g == "0", F.lit("z")).otherwise(F.lit("-")) for g in groups])
-    runs = [F.when(F.instr(zeros, "z" * n) > 0, F.struct(F.instr(zeros, "z" * n).alias("at"), F.lit(n).alias("n")))
-            for n in range(8, 1, -1)]
-    run = F.coalesce(*runs)
-    arr = F.array(*groups)
-    at, n = run["at"], run["n"]
-    short = F.concat(F.array_join(F.slice(arr, F.lit(1), at - 1), ":"), F.lit("::"),
-                     F.array_join(F.slice(arr, at + n, F.greatest(F.lit(0), F.lit(9) - at - n)), ":"))
-    # slice() wants a start of at least 1, so the empty tail is asked for at position 1..8 only.
-    return F.when(run.isNull(), F.array_join(arr, ":")).otherwise(short)
+    def shorten(g):
+        zeros = F.array_join(F.transform(g, lambda x: F.when(x == "0", "z").otherwise("-")), "")
+
+        def cut(z):
+            runs = [F.when(F.instr(z, "z" * n) > 0, F.struct(F.instr(z, "z" * n).alias("at"), F.lit(n).alias("n"))) for n in range(8, 1, -1)]
+            return F.coalesce(*runs)
+
+        def write(r):
+            at, n = r["at"], r["n"]
+            head = F.array_join(F.slice(g, F.lit(1), at - 1), ":")
+            tail = F.array_join(F.slice(g, at + n, F.greatest(F.lit(0), F.lit(9) - at - n)), ":")
+            return F.when(r.isNull(), F.array_join(g, ":")).otherwise(F.concat(head, F.lit("::"), tail))
+
+        return let(let(zeros, cut), write)
+
+    def groups(h):
+        return F.array(*[F.regexp_replace(F.substring(h, 1 + 4 * i, 4), "^0{1,3}", "") for i in range(8)])
+
+    p = _as_col(point)
+    return F.when(p.isNotNull(), let(let(wide_hex(p), groups), shorten))
 
 
 def canonical_v4(text) -> Column:
@@ -260,47 +285,54 @@ def canonical_v4(text) -> Column:
     return F.coalesce(v4_text(v4_int(text)), _as_col(text))
 
 
-def _embedded_v4(t: Column) -> Column:
+def _embedded_v4(text: Column) -> Column:
     """Rewrite a trailing dotted quad as two hex groups; NULL when the quad is bad."""
-    quad = F.regexp_extract(t, r"([^:]*\.[^:]*)$", 1)
-    number = v4_int(quad)
-    word = lambda shift: F.lower(F.hex(F.shiftright(number, shift).bitwiseAND(65535)))
-    swapped = F.concat(F.substring(t, F.lit(1), F.length(t) - F.length(quad)), word(16), F.lit(":"), word(0))
-    return F.when(quad == "", t).otherwise(swapped)
+    def rewrite(t):
+        quad = F.regexp_extract(t, r"([^:]*\.[^:]*)$", 1)
+
+        def words(n):
+            word = lambda shift: F.lower(F.hex(F.shiftright(n, shift).bitwiseAND(65535)))
+            return F.concat(word(16), F.lit(":"), word(0))
+
+        head = F.substring(t, F.lit(1), F.length(t) - F.length(quad))
+        return F.when(quad == "", t).otherwise(F.concat(head, let(v4_int(quad), words)))
+    return let(text, rewrite)
 
 
 def canonical_v6(text) -> Column:
     """RFC 5952 text of an IPv6 address in any spelling; anything else unchanged."""
     raw = _as_col(text)
     t = F.regexp_replace(F.regexp_replace(F.lower(F.trim(raw)), r"^\[|\]$", ""), "%.*$", "")
-    t = _embedded_v4(t)
-    # Groups may carry extra leading zeros here; an inner "::" must stand for at least one group.
-    t = F.regexp_replace(t, "(^|:)0+([0-9a-f]{1,4})(?=:|$)", "$1$2")
-    groups = _v6_groups(t)
-    full = F.when(F.contains(t, F.lit("::")) & (F.size(F.array_remove(F.split(t, ":"), "")) >= 8), F.lit(None)).otherwise(groups)
-    return F.coalesce(wide_text(wide_from_hex(_groups_hex(full))), raw)
+    # Groups may carry extra leading zeros here; "::" must stand for at least one group.
+    t = F.regexp_replace(_embedded_v4(t), "(^|:)0+([0-9a-f]{1,4})(?=:|$)", "$1$2")
+
+    def read(x):
+        full = F.contains(x, F.lit("::")) & (F.size(F.array_remove(F.split(x, ":"), "")) >= 8)
+        return F.when(~full, wide_text(wide_from_hex(_groups_hex(_v6_groups(x)))))
+
+    return F.coalesce(let(t, read), raw)
 
 
 def normalize_ip(text) -> Column:
-    t = _as_col(text)
-    return F.when(F.contains(t, F.lit(":")), canonical_v6(t)).otherwise(canonical_v4(t))
+    return let(_as_col(text), lambda t: F.when(F.contains(t, F.lit(":")), canonical_v6(t)).otherwise(canonical_v4(t)))
 
 
 def is_private(text) -> Column:
     """Private, loopback, link-local, shared or malformed address text."""
-    t = _as_col(text)
-    low = F.lower(t)
-    v6 = (low == "::1") | low.rlike("^(fe[89ab]|f[cd])")
-    octet = lambda i: F.split_part(t, F.lit("."), F.lit(i))
-    nums = [F.when(F.trim(octet(i)) == "", F.lit(0.0)).otherwise(octet(i).try_cast("double")) for i in (1, 2, 3, 4)]
-    bad = F.size(F.split(t, r"\.")) != 4
-    for n in nums:
-        bad = bad | n.isNull()
-    a, b = nums[0], nums[1]
-    v4 = (bad | a.isin(0, 10, 127) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168))
-          | ((a == 169) & (b == 254)) | ((a == 100) & b.between(64, 127)))
-    return F.coalesce(F.when(F.coalesce(t, F.lit("")) == "", F.lit(True))
-                      .when(F.contains(t, F.lit(":")), v6).otherwise(v4), F.lit(True))
+    def four(octets):
+        # An empty octet reads as zero.
+        a, b = F.get(octets, F.lit(0)), F.get(octets, F.lit(1))
+        bad = (F.size(octets) != 4) | F.exists(octets, lambda o: o.isNull())
+        return (bad | a.isin(0, 10, 127) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168))
+                | ((a == 169) & (b == 254)) | ((a == 100) & b.between(64, 127)))
+
+    def test(t):
+        octets = F.transform(F.split(t, r"\."), lambda o: F.when(F.trim(o) == "", F.lit(0.0)).otherwise(o.try_cast("double")))
+        six = F.lower(t).rlike("^(?:::1$|fe[89ab]|f[cd])")
+        return (F.when(F.coalesce(t, F.lit("")) == "", F.lit(True))
+                .when(F.contains(t, F.lit(":")), six).otherwise(let(octets, four)))
+
+    return F.coalesce(let(_as_col(text), test), F.lit(True))
 
 
 def cidr_bounds(text) -> Column:
@@ -308,20 +340,28 @@ def cidr_bounds(text) -> Column:
 
     Host bits are cleared; a bare address is a full-length network; NULL when malformed.
     """
-    t = F.lower(F.trim(_as_col(text)))
-    addr, tail = F.split_part(t, F.lit("/"), F.lit(1)), F.split_part(t, F.lit("/"), F.lit(2))
-    slash = F.contains(t, F.lit("/"))
-    v6 = F.contains(addr, F.lit(":"))
-    four = F.when(addr.rlike(r"^(0|[1-9]\d{0,2})(\.(0|[1-9]\d{0,2})){3}$"), wide_from_v4(v4_int(addr)))
-    hexed = _embedded_v4(addr)
-    six = F.when(hexed.rlike("^[0-9a-f:]+$"), wide_from_hex(_groups_hex(_v6_groups(hexed))))
-    base = F.when(v6, six).otherwise(four)
-    family = F.when(v6, F.lit(6)).otherwise(F.lit(4))
-    plen = F.when(~slash, family_width(family)).otherwise(F.when(tail.rlike(r"^\d{1,3}$"), tail.try_cast("int")))
-    good = base.isNotNull() & (plen <= family_width(family))
-    return F.when(good, F.struct(family.alias("family"), plen.alias("plen"),
-                                 WIDE.mask(base, plen, family).alias("ip_start"),
-                                 WIDE.last(base, plen, family).alias("ip_end")))
+    def parse(t):
+        tail = F.split_part(t, F.lit("/"), F.lit(2))
+
+        def address(a):
+            four = F.when(a.rlike(r"^(0|[1-9]\d{0,2})(\.(0|[1-9]\d{0,2})){3}$"), wide_from_v4(v4_int(a)))
+            six = let(_embedded_v4(a), lambda h: F.when(h.rlike("^[0-9a-f:]+$"), wide_from_hex(_groups_hex(_v6_groups(h)))))
+            v6 = F.contains(a, F.lit(":"))
+            return F.struct(F.when(v6, 6).otherwise(4).alias("f"), F.when(v6, six).otherwise(four).alias("p"))
+
+        def build(x):
+            f, p = x["f"], x["p"]
+            plen = F.when(~F.contains(t, F.lit("/")), family_width(f)).otherwise(F.when(tail.rlike(r"^\d{1,3}$"), tail.try_cast("int")))
+
+            def write(n):
+                return F.when(p.isNotNull() & (n <= family_width(f)), F.struct(
+                    f.alias("family"), n.alias("plen"), WIDE.mask(p, n, f).alias("ip_start"), WIDE.last(p, n, f).alias("ip_end")))
+
+            return let(plen, write)
+
+        return let(let(F.split_part(t, F.lit("/"), F.lit(1)), address), build)
+
+    return let(F.lower(F.trim(_as_col(text))), parse)
 
 
 def network_text(family, point, plen) -> Column:

@@ -47,15 +47,13 @@ def effective_ranges(prefixes: DataFrame) -> DataFrame:
 def _sweep(left: DataFrame, right: DataFrame, left_keep: list[str], right_keep: list[str]) -> DataFrame:
     """Elementary pieces of two disjoint interval sets with the open interval of either side."""
     axis = addr.axis_of(left)
+    bodies = {"l": (left, _struct(["ip_start", "ip_end", *left_keep])), "r": (right, _struct(["ip_start", "ip_end", *right_keep]))}
+    kinds = {side: df.select(b.alias("b")).schema["b"].dataType.simpleString() for side, (df, b) in bodies.items()}
     sides = []
-    for me, other, df, keep in (("l", "r", left, left_keep), ("r", "l", right, right_keep)):
-        body = _struct(["ip_start", "ip_end", *keep])
-        kind = df.select(body.alias("b")).schema["b"].dataType.simpleString()
-        okind = (right if me == "l" else left).select(
-            _struct(["ip_start", "ip_end", *(right_keep if me == "l" else left_keep)]).alias("b")
-        ).schema["b"].dataType.simpleString()
-        state = lambda open_, b: F.struct(F.lit(open_).alias("open"), b.cast(kind).alias("iv"))
-        none = F.lit(None).cast(f"struct<open:boolean,iv:{okind}>")
+    for me, other in (("l", "r"), ("r", "l")):
+        df, body = bodies[me]
+        state = lambda open_, iv: F.struct(F.lit(open_).alias("open"), iv.cast(kinds[me]).alias("iv"))
+        none = F.lit(None).cast(f"struct<open:boolean,iv:{kinds[other]}>")
         opened = df.select("family", F.col("ip_start").alias("point"), state(True, body).alias(me), none.alias(other))
         closed = df.select("family", axis.succ(F.col("ip_end")).alias("point"), state(False, F.lit(None)).alias(me),
                            none.alias(other)).where(F.col("point").isNotNull())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,10 +46,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it back from there.
+    """Write ``df`` as a table below the checkpoint folder and read it back from there.
 
-    Needed wherever a value is only stable once computed (range-partition numbers) or a loop would grow
-    its lineage. The copy survives the loss of any executor.
+    Needed wherever a value is only stable once computed (range-partition numbers), where one result feeds
+    several consumers, or where a loop would grow its lineage. The copy is columnar, so readers prune it,
+    and it survives the loss of any executor.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
