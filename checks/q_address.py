@@ -171,9 +171,8 @@ def overlap_join(spark, sf):
     return I.overlap_join(I.effective_ranges(p), base.geo(spark, sf), ["pid"], ["cc", "province", "city"]).select("pid", "ip_start", "ip_end", "cc", "province", "city")
 
 
-@query("""WITH c AS (SELECT r.pid, r.s, r.e, (SELECT count(*) FROM geo g WHERE g.s >= r.s AND g.s <= r.e) AS n FROM eff r)
-  SELECT p.pid, p.s AS ip_start, p.e AS ip_end, p.cc, p.province, p.city FROM pieces p JOIN c ON c.pid = p.pid AND p.s BETWEEN c.s AND c.e WHERE c.n <= 1
-  UNION ALL SELECT c.pid, c.s, c.e, g.cc, NULL, NULL FROM c JOIN geo g ON g.s <= c.s AND g.e >= c.s WHERE c.n > 1""")
+@query("""SELECT p.pid, p.s AS ip_start, p.e AS ip_end, p.cc, p.province, p.city FROM pieces p JOIN eff_busy c ON c.pid = p.pid AND p.s BETWEEN c.s AND c.e WHERE c.n <= 1
+  UNION ALL SELECT c.pid, c.s, c.e, g.cc, NULL, NULL FROM eff_busy c JOIN geo g ON g.s <= c.s AND g.e >= c.s WHERE c.n > 1""")
 def carved_ranges(spark, sf):
     """Ranges in which more than one geo interval starts stay whole."""
     p = base.prefixes(spark, sf)

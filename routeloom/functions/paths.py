@@ -129,7 +129,8 @@ class PathPattern:
         arr = _as_col(padded_paths)
         cond = F.lit(True)
         for asn in self.exclude:
-            cond = cond & F.forall(arr, lambda p, a=asn: ~F.contains(p, F.lit(f" {a} ")))
+            word = F.lit(f" {asn} ")
+            cond = cond & ~F.exists(arr, lambda p: F.contains(p, word))
         return cond
 
     def accepts(self, padded_paths) -> Column:
