@@ -41,7 +41,7 @@ def asn_owners(objects: DataFrame) -> DataFrame:
     """(asn, as_name, person): the contact if it is a known person, else the maintainer's contact."""
     known = persons(objects).select("person", F.lit(True).alias("ok"))
     nets = (of_type(objects, "aut-num").where(F.col("name").rlike(r"^AS\d+$"))
-            .select(F.substring("name", F.lit(3), F.length("name")).cast("bigint").alias("asn"), first_of("as-name").alias("as_name"),
+            .select(F.substring("name", F.lit(3), F.length("name")).try_cast("bigint").alias("asn"), first_of("as-name").alias("as_name"),
                     responsible().alias("c1"), first_of("mnt-by").alias("mnt")))
     mnt = of_type(objects, "mntner").select(F.col("name").alias("mnt"), responsible().alias("c2"))
     j = (nets.join(known.select(F.col("person").alias("c1"), F.col("ok").alias("ok1")), "c1", "left")

@@ -59,20 +59,24 @@ def attributes(text, file: bool = False) -> Column:
     plus = r"^[ \t]*\+*[ \t]*" if file else r"^[ \t]+"
 
     def pair(line):
-        key = F.lower(F.trim(F.regexp_extract(line, r"^([^:]*):", 1)))
+        key = F.lower(_strip(F.regexp_extract(line, r"^([^:]*):", 1)))
         parts = F.split(F.substring(line, F.instr(line, ":") + 1, F.length(line)), _JOIN)
-        clean = F.transform(parts, lambda p, i: F.when(i == 0, F.trim(p)).otherwise(F.trim(F.regexp_replace(p, plus, ""))))
+        clean = F.transform(parts, lambda p, i: F.when(i == 0, _strip(p)).otherwise(_strip(F.regexp_replace(p, plus, ""))))
         return F.struct(key.alias("key"), F.array_join(F.filter(clean, lambda p: p != ""), " ").alias("value"))
 
     return F.transform(lines, pair)
 
 
+def _strip(value: Column) -> Column:
+    return F.regexp_replace(value, r"^\s+|\s+$", "")
+
+
 def _bare(value: Column) -> Column:
-    return F.trim(F.split_part(value, F.lit("#"), F.lit(1)))
+    return _strip(F.split_part(value, F.lit("#"), F.lit(1)))
 
 
 def asn_number(text: Column) -> Column:
-    return F.regexp_extract(F.upper(F.trim(text)), r"^(?:AS)?(\d+)$", 1).try_cast("bigint")
+    return F.regexp_extract(F.upper(_strip(text)), r"^(?:AS)?(\d+)$", 1).try_cast("bigint")
 
 
 def _source(default: Column) -> Column:

@@ -97,7 +97,7 @@ def read_asn_registry(spark: SparkSession, path: str) -> DataFrame:
 
 def asn_registry_rows(raw: DataFrame) -> DataFrame:
     text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
-    return raw.where(F.trim("asn").rlike(r"^\d+$")).select(F.trim("asn").cast("bigint").alias("asn"), text("name").alias("name"),
+    return raw.where(F.trim("asn").rlike(r"^\d+$")).select(F.trim("asn").try_cast("bigint").alias("asn"), text("name").alias("name"),
                                                             F.nullif(text("name_en"), F.lit("")).alias("name_en"), text("op").alias("op"))
 
 
