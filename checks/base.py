@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from routeloom.operators import adjacency, geo as G, rib, search, validation
 
+from routeloom.session import durable
+
 from . import fixtures as fx
 
 
@@ -14,12 +16,13 @@ def merged(spark, sf):
 
 
 def prefixes(spark, sf):
-    return rib.with_pids(rib.prefix_dimension(merged(spark, sf)))
+    return durable(rib.with_pids(rib.prefix_dimension(merged(spark, sf))))
 
 
 def with_ids(spark, sf):
-    m = merged(spark, sf)
-    p = rib.with_pids(rib.prefix_dimension(m))
+    # The merged table feeds both the prefix table and the paths; it is computed from the entries once.
+    m = durable(merged(spark, sf))
+    p = durable(rib.with_pids(rib.prefix_dimension(m)))
     return p, rib.attach_pids(m, p)
 
 
@@ -56,4 +59,4 @@ def adj(spark, sf):
 
 def joined(c, sep=","):
     """Array column as text."""
-    return F.array_join(F.transform(c, lambda x: x.cast("string")), sep)
+    return F.array_join(F.col(c).cast("array<string>") if isinstance(c, str) else c.cast("array<string>"), sep)

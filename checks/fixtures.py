@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from routeloom.functions import addr
 from routeloom.functions.fixed import TIER1
+from routeloom.session import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -50,7 +51,7 @@ def entries(spark, sf) -> DataFrame:
                    F.when(sk % 7 != 0, F.get(tier, (sk % 24).cast("int"))),
                    F.when(sk % 3 == 0, F.get(tier, ((sk * 5) % 24).cast("int"))),
                    (F.lit(30000) + sk % 20).cast("bigint"), o, o)
-    li = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    li = spread(table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", "l_quantity"))
     return (li.join(blocks(spark, sf), li.l_partkey == F.col("k"))
             .select(F.when(ln % 2 == 1, "rrc01").otherwise("rrc06").alias("collector"), "family", "prefix", "plen",
                     "ip_start", "ip_end", (F.lit(64500) + ln).cast("bigint").alias("peer_asn"),

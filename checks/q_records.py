@@ -320,8 +320,8 @@ def bootstrap_by_asn(spark, sf):
 def bootstrap_by_ip(spark, sf):
     k = F.col("page_id")
     ips = fx.table(spark, sf, "pages").select(addr.v4_text((F.lit(10) + k % 3) * 16777216 + ((k * 2053) % 65536) * 256 + 9).alias("ip"))
-    n = F.col("n_nationkey").cast("string")
-    services = fx.table(spark, sf, "nation").where(F.col("n_nationkey") < 12).select(F.concat(n, F.lit(".0.0.0/8")).alias("cidr"), F.array(F.concat(F.lit("http://x"), n)).alias("urls"))
+    n = (F.col("n_nationkey") + F.when(F.col("n_nationkey") < 12, 0).otherwise(100)).cast("string")
+    services = fx.table(spark, sf, "nation").select(F.concat(n, F.lit(".0.0.0/8")).alias("cidr"), F.array(F.concat(F.lit("http://x"), n)).alias("urls"))
     return M.bootstrap_for_ip(ips, services)
 
 

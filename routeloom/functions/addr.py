@@ -53,7 +53,9 @@ def v4_int(text) -> Column:
 def v4_text(number) -> Column:
     """Number to dotted quad."""
     n = _as_col(number)
-    return F.concat_ws(".", *[F.shiftright(n, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)])
+    dot = F.lit(".")
+    octets = [F.shiftright(n, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)]
+    return F.concat(octets[0], dot, octets[1], dot, octets[2], dot, octets[3])  # NULL stays NULL
 
 
 def v4_size(plen) -> Column:

@@ -26,7 +26,7 @@ def clean_path(asns) -> Column:
 
 
 def path_key(asns) -> Column:
-    return F.array_join(F.transform(_as_col(asns), lambda x: x.cast("string")), " ")
+    return F.array_join(_as_col(asns).cast("array<string>"), " ")
 
 
 def padded(path_text) -> Column:

@@ -45,8 +45,8 @@ class DeltaFeed:
     A batch that is replayed finds its serial committed and changes nothing.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, limit: int = MAX_DELTA):
+        self.spark, self.folder, self.limit = spark, folder.rstrip("/"), limit
 
     def _commits(self) -> DataFrame | None:
         try:
@@ -78,9 +78,10 @@ class DeltaFeed:
         span = ops.agg(F.min("serial").alias("lo"), F.max("serial").alias("hi")).first()
         if span["hi"] is None:
             return False
-        if not can_apply(have, span["lo"] - 1, span["hi"]) or span["lo"] > have + 1:
+        if not can_apply(have, span["lo"] - 1, span["hi"], self.limit):
             raise RuntimeError(f"feed starts at {span['lo']}, state is at {have}: load the full dump")
-        self.publish(apply_delta(self.state(have), ops, order="serial"), span["hi"])
+        placed = ops.withColumn("at", F.struct("serial", "ord"))
+        self.publish(apply_delta(self.state(have), placed, order="at"), span["hi"])
         return True
 
     def stream(self, source: str, checkpoint: str):
