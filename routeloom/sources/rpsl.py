@@ -34,9 +34,14 @@ def split_objects(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """A directory of one-object files to (type, name, attrs); the file name is the key."""
-    raw = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_name").alias("name"))
-    return raw.select(F.lit(kind).alias("type"), F.url_decode(F.regexp_replace("name", r"\+", "%2B")).alias("name"),
+    """A directory of one-object files to (type, name, attrs); the file name is the key.
+
+    Hadoop paths cannot hold colons, so names of IPv6 objects are expected percent-encoded.
+    """
+    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("name"))
+    plain = lambda c: F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+    # Spark reports the name percent-encoded once more.
+    return raw.select(F.lit(kind).alias("type"), plain(plain(F.col("name"))).alias("name"),
                       attributes("value", file=True).alias("attrs"))
 
 

@@ -15,7 +15,7 @@ NETWORK_SCHEMA = ("network string, country_iso string, registered_iso string, su
 # ---------------------------------------------------------------- origin payloads
 
 def read_roas(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return roa_rows(raw.select(F.col("value").alias("json")))
 
 
@@ -105,7 +105,7 @@ def asn_registry_rows(raw: DataFrame) -> DataFrame:
 
 def read_json_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One JSON document per file: (name, json)."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("json"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("json"))
 
 
 def read_rdap(spark: SparkSession, path: str | list[str], kind: str) -> DataFrame:

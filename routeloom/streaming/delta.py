@@ -86,6 +86,6 @@ class DeltaFeed:
 
     def stream(self, source: str, checkpoint: str):
         """Start applying feed files as they appear; ends when none is left."""
-        texts = self.spark.readStream.option("wholetext", True).text(source).select(F.col("value").alias("text"))
+        texts = self.spark.readStream.text(source, wholetext=True).select(F.col("value").alias("text"))
         return (texts.writeStream.foreachBatch(lambda df, i: self.apply_batch(df, i)).option("checkpointLocation", checkpoint)
                 .trigger(availableNow=True).start())
