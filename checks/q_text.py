@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from routeloom.functions import addr, text as X
 from routeloom.functions.fixed import CENTROIDS, SECOND_LEVEL, TIER1_PLACES
 from routeloom.operators import assets as AS, geo as G, measure as M
+from routeloom.session import durable
 from routeloom.sources import rpsl, tables
 from routeloom.streaming import delta as D
 
@@ -104,39 +105,36 @@ def place_slugs(spark, sf):
 
 # ---------------------------------------------------------------- as-sets
 
-cte("set_obj", """SELECT name, source, ord, unnest(mem) AS m, generate_subscripts(mem, 1) - 1 AS pos FROM (
-  SELECT 'AS-R' || r_regionkey AS name, 'RIPE' AS source, r_regionkey AS ord, list('AS-N' || n_nationkey ORDER BY n_nationkey) AS mem FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey
-  UNION ALL SELECT 'AS-N' || n_nationkey, 'RIPE', 100 + n_nationkey, list_concat(list_concat(coalesce(s.l, []), CASE WHEN n_nationkey%5=0 THEN ['AS-R' || n_regionkey] ELSE [] END),
-    CASE WHEN n_nationkey%4=0 THEN ['AS-U' || n_nationkey] ELSE [] END) FROM nation LEFT JOIN (SELECT s_nationkey, list('AS' || (65000+s_suppkey) ORDER BY s_suppkey) AS l FROM supplier GROUP BY s_nationkey) s ON s.s_nationkey = n_nationkey)""")
-cte("set_edge", """SELECT source || '::' || name AS set_key, pos AS ord, CASE WHEN regexp_full_match(m, 'AS[0-9]+') THEN 'asn' ELSE 'set' END AS kind,
-  CASE WHEN regexp_full_match(m, 'AS[0-9]+') OR m LIKE 'AS-U%' THEN m ELSE 'RIPE::' || m END AS val FROM set_obj""")
-cte("set_dim", """SELECT 'RIPE::AS-R' || r_regionkey AS set_key, 'RIPE' AS source, 'AS-R' || r_regionkey AS name, r_name AS descr, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS n_members FROM region
-  UNION ALL SELECT 'RIPE::AS-N' || n_nationkey, 'RIPE', 'AS-N' || n_nationkey, n_name, (SELECT count(*) FROM set_edge e WHERE e.set_key = 'RIPE::AS-N' || n_nationkey) FROM nation
-  UNION ALL SELECT 'RADB::AS-N' || n_nationkey, 'RADB', 'AS-N' || n_nationkey, 'shell', 0 FROM nation""")
+cte("set_obj", """SELECT name, ord, unnest(mem) AS m, generate_subscripts(mem, 1) - 1 AS pos FROM (
+  SELECT 'AS-R' || r_regionkey AS name, r_regionkey AS ord, ['AS-S' || r_regionkey] AS mem FROM region
+  UNION ALL SELECT 'AS-S' || s_suppkey, 100 + s_suppkey, list_filter(['AS' || (65000 + s_suppkey), 'AS-S' || (2*s_suppkey+1), 'AS-S' || (2*s_suppkey+2),
+    CASE WHEN s_suppkey%5=0 THEN 'AS-S' || CAST(floor((s_suppkey+1)/2) - 1 AS BIGINT) END, CASE WHEN s_suppkey%4=0 THEN 'AS-U' || s_suppkey END], lambda x: x IS NOT NULL) FROM supplier)""")
+cte("set_edge", """SELECT 'RIPE::' || o.name AS set_key, o.pos AS ord, CASE WHEN regexp_full_match(o.m, 'AS[0-9]+') THEN 'asn' ELSE 'set' END AS kind,
+  CASE WHEN k.name IS NULL THEN o.m ELSE 'RIPE::' || o.m END AS val FROM set_obj o LEFT JOIN (SELECT DISTINCT name FROM set_obj) k ON k.name = o.m""")
+cte("set_dim", """SELECT 'RIPE::AS-R' || r_regionkey AS set_key, 'RIPE' AS source, 'AS-R' || r_regionkey AS name, r_name AS descr, 1 AS n_members FROM region
+  UNION ALL SELECT 'RIPE::AS-S' || s_suppkey, 'RIPE', 'AS-S' || s_suppkey, s_name, 3 + (s_suppkey%5=0)::INT + (s_suppkey%4=0)::INT FROM supplier
+  UNION ALL SELECT 'RADB::AS-S' || s_suppkey, 'RADB', 'AS-S' || s_suppkey, 'shell', 0 FROM supplier""")
 cte("set_tree", """SELECT set_key AS root, 0 AS depth, CAST([] AS VARCHAR[]) AS trail, 'set' AS kind, set_key AS val, FALSE AS cyc FROM set_dim WHERE name LIKE 'AS-R%'
   UNION ALL SELECT t.root, t.depth + 1, list_append(t.trail, t.val), e.kind, e.val, e.kind = 'set' AND list_contains(list_append(t.trail, t.val), e.val)
   FROM set_tree t JOIN set_edge e ON e.set_key = t.val WHERE t.kind = 'set' AND NOT t.cyc AND t.depth < 24""")
 
 
 def set_texts(spark, sf):
-    """Registry dump texts of as-set objects: regions, nations, empty shells of the nations."""
-    n, r, s = (fx.table(spark, sf, t) for t in ("nation", "region", "supplier"))
+    """Registry dump texts of as-set objects: a tree over suppliers below the regions, with steps back up and
+    unknown names, and an empty shell of every supplier set in a second registry."""
+    r, s = fx.table(spark, sf, "region"), fx.table(spark, sf, "supplier")
     line = lambda k, v: F.concat(F.lit(f"{k}:".ljust(12)), v)
-    obj = lambda *ls: F.concat_ws("\n", *ls)
-    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    # Members of one region or nation.
-    in_region = n.groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", key("as-n", "n_nationkey").alias("m")))).alias("l"))
-    regions = r.join(in_region, r.r_regionkey == in_region.n_regionkey).select(
-        F.col("r_regionkey").cast("bigint").alias("ord"), obj(line("as-set", key("AS-R", "r_regionkey")), line("descr", F.col("r_name")),
-        line("members", F.array_join(F.transform("l", lambda x: x["m"]), ", ")), F.lit("% remark"), line("source", F.lit("ripe # primary"))).alias("object"))
-    in_nation = s.groupBy("s_nationkey").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", F.concat(F.lit("AS"), (F.col("s_suppkey") + 65000).cast("string")).alias("m")))).alias("l"))
-    extra = F.array_compact(F.array(F.when(F.col("n_nationkey") % 5 == 0, key("AS-R", "n_regionkey")), F.when(F.col("n_nationkey") % 4 == 0, key("AS-U", "n_nationkey"))))
-    mem = F.concat(F.coalesce(F.transform("l", lambda x: x["m"]), F.array().cast("array<string>")), extra)
-    nations = n.join(in_nation, n.n_nationkey == in_nation.s_nationkey, "left").select(
-        (F.col("n_nationkey") + 100).cast("bigint").alias("ord"), obj(line("as-set", key("as-N", "n_nationkey")), line("descr", F.col("n_name")),
-        line("members", F.array_join(mem, " ,\n+ ")), line("source", F.lit("RIPE"))).alias("object"))
-    shells = n.select((F.col("n_nationkey") + 200).cast("bigint").alias("ord"), obj(line("as-set", key("AS-N", "n_nationkey")), line("descr", F.lit("shell"))).alias("object"))
-    return regions.unionByName(nations).unionByName(shells)
+    key = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    k = F.col("s_suppkey")
+    regions = r.select(F.col("r_regionkey").cast("bigint").alias("ord"), F.concat_ws(
+        "\n", line("as-set", key("AS-R", F.col("r_regionkey"))), line("descr", F.col("r_name")), line("members", key("as-s", F.col("r_regionkey"))),
+        F.lit("% remark"), line("source", F.lit("ripe # primary"))).alias("object"))
+    back = F.when(k % 5 == 0, key("AS-S", (F.floor((k + 1) / 2) - 1).cast("bigint")))
+    mem = F.concat_ws(" ,\n+ ", key("AS", k + 65000), key("as-s", 2 * k + 1), key("AS-S", 2 * k + 2), back, F.when(k % 4 == 0, key("AS-U", k)))
+    tree = s.select((k + 100).alias("ord"), F.concat_ws("\n", line("as-set", key("as-S", k)), line("descr", F.col("s_name")), line("members", mem),
+                                                        line("source", F.lit("RIPE"))).alias("object"))
+    shells = s.select((k + 1_000_000_000).alias("ord"), F.concat_ws("\n", line("as-set", key("AS-S", k)), line("descr", F.lit("shell"))).alias("object"))
+    return regions.unionByName(tree).unionByName(shells)
 
 
 def _sets(spark, sf):
@@ -160,9 +158,9 @@ def as_set_parents(spark, sf):
     return AS.member_of(_sets(spark, sf)["as_memberof"])
 
 
-@query("SELECT ord, kind, val FROM set_edge WHERE set_key = 'RIPE::AS-R2'")
+@query("SELECT ord, kind, val FROM set_edge WHERE set_key = 'RIPE::AS-S20'")
 def as_set_direct_members(spark, sf):
-    return AS.direct_members(_sets(spark, sf)["as_set_member"], "RIPE::AS-R2")
+    return AS.direct_members(_sets(spark, sf)["as_set_member"], "RIPE::AS-S20")
 
 
 @query("""SELECT set_key, name, n_members FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n_members = 0, CASE source WHEN 'RIPE' THEN 0 ELSE 6 END, n_members DESC, source) AS r FROM set_dim) WHERE r = 1""")
@@ -170,21 +168,21 @@ def as_set_preferred(spark, sf):
     return AS.preferred(_sets(spark, sf)["as_set"]).select("set_key", "name", "n_members")
 
 
-@query("SELECT set_key, source, name, descr, n_members FROM set_dim WHERE set_key = 'RIPE::AS-N4'")
+@query("SELECT set_key, source, name, descr, n_members FROM set_dim WHERE set_key = 'RIPE::AS-S4'")
 def as_set_lookup(spark, sf):
-    return AS.lookup(_sets(spark, sf)["as_set"], " as-n4 ")
+    return AS.lookup(_sets(spark, sf)["as_set"], " as-s4 ")
 
 
-@query("SELECT root, depth, array_to_string(trail, '>') AS trail, kind, val, cyc AS cycle, kind = 'set' AND NOT cyc AND val LIKE 'AS-U%' AS unresolved FROM set_tree")
+@query("SELECT root, depth, array_to_string(trail, '>') AS trail, kind, val, cyc AS cycle, kind = 'set' AND NOT cyc AND val NOT LIKE 'RIPE::%' AS unresolved FROM set_tree")
 def as_set_tree(spark, sf):
-    s = {k: v.cache() for k, v in _sets(spark, sf).items()}
+    s = {k: durable(v) for k, v in _sets(spark, sf).items()}
     roots = s["as_set"].where(F.col("name").startswith("AS-R"))
     return AS.expand_tree(s["as_set_member"], s["as_set"], roots).withColumn("trail", F.array_join("trail", ">"))
 
 
 @query("SELECT root, kind, val AS node, min(depth) AS depth FROM set_tree GROUP BY ALL")
 def as_set_cone(spark, sf):
-    s = {k: v.cache() for k, v in _sets(spark, sf).items()}
+    s = {k: durable(v) for k, v in _sets(spark, sf).items()}
     roots = s["as_set"].where(F.col("name").startswith("AS-R"))
     return AS.expand_cone(s["as_set_member"], roots)
 
