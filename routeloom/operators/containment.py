@@ -15,19 +15,21 @@ from ..functions import addr
 def lengths(blocks: DataFrame) -> DataFrame:
     """Distinct (family, length) present; at most 162 rows by the width of the address families."""
     return (blocks.where(F.col("plen").between(0, F.when(F.col("family") == 4, 32).otherwise(128)))
-            .select("family", F.col("plen").alias("b_plen")).distinct())
+            .select("family", "plen").distinct())
 
 
 def candidates(rows: DataFrame, blocks: DataFrame, strict: bool = False) -> DataFrame:
     """Each row with every block (b_plen, b_start) that could cover it.
 
-    ``rows`` needs family, ip_start, plen. ``strict`` leaves out the row's own length.
+    ``rows`` needs family, ip_start, plen. ``strict`` leaves out the row's own length. The lengths come in
+    as one small array, so the expansion is a generator inside the scan's stage and no join.
     """
     axis = addr.axis_of(rows)
-    fits = F.col("b_plen") < F.col("plen") if strict else F.col("b_plen") <= F.col("plen")
-    # lengths() is bounded by the number of prefix lengths, so the broadcast is too.
-    return (rows.join(F.broadcast(lengths(blocks)), "family").where(fits)
-            .withColumn("b_start", axis.mask("ip_start", F.col("b_plen"), "family")))
+    present = lengths(blocks).agg(F.collect_set(F.struct("family", "plen"))).scalar()
+    x = F.col("_x")
+    fits = (x["family"] == F.col("family")) & ((x["plen"] < F.col("plen")) if strict else (x["plen"] <= F.col("plen")))
+    return (rows.withColumn("_x", present).withColumn("_x", F.explode("_x")).where(fits)
+            .withColumn("b_plen", x["plen"]).drop("_x").withColumn("b_start", axis.mask("ip_start", F.col("b_plen"), "family")))
 
 
 def covering(rows: DataFrame, blocks: DataFrame, carry: list[str], strict: bool = False) -> DataFrame:
