@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality
+from . import licenses, quality
 from .common import fold_of, table, texts
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases, labels and score per document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out fold, score and decision per document."""
     docs = table(spark, sf_dir, "documents")
@@ -16,5 +21,5 @@ def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold_of("doc_id") == 0).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_kept").cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op10_quality_ranking,)}
+QUERIES = {f.__name__: f for f in (op4_license_scan, op10_quality_ranking)}
 ORACLES: dict[str, str] = {}
