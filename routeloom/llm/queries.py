@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import licenses, quality
+from . import fingerprint, licenses, pieces, quality
 from .common import fold_of, table, texts
 
 
+def piece_model() -> str:
+    """Path of the public 32k piece vocabulary."""
+    return os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base phrases, labels and score per document."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and whether they decode to it."""
+    return pieces.encode(table(spark, sf_dir, "documents"), pieces.load(spark, piece_model()))
+
+
+def op9_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out fold, score and decision per document."""
     docs = table(spark, sf_dir, "documents")
@@ -21,5 +38,5 @@ def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold_of("doc_id") == 0).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_kept").cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op4_license_scan, op10_quality_ranking)}
+QUERIES = {f.__name__: f for f in (op4_license_scan, op8_sentencepiece, op9_syncmer_fingerprints, op10_quality_ranking)}
 ORACLES: dict[str, str] = {}
