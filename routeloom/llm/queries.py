@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprint, licenses, pieces, quality
+from . import fingerprint, licenses, lines, mixing, pieces, quality
 from .common import fold_of, table, texts
 
 
@@ -15,11 +15,22 @@ def piece_model() -> str:
     return os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each document, lines deleted as aligned with an earlier document, and a digest of what is left."""
+    out = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "line_count", "lines_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base phrases, labels and score per document."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every drawn row: its source, pass, block, the block's place in the pass, and tokens."""
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and whether they decode to it."""
     return pieces.encode(table(spark, sf_dir, "documents"), pieces.load(spark, piece_model()))
@@ -38,5 +49,5 @@ def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold_of("doc_id") == 0).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_kept").cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op4_license_scan, op8_sentencepiece, op9_syncmer_fingerprints, op10_quality_ranking)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_license_scan, op7_temperature_mixing, op8_sentencepiece, op9_syncmer_fingerprints, op10_quality_ranking)}
 ORACLES: dict[str, str] = {}
