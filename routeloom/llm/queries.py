@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprint, licenses, lines, mixing, neighbours, ngram_join, pieces, quality
+from . import fingerprint, licenses, lines, mixing, neighbours, ngram_join, pieces, quality, suffixes
 from .common import fold_of, table, texts
 
 
@@ -21,6 +21,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "line_count", "lines_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that repeat from earlier documents in strings of 50, and a digest of the rest."""
+    out = suffixes.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingles, class and component of near copies of every document."""
     return ngram_join.groups(table(spark, sf_dir, "documents"))
@@ -59,5 +65,5 @@ def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold_of("doc_id") == 0).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_kept").cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_ngram_jaccard, op4_license_scan, op5_multi_index_hashing, op7_temperature_mixing, op8_sentencepiece, op9_syncmer_fingerprints, op10_quality_ranking)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_suffix_dedup, op3_ngram_jaccard, op4_license_scan, op5_multi_index_hashing, op7_temperature_mixing, op8_sentencepiece, op9_syncmer_fingerprints, op10_quality_ranking)}
 ORACLES: dict[str, str] = {}
