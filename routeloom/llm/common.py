@@ -72,6 +72,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_BASE, _WORD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64."""
+    up, down = np.full(n, _BASE, np.uint64), np.full(n, np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def hashed_words(raw: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(i, j, hashes, first): 64-bit hashes of the words of texts i to j - 1 with A to Z folded; text d has first[d - i] to first[d - i + 1]."""
+    for i, j in slices(offs):
+        lo, hi = int(offs[i]), int(offs[j])
+        part, ends_at, m = FOLD[raw[lo:hi]], offs[i:j + 1] - lo, j - i
+        # A word never runs over the end of a text: breaks are put between texts, and taken out of the places again.
+        starts, ends = words(np.insert(part, ends_at[1:-1], 32))
+        shift = np.searchsorted(ends_at[1:-1] + np.arange(m - 1), starts, side="right")
+        starts, ends = starts - shift, ends - shift
+        up, down = _powers(len(part) + 1)
+        total = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate((part.astype(np.uint64) + np.uint64(1)) * up[:-1])))
+        hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _WORD)
+        # Word number of each text's start; a word at the very end of a text belongs to it.
+        yield i, j, hashes, np.searchsorted(starts, ends_at)
+
+
 def semi(df: DataFrame, ids: DataFrame, key: str, anti: bool = False) -> DataFrame:
     """Rows whose key is (not) among ``ids``; ids are broadcast only after a count shows that they are few."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from routeloom.session import durable
 
-from .common import FOLD, flat, mix, semi, slices, texts, words
+from .common import flat, hashed_words, mix, semi, texts
 from .components import components
 
 N_WORDS, PERCENT = 5, 80
@@ -32,27 +32,9 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _inverse_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
 def shingle_sets(raw: np.ndarray, offs: np.ndarray, n_words: int = N_WORDS) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text, a text at a time; a shorter text is one shingle, a text without words has none."""
-    for i, j in slices(offs):
-        lo, hi = int(offs[i]), int(offs[j])
-        part = FOLD[raw[lo:hi]]
-        ends_at = offs[i:j + 1] - lo
-        # A word never runs over the end of a text: breaks are put between texts.
-        starts, ends = words(np.insert(part, ends_at[1:-1], 32)) if j - i > 1 else words(part)
-        shift = np.searchsorted(ends_at[1:-1] + np.arange(j - i - 1), starts, side="right") if j - i > 1 else 0
-        starts, ends = starts - shift, ends - shift
-        up, down = _inverse_powers(len(part) + 1)
-        total = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate((part.astype(np.uint64) + np.uint64(1)) * up[:-1])))
-        word = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _GRAM)
-        first = np.searchsorted(starts, ends_at)
+    for i, j, word, first in hashed_words(raw, offs):
         gram = word
         if len(word) >= n_words:
             gram = word[:len(word) - n_words + 1].copy()

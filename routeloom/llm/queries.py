@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprint, licenses, lines, mixing, neighbours, ngram_join, pieces, quality, suffixes
+from . import bilinear, fingerprint, licenses, lines, mixing, neighbours, ngram_join, pieces, quality, suffixes
 from .common import fold_of, table, texts
 
 
@@ -42,6 +42,11 @@ def op5_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
 
+def op6_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, unigram score and model score of every document."""
+    return bilinear.score(table(spark, sf_dir, "documents"))
+
+
 def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every drawn row: its source, pass, block, the block's place in the pass, and tokens."""
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
@@ -65,5 +70,5 @@ def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold_of("doc_id") == 0).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_kept").cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_suffix_dedup, op3_ngram_jaccard, op4_license_scan, op5_multi_index_hashing, op7_temperature_mixing, op8_sentencepiece, op9_syncmer_fingerprints, op10_quality_ranking)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_suffix_dedup, op3_ngram_jaccard, op4_license_scan, op5_multi_index_hashing, op6_log_bilinear, op7_temperature_mixing, op8_sentencepiece, op9_syncmer_fingerprints, op10_quality_ranking)}
 ORACLES: dict[str, str] = {}
