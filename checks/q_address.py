@@ -196,7 +196,7 @@ def merged_pieces(spark, sf):
      SELECT *, CASE WHEN s = lag(e) OVER (PARTITION BY pid, cc, city ORDER BY s) + 1 THEN 0 ELSE 1 END AS b FROM pieces)) GROUP BY pid, cc, city, g),
     step AS (SELECT pid, cc, city, province, s AS nxt, e, CAST(NULL AS BIGINT) AS adr, CAST(NULL AS BIGINT) AS plen FROM isl UNION ALL
      SELECT pid, cc, city, province, nxt + sz, e, nxt, 32 - CAST(log2(sz) AS BIGINT) FROM (SELECT *, least(nxt & -nxt, CAST(1 AS BIGINT) << CAST(floor(log2(e - nxt + 1)) AS INT)) AS sz
-      FROM step WHERE nxt <= e)) SELECT * FROM step WHERE plen IS NOT NULL)) WHERE r <= 48 GROUP BY pid, cc, city) s JOIN pfx p ON p.pid = s.pid""")
+      FROM step WHERE nxt <= e)) SELECT * FROM step WHERE plen IS NOT NULL)) GROUP BY pid, cc, city) s JOIN pfx p ON p.pid = s.pid""")
 def segments(spark, sf):
     s = G.segments(base.prefixes(spark, sf), base.geo(spark, sf))
     return s.select("prefix", "cc", "city", "province", F.array_join("segs", " ").alias("segs"), "plen", "origin_asn", "n_paths")

@@ -104,7 +104,7 @@ def hop_stream(spark, sf):
   WHERE t IS NULL OR t <> 'error' UNION SELECT (10*65536 + user_id) * 256, 65000 + user_id, 'RADB' FROM (SELECT user_id, max_by(event_type, event_id) AS t FROM events GROUP BY user_id) WHERE t <> 'error'""")
 def delta_feed(spark, sf):
     """A feed of all events applied to a published state of all customers, then replayed."""
-    feed = D.DeltaFeed(spark, scratch(spark), limit=1 << 40)
+    feed = D.DeltaFeed(spark, scratch(spark))
     net = lambda c: addr.v4_text((F.lit(10 * 65536) + F.col(c)) * 256)
     text = lambda c: F.concat(F.lit("route: "), net(c), F.lit("/24\norigin: AS"), (F.col(c) + 65000).cast("string"), F.lit("\nsource: RADB"))
     feed.publish(rpsl.routes(fx.table(spark, sf, "customer").select(text("c_custkey").alias("object")), "RADB"), -1)
@@ -124,7 +124,7 @@ def delta_feed(spark, sf):
   UNION ALL SELECT 'asset_set', count(*) FROM set_dim UNION ALL SELECT 'asset_member', count(*) FROM set_edge UNION ALL SELECT 'asset_memberof', count(*) FROM set_edge""")
 def published_snapshot(spark, sf):
     """The whole snapshot built, written, checked against its manifest and read back."""
-    sets = rpsl.as_sets(set_texts(spark, sf), "RADB").withColumn("members", F.filter("members", lambda m: m != "+"))
+    sets = rpsl.as_sets(set_texts(spark, sf), "RADB")
     inp = snapshot.Inputs(fx.entries(spark, sf), base.geo(spark, sf), fx.vrps(spark, sf), fx.irr_routes(spark, sf), sets)
     out = scratch(spark)
     doc = snapshot.publish(snapshot.build(inp), out, stamp=1, parts=4)

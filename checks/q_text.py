@@ -138,9 +138,7 @@ def set_texts(spark, sf):
 
 
 def _sets(spark, sf):
-    """Continuation lines in the dump keep their plus sign, as the dump reader does; it is no member."""
-    parsed = rpsl.as_sets(set_texts(spark, sf), "RADB")
-    return AS.build(parsed.withColumn("members", F.filter("members", lambda m: m != "+")))
+    return AS.build(rpsl.as_sets(set_texts(spark, sf), "RADB"))
 
 
 @query("SELECT set_key, source, name, descr, n_members FROM set_dim")

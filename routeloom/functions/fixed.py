@@ -4,11 +4,6 @@
 TIER1 = [174, 701, 702, 1239, 1299, 2828, 2914, 3257, 3320, 3356, 3491, 5511, 6453, 6461, 6762, 6830,
          6939, 7018, 7473, 12956, 1273, 3549, 3551, 209]
 
-# Paths kept per prefix, CIDR pieces kept per segment, geo starts beyond which a range is not cut up.
-PATH_CAP = 64
-SEGMENT_CIDR_CAP = 48
-CARVE_CAP = 256
-
 # Share of origin-side evidence at or above which a neighbour is a customer, at or below which a provider.
 CUSTOMER_SHARE = 0.8
 PROVIDER_SHARE = 0.2
@@ -19,9 +14,6 @@ IRR_LABELS = {0: "none", 1: "present", 2: "mismatch"}
 AUTHORITATIVE = ["RIPE", "APNIC", "ARIN", "AFRINIC", "LACNIC", "DN42"]
 SET_SOURCE_ORDER = ["RIPE", "APNIC", "ARIN", "AFRINIC", "LACNIC", "RIPE-NONAUTH", "RADB", "DN42"]
 
-# Feed distance (operations) beyond which a delta is not applied.
-MAX_DELTA = 30000
-
 # Second-level labels that extend the public suffix.
 SECOND_LEVEL = ["co", "com", "net", "org", "gov", "edu", "ac", "or", "ne", "go", "gr", "lg", "ed", "ad",
                 "sch", "mil", "in", "idv", "asn", "id", "biz", "info", "name"]

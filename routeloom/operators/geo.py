@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import addr
-from ..functions.fixed import CARVE_CAP, COUNTRY_OVERRIDE, GEO_PRIORITY, SEGMENT_CIDR_CAP
+from ..functions.fixed import COUNTRY_OVERRIDE, GEO_PRIORITY
 from ..functions.text import literal_map
 from . import intervals as I
 
@@ -29,7 +29,7 @@ def build_geo(raw: DataFrame, tie: str = "tie") -> DataFrame:
     """Overlapping provider intervals to a disjoint, coalesced geo table."""
     attrs = [*PLACE, *(["provider"] if "provider" in raw.columns else [])]
     flat = I.resolve_overlaps(raw, attrs, tie=tie)
-    return I.merge_equal(flat, PLACE, {"provider": F.first("provider")} if "provider" in attrs else None)
+    return I.merge_equal(flat, PLACE, {"provider": F.min_by("provider", "ip_start")} if "provider" in attrs else None)
 
 
 def country_dimension(names: DataFrame) -> DataFrame:
@@ -55,11 +55,11 @@ def tag_places(prefixes: DataFrame, geo: DataFrame | None) -> DataFrame:
     return I.as_of(prefixes, geo, PLACE)
 
 
-def segments(prefixes: DataFrame, geo: DataFrame, cap: int = CARVE_CAP, cidr_cap: int = SEGMENT_CIDR_CAP) -> DataFrame:
-    """One row per (prefix, country, city): province, up to ``cidr_cap`` CIDRs, and prefix facts.
+def segments(prefixes: DataFrame, geo: DataFrame, cap: int | None = None, cidr_cap: int | None = None) -> DataFrame:
+    """One row per (prefix, country, city): province, its CIDRs in address order, and prefix facts.
 
-    Each merged piece yields at least one CIDR, so no more than ``cidr_cap`` pieces of a group are ever
-    collected; the province is the one of the group's last piece and is taken from all of them.
+    With ``cidr_cap`` only so many CIDRs: each merged piece yields at least one, so no more pieces of a group are
+    then collected. The province is the one of the group's last piece and is taken from all of them.
     """
     axis = addr.axis_of(prefixes)
     cut = I.carve(I.effective_ranges(prefixes), geo, cap)
@@ -68,17 +68,19 @@ def segments(prefixes: DataFrame, geo: DataFrame, cap: int = CARVE_CAP, cidr_cap
     whole = I.merge_equal(cut, ["pid", "cc", "city"], {"tail": last})
     group = ["family", "pid", "cc", "city"]
     w = Window.partitionBy(*group).orderBy("ip_start")
-    listed = (whole.withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= cidr_cap)
+    placed = whole.withColumn("ord", F.row_number().over(w))
+    listed = ((placed if cidr_cap is None else placed.where(F.col("ord") <= cidr_cap))
               .withColumn("cidrs", addr.interval_cidrs(axis, "family", "ip_start", "ip_end"))
               .groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("ord", "cidrs"))).alias("_l")))
     prov = whole.groupBy(*group).agg(F.max_by("tail.province", "ip_start").alias("province"))
+    cidrs = F.flatten(F.transform("a._l", lambda x: x["cidrs"]))
     match = None
     for c in group:
         cond = F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
         match = cond if match is None else match & cond
     out = (listed.alias("a").join(prov.alias("b"), match)
            .select(*[F.col(f"a.{c}").alias(c) for c in group], "b.province",
-                   F.slice(F.flatten(F.transform("a._l", lambda x: x["cidrs"])), 1, cidr_cap).alias("segs")))
+                   (cidrs if cidr_cap is None else F.slice(cidrs, 1, cidr_cap)).alias("segs")))
     facts = [c for c in ("prefix", "plen", "origin_asn", "n_origins", "n_paths") if c in prefixes.columns]
     return out.join(prefixes.select("pid", *facts), "pid")
 

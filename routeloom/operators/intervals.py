@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import addr
-from ..functions.fixed import CARVE_CAP
 from . import ordered
 from .containment import nearest_parents
 
@@ -79,21 +78,24 @@ def overlap_join(left: DataFrame, right: DataFrame, left_keep: list[str], right_
                     *[F.col(f"rc.iv.{c}").alias(c) for c in right_keep])
 
 
-def carve(ranges: DataFrame, geo: DataFrame, cap: int = CARVE_CAP) -> DataFrame:
+def carve(ranges: DataFrame, geo: DataFrame, cap: int | None = None) -> DataFrame:
     """Cut disjoint ranges (with ``pid``) along geo intervals, keeping the parts with a country.
 
-    A range in which more than ``cap`` geo intervals start stays whole: it gets the country of its first
+    With ``cap``, a range in which more geo intervals start stays whole: it gets the country of its first
     address and no province or city, or drops out when that address has none.
     """
     axis = addr.axis_of(ranges)
     s = _sweep(ranges, geo, ["pid"], ["cc", "province", "city"]).where(F.col("lc.open"))
     s = s.select("family", "point", "nxt", "r_starts", F.col("lc.iv").alias("rg"),
                  F.when(F.col("rc.open"), F.col("rc.iv")).alias("gi"))
+    fine_end = F.coalesce(axis.pred(F.col("nxt")), F.least("rg.ip_end", "gi.ip_end"))
+    if cap is None:
+        return s.where(F.col("gi.cc").isNotNull()).select("family", F.col("rg.pid").alias("pid"), F.col("point").alias("ip_start"), fine_end.alias("ip_end"),
+                                                          *[F.col(f"gi.{c}").alias(c) for c in ("cc", "province", "city")])
     busy = (s.groupBy("family", F.col("rg.ip_start").alias("at")).agg(F.count_if("r_starts").alias("n"))
             .where(F.col("n") > cap).withColumn("coarse", F.lit(True)).drop("n"))
     pieces = (s.where(F.col("gi.cc").isNotNull()).withColumn("at", F.col("rg.ip_start"))
               .join(busy, ["family", "at"], "left").withColumn("coarse", F.coalesce("coarse", F.lit(False))))
-    fine_end = F.coalesce(axis.pred(F.col("nxt")), F.least("rg.ip_end", "gi.ip_end"))
     detail = lambda c: F.when(~F.col("coarse"), F.col(f"gi.{c}"))
     return (pieces.where(~F.col("coarse") | (F.col("point") == F.col("rg.ip_start")))
             .select("family", F.col("rg.pid").alias("pid"), F.col("point").alias("ip_start"),

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import paths as P
-from ..functions.fixed import PATH_CAP
 from . import ordered
 
 PLACE = ["family", "plen", "ip_start", "ip_end"]
@@ -80,14 +79,14 @@ def attach_pids(pathobs: DataFrame, prefixes: DataFrame) -> DataFrame:
     return pathobs.join(prefixes.select("pid", "prefix"), "prefix")
 
 
-def ranked_paths(pathobs: DataFrame, cap: int = PATH_CAP, key: str = "pid") -> DataFrame:
-    """The ``cap`` best paths per prefix: shortest, then most peers, then text.
+def ranked_paths(pathobs: DataFrame, cap: int | None = None, key: str = "pid") -> DataFrame:
+    """All paths per prefix with their rank: shortest, then most peers, then text.
 
-    The rank filter lets Spark cut each group down before the shuffle.
+    With ``cap`` only so many best ones; the rank filter then lets Spark cut each group down before the shuffle.
     """
     w = Window.partitionBy(key).orderBy("path_len", F.desc("n_peers"), "path")
-    return (pathobs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
-            .withColumn("is_best", F.col("rank") == 1))
+    ranked = pathobs.withColumn("rank", F.row_number().over(w))
+    return (ranked if cap is None else ranked.where(F.col("rank") <= cap)).withColumn("is_best", F.col("rank") == 1)
 
 
 def exported_paths(ranked: DataFrame) -> DataFrame:
@@ -99,7 +98,7 @@ def exported_paths(ranked: DataFrame) -> DataFrame:
 def paths_per_prefix(ranked: DataFrame, key: str = "pid") -> DataFrame:
     """All kept paths of a prefix in rank order as an array, the blob form and the best one.
 
-    A group holds at most the rank cap.
+    The paths of one prefix are as many as the collectors' peers can make; ranks make their order.
     """
     listed = F.sort_array(F.collect_list(F.struct("rank", P.padded("path").alias("p"))))
     return (ranked.groupBy(key).agg(listed.alias("_l"))

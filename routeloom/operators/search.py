@@ -10,7 +10,6 @@ from ..functions.paths import PathPattern, compile_pattern
 from . import containment
 
 NAME_CAP = 200
-EXPORT_CAP = 100000
 
 
 def search_table(prefixes: DataFrame, pathobs: DataFrame, per_prefix: DataFrame, statuses: DataFrame | None = None) -> DataFrame:
@@ -147,6 +146,8 @@ def asn_prefixes(table: DataFrame, k: int = 400) -> DataFrame:
     return table.where(F.col("origin_asn").isNotNull()).withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= k)
 
 
-def export_rows(df: DataFrame, columns: list[str], order: list[Column], cap: int = EXPORT_CAP) -> DataFrame:
-    """The chosen columns of a result, at most ``cap`` rows, with ``capped``."""
+def export_rows(df: DataFrame, columns: list[str], order: list[Column], cap: int | None = None) -> DataFrame:
+    """The chosen columns of a result in order, with ``capped``; with ``cap`` a report of at most so many rows."""
+    if cap is None:
+        return df.orderBy(*order).select(*columns, F.lit(False).alias("capped"))
     return page(df, order, cap).select(*columns, F.col("more").alias("capped"))

@@ -112,6 +112,7 @@ def as_sets(objects: DataFrame, default_source: str | Column = "") -> DataFrame:
     a = _parsed(objects).where(F.get("attrs", F.lit(0))["key"] == "as-set").withColumn("_source", first_of("source"))
     words = F.flatten(F.transform(values_of("members"), lambda v: F.split(F.regexp_replace(F.split_part(v, F.lit("#"), F.lit(1)), " ", ","), ",")))
     words = F.filter(F.transform(words, lambda w: F.trim(w)), lambda w: w != "")
+    words = F.filter(words, lambda w: w != "+")  # the sign of a continuation line is no member
     return (a.withColumn("name", F.upper(F.trim(first_of("as-set")))).where(F.col("name") != "")
             .select(*keep, "name", _source(default).alias("source"), F.trim(F.coalesce(first_of("descr"), F.lit(""))).alias("descr"),
                     words.alias("members")))
@@ -141,19 +142,26 @@ def registry_sets(objects: DataFrame) -> DataFrame:
         F.coalesce(first_of("descr"), F.lit("")).alias("descr"), F.filter(words, lambda w: w != "").alias("members"))
 
 
-def delta_operations(feeds: DataFrame, text: str = "text") -> DataFrame:
-    """A change feed text to ordered route operations: (feed columns, ord, op, serial, route columns).
+def feed_operations(feeds: DataFrame, text: str = "text") -> DataFrame:
+    """Every operation of a change feed, whatever its object: (feed columns, seg, op, serial, text).
 
-    A feed that lacks its start or its end mark yields nothing at all.
+    A feed that lacks its start or its end mark yields nothing at all. An operation without a serial gets the one of its
+    place in the range that the start mark names, or none where it names none.
     """
     others = [c for c in feeds.columns if c != text]
     whole = F.contains(text, F.lit("%START")) & F.contains(text, F.lit("%END"))
+    first = F.regexp_extract(text, r"(?m)^[ \t]*%START[^\n]*?(\d+)-\d+", 1).try_cast("bigint")
     t = F.regexp_replace(F.regexp_replace(F.col(text), "\r\n?", "\n"), r"(?m)^[ \t]*%.*$", "")
-    parts = F.split(t, r"(?mi)^[ \t]*(?=(?:ADD|DEL)(?:[ \t]|$))")
-    seg = feeds.where(whole).select(*others, F.posexplode(parts).alias("seg", "s"))
-    head = r"(?i)^(ADD|DEL)[ \t]*(\d*)[^\n]*\n?"
-    seg = seg.where(F.col("s").rlike(head)).select(
-        *others, "seg", F.upper(F.regexp_extract("s", head, 1)).alias("op"), F.regexp_extract("s", head, 2).try_cast("bigint").alias("serial"),
-        F.regexp_replace("s", head, "").alias("text"))
-    blocks = split_objects(seg).withColumn("ord", F.col("seg") * 1000000 + F.col("block")).drop("seg")
+    parts = F.filter(F.split(t, r"(?mi)^[ \t]*(?=(?:ADD|DEL)(?:[ \t]|$))"), lambda p: p.rlike(_OPERATION))
+    seg = feeds.where(whole).select(*others, first.alias("_first"), F.posexplode(parts).alias("seg", "s"))
+    serial = F.coalesce(F.regexp_extract("s", _OPERATION, 2).try_cast("bigint"), F.col("_first") + F.col("seg"))
+    return seg.select(*others, "seg", F.upper(F.regexp_extract("s", _OPERATION, 1)).alias("op"), serial.alias("serial"), F.regexp_replace("s", _OPERATION, "").alias("text"))
+
+
+_OPERATION = r"(?i)^(ADD|DEL)[ \t]*(\d*)[^\n]*\n?"
+
+
+def delta_operations(feeds: DataFrame, text: str = "text") -> DataFrame:
+    """A change feed text to ordered route operations: (feed columns, ord, op, serial, route columns)."""
+    blocks = split_objects(feed_operations(feeds, text)).withColumn("ord", F.struct("seg", "block")).drop("seg")
     return routes(blocks, "RADB")

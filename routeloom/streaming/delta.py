@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.fixed import MAX_DELTA
-from ..sources.rpsl import delta_operations
+from ..sources.rpsl import delta_operations, feed_operations
 
 KEY = ["family", "ip_start", "ip_end", "plen", "origin", "source"]
 
@@ -33,9 +32,9 @@ def changes(state: DataFrame, ops: DataFrame, key: list[str] = KEY, order: str =
     return j.where((F.col("op") == "ADD") != F.col("had"))
 
 
-def can_apply(have_serial: int | None, oldest: int, current: int, limit: int = MAX_DELTA) -> bool:
-    """May the feed bring this state up to date, or is a full load due?"""
-    return have_serial is not None and oldest <= have_serial <= current and current - have_serial <= limit
+def can_apply(have_serial: int | None, oldest: int, current: int, limit: int | None = None) -> bool:
+    """May the feed bring this state up to date, or is a full load due? One apply is one shuffle, so there is no limit by default."""
+    return have_serial is not None and oldest <= have_serial <= current and (limit is None or current - have_serial <= limit)
 
 
 class DeltaFeed:
@@ -45,7 +44,7 @@ class DeltaFeed:
     A batch that is replayed finds its serial committed and changes nothing.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, limit: int = MAX_DELTA):
+    def __init__(self, spark: SparkSession, folder: str, limit: int | None = None):
         self.spark, self.folder, self.limit = spark, folder.rstrip("/"), limit
 
     def _commits(self) -> DataFrame | None:
@@ -68,16 +67,25 @@ class DeltaFeed:
         self.spark.createDataFrame([(serial,)], "serial bigint").write.mode("append").json(f"{self.folder}/commits")
 
     def apply_batch(self, texts: DataFrame, batch_id: int = 0) -> bool:
-        """Apply one micro-batch of feed texts (column ``text``); False when nothing was applied."""
+        """Apply one micro-batch of feed texts (column ``text``); False when nothing was applied.
+
+        Serials count operations on objects of every class, so continuity and the new serial come from all of them, and
+        the routes among them change the state.
+        """
         from ..session import durable
 
-        ops = delta_operations(texts.select("text"))
-        have = self.serial()
         # The feed is read once: the check below and the update must see the same operations.
-        ops = durable(ops if have is None else ops.where(F.col("serial") > have))
-        span = ops.agg(F.min("serial").alias("lo"), F.max("serial").alias("hi")).first()
+        texts = durable(texts.select("text"))
+        have = self.serial()
+        every = feed_operations(texts).select("serial")
+        fresh = F.col("serial") if have is None else F.when(F.col("serial") > have, F.col("serial"))
+        span = every.agg(F.min(fresh).alias("lo"), F.max(fresh).alias("hi"), F.count_if(F.col("serial").isNull()).alias("odd")).first()
+        if span["odd"]:
+            raise RuntimeError(f"{span['odd']} operations have no serial, and the feed's start names no range")
         if span["hi"] is None:
             return False
+        ops = delta_operations(texts)
+        ops = ops if have is None else ops.where(F.col("serial") > have)
         if not can_apply(have, span["lo"] - 1, span["hi"], self.limit):
             raise RuntimeError(f"feed starts at {span['lo']}, state is at {have}: load the full dump")
         placed = ops.withColumn("at", F.struct("serial", "ord"))

@@ -133,6 +133,7 @@ def test_carve_cap_and_edges(spark):
     r = spark.createDataFrame([(1, 4, base, base + 500), (2, 4, base - 500, base - 1), (3, 4, base + 600, base + 700)], "pid bigint, family int, ip_start bigint, ip_end bigint")
     fine = I.carve(r, g, cap=256).collect()
     assert sum(x.ip_end - x.ip_start + 1 for x in fine if x.pid == 1) == 320 and {x.pid for x in fine} == {1, 2}
+    assert sorted(map(tuple, I.carve(r, g).collect())) == sorted(map(tuple, fine))
     coarse = [x for x in I.carve(r, g, cap=20).collect() if x.pid == 1]
     assert [(x.ip_start, x.ip_end, x.cc, x.province, x.city) for x in coarse] == [(base, base + 500, "C1", None, None)]
     # The first address has no country: the busy range drops out.
@@ -190,9 +191,10 @@ def test_prefix_table_and_ties(spark):
 def test_path_cap_keeps_the_best(spark):
     rows = [entry("10.0.0.0/8", [i, 10_000 + i, 3] if i % 2 else [i, 3]) for i in range(1, 101)] + [entry("10.0.0.0/8", [50, 3])]
     m = rib.distinct_paths(spark.createDataFrame(rows, ENTRY)).withColumn("pid", F.lit(1))
-    r = rib.ranked_paths(m).orderBy("rank").collect()
+    assert rib.ranked_paths(m).count() == 100
+    r = rib.ranked_paths(m, 64).orderBy("rank").collect()
     assert len(r) == 64 and r[0].path == "50 3" and r[0].is_best and sum(x.path_len == 2 for x in r) == 50
-    b = rib.paths_per_prefix(rib.ranked_paths(m)).first()
+    b = rib.paths_per_prefix(rib.ranked_paths(m, 64)).first()
     assert b.best_path == " 50 3 " and b.paths_blob.count("|") == 63
 
 

@@ -186,7 +186,7 @@ def feed(*ops, end=True):
 
 
 def test_delta_rules(spark):
-    assert D.can_apply(5, 1, 9) and not D.can_apply(None, 1, 9) and not D.can_apply(5, 6, 9) and not D.can_apply(5, 1, 40000)
+    assert D.can_apply(5, 1, 9) and not D.can_apply(None, 1, 9) and not D.can_apply(5, 6, 9) and D.can_apply(5, 1, 40000) and not D.can_apply(5, 1, 40000, 30000)
     one = lambda t: spark.createDataFrame([(t,)], "text string")
     assert D.delta_operations(one(feed(("ADD", 1, "10.0.0.0/8", 1), end=False))).isEmpty()
     ops = D.delta_operations(one(feed(("ADD", 1, "10.0.0.0/8", 1), ("DEL", 2, "10.0.0.0/8", 1), ("ADD", 3, "10.0.0.0/8", 1), ("DEL", 4, "11.0.0.0/8", 9), ("del", 5, "12.0.0.0/8", 2), ("ADD", 6, "bad", 2))))
@@ -208,6 +208,12 @@ def test_delta_stream(spark, tmp_path):
     (src / "2.txt").write_text(feed(("ADD", 13, "13.0.0.0/8", 3), end=False))
     f.stream(str(src), str(tmp_path / "ckpt")).awaitTermination()
     assert f.serial() == 12 and [r.origin for r in f.state().collect()] == [1]
+    one = lambda t: spark.createDataFrame([(t,)], "text string")
+    other = "%START Version: 3 RADB 13-15\n\nADD 13\n\nmntner: M\nsource: RADB\n\nADD\n\nroute: 14.0.0.0/8\norigin: AS4\nsource: RADB\n\nADD 15\n\nmntner: N\nsource: RADB\n\n%END\n"
+    assert f.apply_batch(one(other)) and f.serial() == 15 and sorted(r.origin for r in f.state().collect()) == [1, 4]
+    assert not f.apply_batch(one(other))
+    with pytest.raises(RuntimeError):
+        f.apply_batch(one("%START\n\nADD\n\nroute: 15.0.0.0/8\norigin: AS4\n\n%END\n"))
     with pytest.raises(RuntimeError):
         f.apply_batch(spark.createDataFrame([(feed(("ADD", 99, "10.0.0.0/8", 1)),)], "text string"))
 
