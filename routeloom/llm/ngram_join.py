@@ -27,7 +27,7 @@ from .components import components
 
 N_WORDS, PERCENT = 5, 80
 #: Orders that every candidate must pass, and pivots tried in each block before its other pairs.
-ORDERS, PIVOT_ROUNDS = 3, 2
+ORDERS, PIVOT_ROUNDS = 3, 3
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
 
@@ -87,12 +87,18 @@ def _slack(n: int) -> int:
     return n // 20
 
 
+def _can_reach(n_a: str, k_a: str, n_b: str, k_b: str, percent: int) -> Column:
+    """Whether sets of n tokens, of which k are in other sets at all, can overlap enough."""
+    most = F.least(k_a, k_b)
+    return most * 100 >= (F.col(n_a) + F.col(n_b) - most) * percent
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Candidate (a, b) that pass every order's prefix filter and then the exact comparison."""
-    heads = [f"p{i}" for i in range(ORDERS)]
-    x = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), *[F.col(h).alias(f"{h}_a") for h in heads]), "a")
-    x = x.join(sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), *[F.col(h).alias(f"{h}_b") for h in heads]), "b")
-    x = x.where((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent))
+    heads = [f"p{i}" for i in range(1, ORDERS)]  # the pairs come from the blocks of the first order
+    x = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("k").alias("k_a"), *[F.col(h).alias(f"{h}_a") for h in heads]), "a")
+    x = x.join(sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("k").alias("k_b"), *[F.col(h).alias(f"{h}_b") for h in heads]), "b")
+    x = x.where(_can_reach("n_a", "k_a", "n_b", "k_b", percent))
     for h in heads:
         x = x.where(F.arrays_overlap(f"{h}_a", f"{h}_b"))
     x = x.select("a", "b", "n_a", "n_b").join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("t_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("t_b")), "b")
@@ -100,12 +106,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return x.where(F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent).select("a", "b", "both")
 
 
-def survivors(heads: DataFrame, percent: int = PERCENT) -> DataFrame:
+def survivors(heads: DataFrame) -> DataFrame:
     """Ids whose hash-order head shares as many tokens with other sets as any partner would need to share with it."""
-    each = heads.select("doc_id", "n", F.explode("head").alias("token"))
+    each = heads.select("doc_id", F.explode("head").alias("token"))
     shared = each.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    met = each.join(shared, "token").groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("hits"))
-    return met.where(F.col("hits") >= F.floor(F.col("n") / 20) + 1).select("doc_id")
+    met = each.join(shared, "token").groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))
+    return met.join(heads.select("doc_id", "n").distinct(), "doc_id").where(F.col("hits") >= F.floor(F.col("n") / 20) + 1).select("doc_id").distinct()
 
 
 def links(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -116,45 +122,50 @@ def links(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT) -> tu
     classes = heads.where("n > 0").groupBy("n", "low", "high").agg(F.min("doc_id").alias("class_id"))
     members = durable(heads.select("doc_id", "n", "low", "high").join(classes, ["n", "low", "high"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")))
     firsts = members.where("n > 0 AND doc_id = class_id").select("doc_id").distinct()
-    left = durable(survivors(semi(heads, firsts, "doc_id").where("n > 0").dropDuplicates(["doc_id"]), percent))
+    left = durable(survivors(semi(heads, firsts, "doc_id").where("n > 0")))
     sets = _ordered(durable(_sets(semi(d, left, "doc_id"), n_words, True).dropDuplicates(["doc_id"])), percent)
-    found, part = None, None
-    blocks = durable(sets.select("doc_id", F.explode("p0").alias("token")))
+    blocks = sets.select("doc_id", F.posexplode("p0").alias("at", "token"))
     common = blocks.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
     blocks = durable(blocks.join(common, "token"))
-    tried = None
+    state, tried, used, found, part = blocks.withColumn("part", F.col("doc_id")), None, None, None, None
     for _ in range(PIVOT_ROUNDS):
-        # The pivot of a block is the smallest class outside the components of earlier pivots.
-        state = blocks.withColumn("part", F.col("doc_id")) if part is None else blocks.join(part, blocks.doc_id == part.node, "left").select("doc_id", "token", F.coalesce("component", "doc_id").alias("part"))
-        if tried is not None:
-            state = state.join(tried, ["token", "part"], "left_anti")
-        pivots = state.groupBy("token").agg(F.min(F.struct("part", "doc_id")).alias("m")).select("token", F.col("m.doc_id").alias("a"))
-        pairs = state.join(pivots, "token").where("a <> doc_id").select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
-        new = durable(_verified(pairs, sets, percent))
+        # A class meets one pivot: the smallest class of its blocks outside the components that pivots of these blocks had before.
+        open_ = state if tried is None else state.join(tried, ["token", "part"], "left_anti")
+        pivots = open_.groupBy("token").agg(F.min(F.struct("part", "doc_id")).alias("pivot"))
+        meets = open_.join(pivots, "token").where("part <> pivot.part").groupBy("doc_id").agg(F.min("pivot").alias("pivot")).select("doc_id", F.col("pivot.doc_id").alias("a"))
+        new = durable(_verified(meets.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct(), sets, percent))
         found = new if found is None else found.unionByName(new)
         part = components(found)
-        tried = durable(pivots.join(part, pivots.a == part.node, "left").select("token", F.coalesce("component", "a").alias("part")).distinct())
-    state = durable(blocks.join(part, blocks.doc_id == part.node, "left").select("doc_id", "token", F.coalesce("component", "doc_id").alias("part")))
+        here = pivots.select("token", F.col("pivot.doc_id").alias("doc_id"))
+        used = durable(here if used is None else used.unionByName(here))
+        now = used.join(part, F.col("doc_id") == part.node, "left").select("token", F.coalesce("component", "doc_id").alias("part"))
+        state = durable(blocks.join(part, blocks.doc_id == part.node, "left").select("doc_id", "at", "token", F.coalesce("component", "doc_id").alias("part")))
+        tried = durable(now.distinct())
+    # The rest: classes of one block in different components. At the first token that two sets have in common all that they
+    # share is still to come in both orders, so a pair is met where the tokens left would suffice, and hardly ever twice.
     mixed = state.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
-    state = state.join(mixed, "token").join(sets.select("doc_id", "n"), "doc_id")
-    other = state.select("token", F.col("doc_id").alias("b"), F.col("part").alias("part_b"), F.col("n").alias("n_b"))
-    rest = state.join(other, "token").where((F.col("doc_id") < F.col("b")) & (F.col("part") != F.col("part_b")) & (F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent))
+    state = state.join(mixed, "token").join(sets.select("doc_id", "n", "k"), "doc_id").withColumn("k", F.col("k") - F.col("at")).drop("at")
+    other = state.select("token", F.col("doc_id").alias("b"), F.col("part").alias("part_b"), F.col("n").alias("n_b"), F.col("k").alias("k_b"))
+    rest = state.join(other, "token").where((F.col("doc_id") < F.col("b")) & (F.col("part") != F.col("part_b")) & _can_reach("n", "k", "n_b", "k_b", percent))
     new = durable(_verified(rest.select(F.col("doc_id").alias("a"), "b").distinct(), sets, percent))
     return members, found.unionByName(new).distinct()
 
 
 def _ordered(sets: DataFrame, percent: int) -> DataFrame:
     """Sets with the prefixes p0, p1, ... under orders by (document frequency, a hash of the token); tokens of one set only
-    fill the prefix but are left out of it, since they can't be shared."""
+    fill the prefix but are left out of it, since they can't be shared. p0 holds tokens and makes the blocks; the others are
+    only compared, as 32-bit hashes, for which a false match costs a comparison and nothing else."""
     each = sets.select("doc_id", F.explode("tokens").alias("token"))
     often = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     known = each.join(often, "token").groupBy("doc_id").agg(F.collect_list(F.struct("df", "token")).alias("known"))
+    # k: how many tokens of a set are in others too; no two sets share more than the smaller k.
     x = sets.join(known, "doc_id", "left").withColumn("known", F.coalesce("known", F.array().cast("array<struct<df:bigint,token:bigint>>")))
     room = F.col("n") - needed(F.col("n"), percent) + 1 - (F.col("n") - F.size("known"))
     room = F.greatest(room, F.lit(0)).cast("int")
+    x = x.withColumn("k", F.size("known"))
     for i in range(ORDERS):
         order = F.array_sort(F.transform("known", lambda s: F.struct(s["df"].alias("df"), F.xxhash64(F.lit(i), s["token"]).alias("h"), s["token"].alias("token"))))
-        x = x.withColumn(f"p{i}", F.transform(F.slice(order, F.lit(1), room), lambda s: s["token"]))
+        x = x.withColumn(f"p{i}", F.transform(F.slice(order, F.lit(1), room), lambda s: s["token"] if i == 0 else F.hash(s["token"])))
     return durable(x.where(F.size("p0") > 0).drop("known"))
 
 
