@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +32,26 @@ def build_session(app: str = "routeloom", master: str | None = None, **conf: str
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession, root: str) -> None:
+    """Give the workers the Python files below ``root``, once per context, where they would not find them by themselves.
+
+    Not needed where the package is installed, on PYTHONPATH, or in the folder that the driver was started in.
+    """
+    sc = spark.sparkContext
+    reachable = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if getattr(sc, "_routeloom_shipped", False) or os.path.abspath(root) in map(os.path.abspath, filter(None, reachable)):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="routeloom-"), "routeloom_sources.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                rel = os.path.relpath(os.path.join(folder, name), root)
+                if name.endswith(".py") and not rel.startswith(("tests", ".")):
+                    z.write(os.path.join(folder, name), rel)
+    sc.addPyFile(path)  # from here Spark's own file server brings it to every executor
+    sc._routeloom_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session; local sessions without one get a scratch folder."""
     sc = spark.sparkContext
