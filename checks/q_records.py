@@ -93,7 +93,7 @@ def rdap_holder(spark, sf):
 # ---------------------------------------------------------------- WHOIS
 
 def _whois(spark, sf):
-    """One answer per customer in one of the four line forms."""
+    """One answer per customer in one of the four line forms; two servers answer for each domain."""
     k = F.col("c_custkey")
     s = k.cast("string")
     j = lambda *ls: F.concat_ws("\n", *[F.lit(x) if isinstance(x, str) else x for x in ls])
@@ -104,17 +104,17 @@ def _whois(spark, sf):
     rpsl = j(c("domain: d", s), "nserver: ns1.x", "nserver: ns2.x", c("descr: ", F.col("c_name")), "paid-till: 2003. 04. 05.", "state: a: b", "unknown: z")
     block = j("Registrant:", c("    ", F.col("c_name")), "    dropped", "Nameservers", "    ns1.x", "    ns2.x", "Registered on:", "\t2004.05.06", "Status....: ok")
     text = F.when(k % 4 == 0, inline).when(k % 4 == 1, jprs).when(k % 4 == 2, rpsl).otherwise(block)
-    return fx.table(spark, sf, "customer").select(F.concat(F.lit("d"), s).alias("domain"), F.when(k % 8 < 4, text).otherwise(F.replace(text, F.lit("\n"), F.lit("\r\n"))).alias("text"))
+    return fx.table(spark, sf, "customer").select(F.concat(F.lit("d"), F.floor(k / 2).cast("string")).alias("domain"), F.concat(F.lit("w"), s).alias("server"), F.when(k % 8 < 4, text).otherwise(F.replace(text, F.lit("\n"), F.lit("\r\n"))).alias("text"))
 
 
-@query("""SELECT 'd' || c_custkey AS domain, field, value FROM customer, LATERAL (SELECT * FROM (VALUES
+@query("""SELECT 'd' || (c_custkey // 2) AS domain, 'w' || c_custkey AS server, field, value FROM customer, LATERAL (SELECT * FROM (VALUES
   (0,'org',c_name),(0,'registration','2001-02-03'),(0,'ns','ns1.x'),(0,'ns','ns2.x'),(0,'country','DE'),
   (1,'org',c_name),(1,'registration','2002-03-04'),(1,'ns','ns1.x'),
   (2,'org',c_name),(2,'ns','ns1.x'),(2,'ns','ns2.x'),(2,'expiration','2003-04-05'),(2,'status','a: b'),
   (3,'org',c_name),(3,'ns','ns1.x'),(3,'ns','ns2.x'),(3,'registration','2004-05-06'),(3,'status','ok')) v(m, field, value) WHERE m = c_custkey%4)
-  UNION ALL SELECT 'd' || c_custkey, 'ldhname', 'd' || c_custkey FROM customer""")
+  UNION ALL SELECT 'd' || (c_custkey // 2), 'w' || c_custkey, 'ldhname', 'd' || (c_custkey // 2) FROM customer""")
 def whois_fields(spark, sf):
-    return R.parse_whois(_whois(spark, sf)).drop("ord")
+    return R.parse_whois(_whois(spark, sf), server="server").drop("ord")
 
 
 @query()

@@ -105,6 +105,8 @@ WHOIS_LABELS = {
                 "registrant country/economy", "país"],
     "email": ["e-mail", "email", "holder email", "registrant contact email"],
 }
+# A bracketed WHOIS label and its value.
+WHOIS_BRACKET = r"(?i)^(?:[a-z]\.\s*)?\[(\S[^\]]*?)\]\s+(.+)$"
 WHOIS_NS_HEADERS = ["name servers", "nameservers", "name server", "domain servers", "name servers information",
                     "name servers in the listed order", "domain servers in listed order",
                     "domain name servers", "domain nameservers"]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.fixed import (EVENT_FIELDS, VCARD_FIELDS, WHOIS_HIDDEN_VALUE, WHOIS_LABELS, WHOIS_NS_HEADERS)
+from ..functions.fixed import (EVENT_FIELDS, VCARD_FIELDS, WHOIS_BRACKET, WHOIS_HIDDEN_VALUE, WHOIS_LABELS, WHOIS_NS_HEADERS)
 from ..functions.text import iso_date, literal_map
 
 ENTITY_LEVELS = 5
@@ -152,58 +152,57 @@ def clean_label(c: Column) -> Column:
     return F.lower(_trim(F.regexp_replace(F.regexp_replace(c, f"^[{_BLANK}*>]+", ""), f"[{_BLANK}.]+$", "")))
 
 
-def parse_whois(docs: DataFrame, key: str = "domain", text: str = "text") -> DataFrame:
-    """WHOIS texts to (key, ord, field, value).
+def parse_whois(docs: DataFrame, key: str = "domain", text: str = "text", server: str | None = None) -> DataFrame:
+    """WHOIS texts to (key, [server], ord, field, value), one set of rows per input row.
 
     Four line forms: ``Label: value``, ``[Label] value``, repeated ``key: value``, and a label line with
     indented values below. The only state is the label still open, which a run of indented lines inherits
-    from the line above it; windows over one text's lines carry it.
+    from the line above it; a fold over the lines of the row carries it, so nothing is shuffled and several
+    texts of one domain stay apart.
     """
-    spark = docs.sparkSession
-    fixed = [(l, f) for f, labels in WHOIS_LABELS.items() for l in labels]
-    # Fixed dictionary of under 200 labels.
-    labels = F.broadcast(spark.createDataFrame(fixed, "label string, known string"))
-    lines = docs.select(F.col(key).alias("k"), F.posexplode(F.split(F.col(text), r"\r?\n")).alias("no", "raw"))
-    line = _trim(F.col("raw"))
-    bracket = r"(?i)^(?:[a-z]\.\s*)?\[(\S[^\]]*?)\]\s+(.+)$"
-    cut = F.instr("line", ":")
-    kind = (F.when((F.col("line") == "") | F.col("line").rlike("^[%#]"), "reset")
-            .when(F.col("line").rlike(bracket), "bracket")
-            .when(cut > 0, F.when(_trim(F.substring("line", cut + 1, F.length("line"))) != "", "pair").otherwise("open"))
-            .otherwise("bare"))
-    rows = lines.withColumn("line", line).withColumn("kind", kind)
-    label = (F.when(F.col("kind") == "bracket", clean_label(F.regexp_extract("line", bracket, 1)))
-             .when(F.col("kind").isin("pair", "open"), clean_label(F.substring("line", F.lit(1), cut - 1)))
-             .when(F.col("kind") == "bare", clean_label(F.col("line"))))
-    own = (F.when(F.col("kind") == "bracket", F.regexp_extract("line", bracket, 2))
-           .when(F.col("kind") == "pair", _trim(F.substring("line", cut + 1, F.length("line")))))
-    rows = rows.withColumn("label", label).withColumn("own", own).join(labels, "label", "left")
-    field = F.coalesce(F.col("known"), F.when(F.col("label").startswith("registrar abuse contact email"), "email")
-                       .when(F.col("label").startswith("registrant ") & F.col("label").endswith(" organization"), "org")
-                       .when(F.col("label").rlike(r"^ns_name_\d+$"), "ns"))
-    header = F.coalesce(F.col("label").isin(WHOIS_NS_HEADERS), F.lit(False))
-    rows = (rows.withColumn("field", field).withColumn("header", header)
-            .withColumn("follows", (F.col("kind") == "bare") & F.col("raw").rlike(r"^[ \t\u3000]")))
-    opens = (F.when(F.col("kind") == "pair", F.when(F.col("field") == "ns", "ns"))
-             .when(F.col("kind") == "open", F.coalesce("field", F.when(F.col("header"), "ns")))
-             .when((F.col("kind") == "bare") & ~F.col("follows"), F.when(F.col("header"), "ns")))
-    # One text is one row of the input; its lines are the only thing a window sees at once.
-    along = Window.partitionBy("k").orderBy("no")
-    rows = rows.withColumn("opens", opens).withColumn("run", F.sum(F.when(F.col("follows"), 0).otherwise(1)).over(along))
-    run = Window.partitionBy("k", "run")
-    inside = run.orderBy("no")
-    rows = rows.withColumn("label_open", F.max(F.when(~F.col("follows"), F.col("opens"))).over(run))
-    rows = rows.withColumn("j", F.sum(F.when(F.col("follows"), 1).otherwise(0)).over(inside))
-    later = F.col("follows") & F.col("header") & (F.col("label_open").isNull() | ((F.col("label_open") != "ns") & (F.col("j") > 1)))
-    rows = rows.withColumn("ns_from", F.min(F.when(later, F.col("j"))).over(run))
-    inherited = (F.when(F.col("label_open") == "ns", "ns").when(F.col("label_open").isNotNull() & (F.col("j") == 1), F.col("label_open"))
-                 .when(F.col("j") > F.col("ns_from"), "ns"))
-    got = (rows.select("k", "no", F.when(F.col("kind").isin("pair", "bracket"), F.col("field"))
-                       .when(F.col("follows"), inherited).alias("field"),
-                       F.when(F.col("follows"), F.col("line")).otherwise(F.col("own")).alias("value"))
-           .where(F.col("field").isNotNull() & (F.col("field") != "ldhname")))
-    dated = F.when(F.col("field").isin("registration", "lastchanged", "expiration"), iso_date("value")).otherwise(F.col("value"))
-    got = (got.withColumn("value", _trim(dated)).where((F.col("value") != "") & ~F.col("value").rlike(WHOIS_HIDDEN_VALUE))
-           .groupBy("k", "field", "value").agg(F.min("no").alias("no")))
-    first = docs.select(F.col(key).alias("k"), F.lit("ldhname").alias("field"), F.col(key).alias("value"), F.lit(-1).alias("no"))
-    return first.unionByName(got).select(F.col("k").alias(key), (F.col("no") + 1).alias("ord"), "field", "value")
+    own = [key, *([server] if server else [])]
+    known = literal_map({label: field for field, labels in WHOIS_LABELS.items() for label in labels})
+    after = lambda line: _trim(F.substring(line, F.instr(line, ":") + 1, F.length(line)))
+
+    def kind(line: Column) -> Column:
+        return (F.when((line == "") | line.rlike("^[%#]"), "reset").when(line.rlike(WHOIS_BRACKET), "bracket")
+                .when(F.instr(line, ":") > 0, F.when(after(line) != "", "pair").otherwise("open")).otherwise("bare"))
+
+    def labelled(x: Column) -> Column:
+        line, k = x["line"], x["kind"]
+        label = (F.when(k == "bracket", clean_label(F.regexp_extract(line, WHOIS_BRACKET, 1)))
+                 .when(k.isin("pair", "open"), clean_label(F.substring(line, F.lit(1), F.instr(line, ":") - 1))).when(k == "bare", clean_label(line)))
+        value = F.when(k == "bracket", F.regexp_extract(line, WHOIS_BRACKET, 2)).when(k == "pair", after(line)).otherwise(line)
+        return F.struct(k.alias("kind"), label.alias("label"), value.alias("value"), ((k == "bare") & x["raw"].rlike("^[ \t\u3000]")).alias("follows"))
+
+    def named(x: Column) -> Column:
+        label = x["label"]
+        field = F.coalesce(F.try_element_at(known, F.coalesce(label, F.lit(""))), F.when(label.startswith("registrar abuse contact email"), "email")
+                           .when(label.startswith("registrant ") & label.endswith(" organization"), "org").when(label.rlike(r"^ns_name_\d+$"), "ns"))
+        return F.struct(x["kind"].alias("kind"), x["value"].alias("value"), x["follows"].alias("follows"), field.alias("field"),
+                        F.coalesce(label.isin(WHOIS_NS_HEADERS), F.lit(False)).alias("header"))
+
+    def step(acc: Column, x: Column) -> Column:
+        field, header, follows, open_ = x["field"], x["header"], x["follows"], acc["open"]
+        opens = (F.when(x["kind"] == "pair", F.when(field == "ns", "ns")).when(x["kind"] == "open", F.coalesce(field, F.when(header, "ns")))
+                 .when(x["kind"] == "bare", F.when(header, "ns")))
+        j = acc["j"] + 1
+        inherited = F.when(open_ == "ns", "ns").when(open_.isNotNull() & (j == 1), open_).when(acc["ns"], "ns")
+        later = header & (open_.isNull() | ((open_ != "ns") & (j > 1)))
+        got = F.when(follows, inherited).when(x["kind"].isin("pair", "bracket"), field)
+        value = _trim(F.when(got.isin("registration", "lastchanged", "expiration"), iso_date(x["value"])).otherwise(x["value"]))
+        new = F.struct(got.alias("field"), value.alias("value"))
+        keep = got.isNotNull() & (got != "ldhname") & (value != "") & ~value.rlike(WHOIS_HIDDEN_VALUE)
+        seen = F.exists(acc["found"], lambda y: (y["field"] == got) & (y["value"] == value))
+        return F.struct(
+            F.when(follows, open_).otherwise(opens).alias("open"), F.when(follows, j).otherwise(0).alias("j"),
+            F.when(follows, acc["ns"] | later).otherwise(False).alias("ns"), (acc["no"] + 1).alias("no"),
+            F.when(F.coalesce(keep & ~seen, F.lit(False)), F.concat(acc["found"], F.array(F.struct((acc["no"] + 1).alias("ord"), got.alias("field"), value.alias("value"))))).otherwise(acc["found"]).alias("found"))
+
+    start = F.struct(F.lit(None).cast("string").alias("open"), F.lit(0).alias("j"), F.lit(False).alias("ns"), F.lit(0).alias("no"),
+                     F.array(F.struct(F.lit(0).alias("ord"), F.lit("ldhname").alias("field"), F.col(key).cast("string").alias("value"))).alias("found"))
+    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n"), lambda raw: F.struct(raw.alias("raw"), _trim(raw).alias("line")))
+    d = docs.select(*own, F.transform(lines, lambda x: F.struct(x["raw"].alias("raw"), x["line"].alias("line"), kind(x["line"]).alias("kind"))).alias("_l"))
+    d = d.withColumn("_l", F.transform("_l", labelled))
+    d = d.withColumn("_l", F.transform("_l", named))
+    return d.select(*own, F.inline(F.aggregate("_l", start, step)["found"]))
