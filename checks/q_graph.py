@@ -59,7 +59,7 @@ def as_adjacency(spark, sf):
     return A.with_evidence_prefix(adj, p)
 
 
-@query("SELECT asn, neighbor, isleft AS on_left, weak, count(*) AS n FROM adj_rows WHERE asn <> nb GROUP BY ALL".replace("asn, neighbor", "asn, nb AS neighbor"))
+@query("SELECT asn, neighbor, on_left, weak, count(*) AS n FROM beside GROUP BY ALL")
 def neighbour_pairs(spark, sf):
     return A.neighbour_pairs(base.paths(spark, sf)).groupBy("asn", "neighbor", "on_left", "weak").agg(F.count(F.lit(1)).alias("n"))
 
