@@ -121,7 +121,9 @@ def delta_feed(spark, sf):
 @query("""SELECT 'prefixes' AS name, count(*) AS n FROM pfx UNION ALL SELECT 'paths', count(*) FROM ranked UNION ALL SELECT 'pathsearch', count(*) FROM search_table
   UNION ALL SELECT 'asn_neigh', count(*) FROM adj UNION ALL SELECT 'geo', count(*) FROM (SELECT DISTINCT pid, cc, city FROM pieces)
   UNION ALL SELECT 'irr', count(*) FROM (SELECT DISTINCT p.pid, i.origin FROM pfx p JOIN irr_route i ON i.ip_start = p.ip_start AND i.ip_end = p.ip_end)
-  UNION ALL SELECT 'asset_set', count(*) FROM set_dim UNION ALL SELECT 'asset_member', count(*) FROM set_edge UNION ALL SELECT 'asset_memberof', count(*) FROM set_edge""")
+  UNION ALL SELECT 'asset_set', count(*) FROM set_dim UNION ALL SELECT 'asset_member', count(*) FROM set_edge UNION ALL SELECT 'asset_memberof', count(*) FROM set_edge
+  UNION ALL SELECT 'dfz_ref', count(*) FROM dfz UNION ALL SELECT 'countries', count(DISTINCT cc) FROM tagged
+  UNION ALL SELECT 'cities', count(*) FROM (SELECT cc, city FROM tagged WHERE cc IS NOT NULL AND city IS NOT NULL GROUP BY cc, city HAVING count(*) >= 2)""")
 def published_snapshot(spark, sf):
     """The whole snapshot built, written, checked against its manifest and read back."""
     sets = rpsl.as_sets(set_texts(spark, sf), "RADB")

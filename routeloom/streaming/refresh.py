@@ -13,15 +13,22 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content b
 
 
 def refresh_on_new_dumps(spark: SparkSession, source: str, checkpoint: str, rebuild: Callable[[DataFrame, int], None]):
-    """Decode every dump that was not seen before and hand its entries to ``rebuild(entries, batch_id)``.
+    """When a dump appears that was not seen before, hand the entries of every collector's newest dump to
+    ``rebuild(entries, batch_id)``.
 
-    Runs over what is there and stops. The collector is the name of the dump's folder. ``rebuild`` should
-    overwrite by snapshot date, so that a repeated batch gives the same result.
+    New files are only the trigger: a snapshot needs all collectors, also those whose dump is older. Runs over what is
+    there and stops. The collector is the name of the dump's folder. ``rebuild`` should overwrite by snapshot date, so
+    that a repeated batch gives the same result.
     """
     files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", True).load(source)
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        framed = rib_dump.frames(batch)
+        if batch.select("path").isEmpty():
+            return
+        stored = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source)
+        newest = (stored.select("path", "modificationTime", F.element_at(F.split("path", "/"), -2).alias("collector"))
+                  .groupBy("collector").agg(F.max(F.struct("modificationTime", "path")).alias("last")).select("last.path"))
+        framed = rib_dump.frames(stored.join(F.broadcast(newest), "path", "left_semi"))  # one path per collector
         entries = rib_dump.entries_from_frames(durable(framed.repartition("file", "seq")))
         rebuild(entries.withColumn("collector", F.element_at(F.split("file", "/"), -2)).drop("file", "seq"), batch_id)
 

@@ -100,7 +100,14 @@ def test_refresh_reads_each_dump_once(spark, tmp_path):
     for _ in range(2):
         refresh.refresh_on_new_dumps(spark, str(tmp_path / "in"), str(tmp_path / "ckpt"), rebuild).awaitTermination()
     assert len(seen) == 1
+    first = spark.read.parquet(str(out)).count()
     assert {r.collector for r in spark.read.parquet(str(out)).collect()} == {"rrc06"}
+    # A collector that comes later joins the one that is there.
+    (tmp_path / "in" / "rrc01").mkdir()
+    (tmp_path / "in" / "rrc01" / "two.mrt").write_bytes(dump())
+    refresh.refresh_on_new_dumps(spark, str(tmp_path / "in"), str(tmp_path / "ckpt"), rebuild).awaitTermination()
+    got = spark.read.parquet(str(out))
+    assert len(seen) == 2 and got.count() == 2 * first and {r.collector for r in got.collect()} == {"rrc01", "rrc06"}
 
 
 # ---------------------------------------------------------------- registry texts
