@@ -4,6 +4,8 @@ A byte goes if it is covered by a ``length``-byte string that also starts in a d
 string holds, by winnowing, an anchor: the place of the smallest k-gram hash among its k-grams, the same in every copy of
 the string. The steps:
 
+0. A document whose whole text an earlier one has is settled at once: all of it goes, and it takes no part below, as the
+   earlier one stands for it.
 1. Each part (a group of whole documents of bounded bytes) sends its distinct anchor hashes; hashes in two documents or
    more come back. Hashes are only a filter: collisions add work, not results.
 2. Each part sorts the suffixes at those anchors into one run per key range, folds equal ones to their smallest document,
@@ -222,9 +224,9 @@ def classify(lcp: np.ndarray, left: np.ndarray, left_size: np.ndarray, size: np.
 # ---------------------------------------------------------------- Spark steps
 
 _HASHES = "bucket int, part int, once binary, more binary, often binary"
-_REPLY = "part int, hot boolean, hashes binary"
+_REPLY = "part int, hot boolean, hashes binary, copy bigint, digest bigint"
 _RUNS = "range int, part int, docs binary, owners binary, lcps binary, sizes binary, rest binary, lefts binary, left_sizes binary, copies binary, copy_bits binary"
-_MARKS = "part int, owners binary, bits binary"
+_MARKS = "part int, owners binary, bits binary, copy bigint, digest bigint"
 _RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, spans array<bigint>"
 _KINDS = {"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
 
@@ -235,18 +237,25 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, _KINDS[t]) for c, t in zip(columns, kinds)], names=list(names))
 
 
-def _part_text(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents of a part by id, then text, so that every step sees the same bytes in the same places."""
+def _part_text(rows: pa.Table, notes: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Documents of a part by id, then text, so that every step sees the same bytes in the same places: bytes, offsets,
+    ids, and whether ``notes`` names the row as a copy of an earlier one."""
     rows = rows.sort_by([("id", "ascending"), ("text", "ascending")])
     raw, offs = flat(rows.column("text"))
-    return raw[offs[0]:offs[-1]], offs - offs[0], rows.column("id").to_numpy()
+    named = {(a, b) for a, b in zip(notes.column("copy").to_pylist(), notes.column("digest").to_pylist()) if a is not None}
+    ids = rows.column("id")
+    copy = np.array([x in named for x in zip(ids.to_pylist(), rows.column("digest").to_pylist())], bool)
+    return raw[offs[0]:offs[-1]], offs - offs[0], ids.to_numpy(), copy
 
 
-def _anchored(raw: np.ndarray, offs: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _anchored(raw: np.ndarray, offs: np.ndarray, copy: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors of the documents that are no copies."""
     got = list(anchors(raw, offs, length, k))
     if not got:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got])
+    at, h = np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got])
+    own = ~copy[np.searchsorted(offs, at, side="right") - 1]
+    return at[own], h[own]
 
 
 def _pack48(h: np.ndarray) -> bytes:
@@ -289,11 +298,11 @@ def _run(text: bytes, place: np.ndarray, size: np.ndarray, left_size: np.ndarray
             np.array([x[3] for x in copies], "<i8").tobytes(), bits.tobytes())
 
 
-def _bounds(frame: DataFrame, length: int, k: int, n: int) -> list[bytes]:
-    """Range bounds from a bounded sample of suffixes; they balance the ranges and have no part in the result."""
+def _bounds(frame: DataFrame, length: int, k: int, n: int, rows: int) -> list[bytes]:
+    """Range bounds from about 2,000 texts chosen by a hash; they balance the ranges and have no part in the result."""
     room = F.greatest(F.length("text") - k, F.lit(1))
-    cuts = [F.substring(F.col("text"), (F.pmod(F.xxhash64("id", F.lit(j)), room) + 1).cast("int"), F.lit(k)) for j in range(20)]
-    held = frame.where(F.octet_length("text") >= length).orderBy(F.xxhash64("id"), "id").limit(max(500, n)).select(F.array(*cuts).alias("cuts")).collect()
+    cuts = [F.substring(F.col("text"), (F.pmod(F.xxhash64("id", F.lit(j)), room) + 1).cast("int"), F.lit(k)) for j in range(10)]
+    held = frame.where(F.pmod(F.xxhash64("id"), F.lit(max(1, rows // 2000))) == 0).where(F.octet_length("text") >= length).select(F.array(*cuts).alias("cuts")).collect()
     sample = sorted(c.encode()[:k] for r in held for c in r["cuts"])
     return [sample[len(sample) * i // n] for i in range(1, n)] if sample else []
 
@@ -304,15 +313,21 @@ def dedup(docs: DataFrame, length: int = LENGTH, k: int = GRAM, part_bytes: int
     ``length`` is at most 255 and ``length - k`` at most 63.
     """
     frame = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = frame.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    n = max(1, -(-size // part_bytes))
-    parts = frame.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    bounds = _bounds(frame, length, k, n)
+    size = frame.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    n = max(1, -(-(size["b"] or 0) // part_bytes))
+    parts = frame.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("digest", F.xxhash64("text"))
+    bounds = _bounds(frame, length, k, n, size["n"])
+    lean = parts.select("part", "id", "digest", F.xxhash64(F.lit(1), "text").alias("second"), F.octet_length("text").alias("size")).where(F.col("size") >= length)
+    least = lean.groupBy("digest", "second", "size").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    copies = lean.join(least, ["digest", "second", "size"]).where("id > first").select(F.col("part").alias("part"), F.col("id").alias("copy"), F.col("digest").alias("digest"))
+    no_bytes, no_flag = F.lit(None).cast("binary"), F.lit(None).cast("boolean")
     deepest = length - k
 
-    def hashes(rows: pa.Table) -> pa.Table:
-        raw, offs, ids = _part_text(rows)
-        at, h = _anchored(raw, offs, length, k)
+    def hashes(rows: pa.Table, notes: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return _table([], _HASHES)
+        raw, offs, ids, copy = _part_text(rows, notes)
+        at, h = _anchored(raw, offs, copy, length, k)
         if not len(at):
             return _table([], _HASHES)
         doc = np.unique(ids, return_inverse=True)[1][np.searchsorted(offs, at, side="right") - 1]
@@ -342,16 +357,16 @@ def dedup(docs: DataFrame, length: int = LENGTH, k: int = GRAM, part_bytes: int
             for is_hot in (False, True):
                 pick = own[multi[i] & ((total[i] > hot) == is_hot)]
                 if len(pick):
-                    out.append((part, is_hot, _pack48(pick)))
+                    out.append((part, is_hot, _pack48(pick), None, None))
         return _table(out, _REPLY)
 
     def runs(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not answers.num_rows or not rows.num_rows:
             return _table([], _RUNS)
-        raw, offs, ids = _part_text(rows)
-        at, h = _anchored(raw, offs, length, k)
+        raw, offs, ids, copy = _part_text(rows, answers)
+        at, h = _anchored(raw, offs, copy, length, k)
         text, part, out = raw.tobytes(), rows.column("part")[0].as_py(), []
-        replies = answers.to_pylist()
+        replies = [r for r in answers.to_pylist() if r["hashes"] is not None]
         for is_hot in (False, True):
             chosen = np.sort(np.concatenate([np.zeros(0, np.uint64), *[_unpack48(r["hashes"]) for r in replies if r["hot"] == is_hot]]))
             if not len(chosen):
@@ -397,15 +412,19 @@ def dedup(docs: DataFrame, length: int = LENGTH, k: int = GRAM, part_bytes: int
             own = bits[a:a + len(r["lcps"])]
             pick = np.flatnonzero(own)
             if len(pick) or r["copies"]:
-                out.append((r["part"], np.frombuffer(r["owners"], "<i8")[pick].tobytes() + r["copies"], own[pick].tobytes() + r["copy_bits"]))
+                out.append((r["part"], np.frombuffer(r["owners"], "<i8")[pick].tobytes() + r["copies"], own[pick].tobytes() + r["copy_bits"], None, None))
         return _table(out, _MARKS)
 
     def apply(rows: pa.Table, marks: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return _table([], _RESULT)
-        raw, offs, ids = _part_text(rows)
+        raw, offs, ids, copy = _part_text(rows, marks)
         gone = np.zeros(len(raw) + 1, np.int32)
+        np.add.at(gone, offs[:-1][copy], 1)
+        np.add.at(gone, offs[1:][copy], -1)
         for owners, bits in zip(marks.column("owners").to_pylist(), marks.column("bits").to_pylist()):
+            if owners is None:
+                continue
             first, b = np.frombuffer(owners, "<i8"), np.frombuffer(bits, "<u8")
             for l in range(deepest + 1):
                 p = first[(b >> np.uint64(l)) & np.uint64(1) == 1] - l
@@ -419,8 +438,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, k: int = GRAM, part_bytes: int
             out.append((None if doc == _NO_ID else doc, len(own), int(own.sum()), len(edges) // 2, body[~own].tobytes() if len(edges) else body.tobytes(), edges.tolist()))
         return _table(out, _RESULT)
 
-    found = parts.groupBy("part").applyInArrow(hashes, _HASHES)
-    answers = found.groupBy("bucket").applyInArrow(reply, _REPLY)
+    noted = copies.withColumn("hot", no_flag).withColumn("hashes", no_bytes).select("part", "hot", "hashes", "copy", "digest")
+    settled = copies.withColumn("owners", no_bytes).withColumn("bits", no_bytes).select("part", "owners", "bits", "copy", "digest")
+    found = parts.groupBy("part").cogroup(copies.groupBy("part")).applyInArrow(hashes, _HASHES)
+    answers = found.groupBy("bucket").applyInArrow(reply, _REPLY).unionByName(noted)
     sent = parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(runs, _RUNS)
-    marks = sent.groupBy("range").applyInArrow(merged, _MARKS)
+    marks = sent.groupBy("range").applyInArrow(merged, _MARKS).unionByName(settled)
     return parts.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(apply, _RESULT)
