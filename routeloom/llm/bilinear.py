@@ -198,7 +198,15 @@ def _averaged(df: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, counts: DataFrame, in_training: Column, fold: Column, rounds: list[int]) -> Model:
     """Counts become the vocabulary; then one round for each fold of the training documents."""
-    top = counts.orderBy(F.desc("c"), "token").limit(HEAD).toPandas()
+    # Tokens by eighths of powers of two of their count: few rows, whatever the input; whole levels are taken while they fit.
+    level = F.floor(F.log2("c") * 8)
+    levels = sorted((r["level"], r["n"]) for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect())[::-1]
+    least, held = 1 << 20, 0
+    for at, n in levels:
+        if held + n > HEAD:
+            break
+        least, held = at, held + n
+    top = counts.where(level >= least).toPandas().sort_values(["c", "token"], ascending=[False, True])
     hashes, c = top["token"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
     sums = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("one"), F.sum((F.col("c") == 2).cast("long")).alias("two")).first()
     words = np.sort(c[hashes != END_HASH])[::-1][:VOCAB - 3]
