@@ -123,7 +123,7 @@ class Trie:
         base, check, value, node = self.base, self.check, self.value, 0
         for i in range(start, len(raw)):
             child = base[node] + raw[i]
-            if not base[node] or check[child] != node:
+            if check[child] != node:  # a leaf's base is 0, and no cell names a leaf as its parent
                 return
             node = child
             if value[node] >= 0:
@@ -157,16 +157,26 @@ class Pieces:
         n = len(raw)
         total, back = [None] * (n + 1), [(0, -1)] * (n + 1)
         total[0] = 0.0
+        # The walk of Trie.ends, written out: it is the inner loop of all encoding.
+        base, check, value, scores = self.trie.base, self.trie.check, self.trie.value, self.scores
         i = 0
         while i < n:
             lead = raw[i]
             width = 1 if lead < 128 else 2 if lead < 224 else 3 if lead < 240 else 4
-            here, single = total[i], False
-            for end, piece in self.trie.ends(raw, i):
-                single |= end == i + width
-                score = here + self.scores[piece]
-                if total[end] is None or score > total[end]:
-                    total[end], back[end] = score, (i, piece)
+            here, single, node, j = total[i], False, 0, i
+            while j < n:
+                child = base[node] + raw[j]
+                if check[child] != node:
+                    break
+                node = child
+                j += 1
+                piece = value[node]
+                if piece >= 0:
+                    if j == i + width:
+                        single = True
+                    score = here + scores[piece]
+                    if total[j] is None or score > total[j]:
+                        total[j], back[j] = score, (i, piece)
             if not single:
                 end, score = i + width, here + self.penalty
                 if total[end] is None or score > total[end]:
