@@ -34,7 +34,7 @@ from .common import flat, mix
 
 LENGTH = 50
 #: k of the anchor k-grams; raw bytes of a part; suffixes sharing an anchor from which its strings travel one by one.
-GRAM, PART_BYTES, HOT = 24, 8 << 20, 20_000
+GRAM, PART_BYTES, HOT = 24, 4 << 20, 20_000
 #: Bytes hashed at a time.
 _STEP = 1 << 19
 _MUL = np.uint64(0x9E3779B97F4A7C15)
