@@ -1,10 +1,10 @@
-"""Line dedup by pairwise alignment: documents meet in shared rare lines, patience diff aligns them, and aligned common
+"""Line dedup by pairwise alignment: documents meet in shared lines, patience diff aligns them, and aligned common
 blocks are deleted from the later one.
 
 Lines are compared without surrounding blanks; blank lines belong to a block but never start a match. For each shared line
 the partner of a document is the first document that holds it, so a line in very many documents gives one pair for each
-of them and never all pairs. A line is rare if at most ``rare`` documents share it; a document that shares only more
-frequent lines is paired through its rarest.
+of them and never all pairs. No shared line is left out, however frequent it is. ``rare`` is accepted from callers that
+still pass it and changes nothing.
 
 Rows with equal id and text are one document and get the same result; rows with one id and different texts are ordered by
 a hash of the text. A null id takes no part and its row stays as it is; null and empty texts stay as they are.
@@ -18,12 +18,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BooleanType
 
 from routeloom.session import durable
 
-#: Documents that share a line for it to count as rare.
+#: Once the number of documents above which a line's pair could be left out; no pair is left out any more.
 RARE = 100
 #: Words that an aligned block must hold to be deleted.
 MIN_WORDS = 8
@@ -105,7 +105,7 @@ def common_lines(later: list[int], earlier: list[int], n_words: list[int], min_w
     return out
 
 
-def removed_lines(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
+def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text_hash, gone): line numbers to delete, for the documents that lose any."""
     lines = F.split("text", "\n")
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id IS NOT NULL AND text <> ''")
@@ -115,11 +115,9 @@ def removed_lines(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS)
                  F.transform(trimmed, lambda x: F.regexp_count(x, F.lit(r"\S+"))).alias("n_words"))
     d = durable(d.dropDuplicates(["doc_id", "text_hash"]))
     each = d.select("doc_id", "text_hash", F.explode(F.array_distinct("hashes")).alias("line")).where("line <> 0")
-    shared = each.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_hash")).alias("first")).where("n > 1")
+    shared = each.groupBy("line").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
     met = each.join(shared, "line").where(F.struct("doc_id", "text_hash") > F.col("first"))
-    pairs = met.groupBy("doc_id", "text_hash", "first").agg(F.min("n").alias("n"))
-    least = F.min("n").over(W.partitionBy("doc_id", "text_hash"))
-    pairs = pairs.withColumn("least", least).where((F.col("n") <= rare) | (F.col("n") == F.col("least"))).select("doc_id", "text_hash", F.col("first.doc_id").alias("other_id"), F.col("first.text_hash").alias("other_hash"))
+    pairs = met.select("doc_id", "text_hash", F.col("first.doc_id").alias("other_id"), F.col("first.text_hash").alias("other_hash")).distinct()
     other = d.select(F.col("doc_id").alias("other_id"), F.col("text_hash").alias("other_hash"), F.col("hashes").alias("other"))
     both = pairs.join(d, ["doc_id", "text_hash"]).join(other, ["other_id", "other_hash"]).select("doc_id", "text_hash", "hashes", "n_words", "other")
 
@@ -149,7 +147,7 @@ def dedup(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS) -> Data
     A document that loses no line keeps its text byte for byte; otherwise the remaining lines are joined again.
     """
     own = [c for c in docs.columns if c.lower() not in ("line_count", "lines_removed", "lines_left")]
-    gone = removed_lines(docs, rare, min_words).withColumnsRenamed({"doc_id": "gone_id", "text_hash": "gone_hash"})
+    gone = removed_lines(docs, min_words).withColumnsRenamed({"doc_id": "gone_id", "text_hash": "gone_hash"})
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.select(*[F.col(f"`{c}`") for c in own])
     d = d.join(gone, (F.col("doc_id").cast("bigint") == F.col("gone_id")) & (F.xxhash64(body) == F.col("gone_hash")), "left")

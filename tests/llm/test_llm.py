@@ -95,6 +95,13 @@ def test_frequent_lines_still_pair_each_copy_with_the_first(spark):
     assert got.where("lines_left").count() == 1 and got.where("lines_removed = 4").count() == 299
 
 
+def test_frequent_passage_goes_from_documents_that_share_a_rarer_line_too(spark):
+    passage = "a passage of nine words that very many share"
+    made = [(0, f"start\n{passage}"), (1, "rarer\nown words")] + [(i, f"{passage}\nrarer {i}" if i % 2 else f"{passage}\nrarer") for i in range(2, 300)]
+    got = lines.dedup(spark.createDataFrame(made, "doc_id long, text string"))
+    assert got.where(F.contains("text", F.lit(passage))).count() == 1 and got.where("lines_removed = 1").count() == 298
+
+
 # ------------------------------------------------------------------ suffix dedup
 
 def removed_by_brute_force(docs, length):
