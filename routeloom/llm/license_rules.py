@@ -45,7 +45,7 @@ FAMILIES = [
     ("postgresql", "postgresql", r"postgresql licen[sc]e"),
     ("openssl", "openssl", r"openssl licen[sc]e"),
     ("w3c", "w3c", r"w3c(?: software)?(?: notice and)? licen[sc]e"),
-    ("ofl", "sil", r"(?:sil )?open font licen[sc]e"),
+    ("ofl", "font", r"(?:sil )?open font licen[sc]e"),
     ("odbl", "odbl", r"odbl"),
     ("odbl", "database", r"open(?: data commons open)? database licen[sc]e"),
     ("odc-by", "commons", r"open data commons attribution licen[sc]e"),
@@ -100,7 +100,8 @@ SINGLE = [
     ("isc", "purpose", r"permission to use copy modify and or distribute this software for any purpose", 0, 1.0),
     ("bsd", "redistribution", r"redistribution and use in source and binary forms", 0, 1.0),
     ("gpl", "redistribute", r"free software you can redistribute it and or modify it", 0, 0.9),
-    ("warranty", "warranty", r"without (?:any )?warrant(?:y|ies)(?: of any kind)?", 4, 0.3),
+    ("warranty", "warranty", r"without (?:any )?warranty(?: of any kind)?", 4, 0.3),
+    ("warranty", "warranties", r"without (?:any )?warranties(?: of any kind)?", 4, 0.3),
     ("zlib", "warranty", r"as is without any express or implied warranty", 0, 0.8),
     ("apache", "compliance", r"may not use this file except in compliance with the licen[sc]e", 0, 1.0),
     ("apache", "apache", r"www apache org licen[sc]es(?: licen[sc]e)? 2 0", 0, 1.0),
@@ -111,7 +112,9 @@ SINGLE = [
     ("cc", "creativecommons", r"creativecommons org (?:licen[sc]es|publicdomain)(?: by| zero)?(?: nc)?(?: nd| sa)?(?: \d)?(?: \d)?", 0, 0.9),
     ("wtfpl", "fuck", r"do what the fuck you want to public licen[sc]e", 0, 1.0),
     ("proprietary", "proprietary", r"proprietary and confidential", 2, 0.8),
-    ("proprietary", "redistributed", r"may not be (?:reproduced|copied|redistributed)(?: or (?:reproduced|copied|redistributed))*", 3, 0.5),
+    ("proprietary", "reproduced", r"may not be reproduced(?: or (?:reproduced|copied|redistributed))*", 3, 0.5),
+    ("proprietary", "copied", r"may not be copied(?: or (?:reproduced|copied|redistributed))*", 3, 0.5),
+    ("proprietary", "redistributed", r"may not be redistributed(?: or (?:reproduced|copied|redistributed))*", 3, 0.5),
     ("non-commercial", "commercial", r"(?:for )?non commercial (?:use|purposes)(?: only)?", 4, 0.4),
     ("research-only", "research", r"(?:for )?research (?:use|purposes) only", 4, 0.4),
 ]
@@ -120,8 +123,8 @@ SINGLE = [
 BASE = [("cc-by", "cc", r"cc by"), ("gpl", "general", r"general public license"), ("reserved", "reserved", r"all rights reserved")]
 
 #: Stems of which every rule's match holds at least one; documents without any are not scanned further.
-GATE = (r"(?i)licen|copyright|reserv|rechte[^a-z0-9]{1,9}vorb|public|cc0|cc[^a-z0-9]{1,9}by|commons|openrail|gpl|gfdl|mpl|cddl|eupl|wtfpl|odbl|pddl|cecill|warrant"
-        r"|hereby|redistribut|free[^a-z0-9]{1,9}software|any[^a-z0-9]{1,9}purpose|mozilla|proprietary|reproduced|copied|commercial|research")
+GATE = (r"(?i)licen|copyright|reserv|réserv|rechte[^a-z0-9]+vorb|public|cc0|cc[^a-z0-9]+by|commons|openrail|gpl|gfdl|mpl|cddl|eupl|wtfpl|odbl|pddl|cecill|warrant"
+        r"|hereby|redistribut|free[^a-z0-9]+software|any[^a-z0-9]+purpose|mozilla|proprietary|reproduced|copied|commercial|research")
 
 
 def rules() -> list[tuple[str, str, str, int, float, bool]]:

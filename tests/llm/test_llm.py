@@ -1,6 +1,7 @@
 """The document operators against brute force, round trips and held-out labels, and on odd tables."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -215,6 +216,46 @@ def test_license_rules_are_hundreds_of_gated_patterns():
         assert gate.search(text)
 
 
+def every_text(tree):
+    """All texts of a parsed pattern, with one digit for a class of digits and at most two rounds of a repeat."""
+    out = [""]
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            own = [chr(arg)]
+        elif op == "IN":
+            own = ["7" if str(k) == "CATEGORY" else chr(x) for k, x in arg]
+        elif op == "SUBPATTERN":
+            own = every_text(arg[3])
+        elif op == "BRANCH":
+            own = [t for b in arg[1] for t in every_text(b)]
+        else:
+            assert op == "MAX_REPEAT", op
+            once = every_text(arg[2])
+            own = [t for n in range(arg[0], min(arg[1], arg[0] + 2) + 1) for t in map("".join, itertools.product(once, repeat=n))]
+        out = [a + b for a in out for b in own]
+    return out
+
+
+def test_every_license_text_passes_both_gates():
+    # A phrasing only puts words before and after a name, so the bare name stands for all five.
+    assert all(before in ("",) or before[-1] == " " or before.endswith(" )?") for _, _, _, before, _ in license_rules.PHRASINGS)
+    bare = license_rules.BASE + license_rules.FAMILIES + [x[:3] for x in license_rules.SINGLE]
+    assert len(bare) > 90
+    for label, word, pattern in bare:
+        for t in every_text(re._parser.parse(pattern)):
+            assert re.fullmatch(pattern, t) and word in t.split(" "), (label, word, t)
+            for gap in (" ", "\n" + " " * 20):
+                assert re.search(license_rules.GATE, t.replace(" ", gap)), (label, t)
+
+
+def test_license_phrases_alone_are_found(spark):
+    want = {"It may not be copied.": "proprietary", "They may not be reproduced or copied": "proprietary", "May not be redistributed": "proprietary", "without warranties of any kind": "warranty",
+            "licensed under the Open Font License": "ofl", "Tous droits réservés": "reserved", "Alle Rechte\n              vorbehalten": "reserved"}
+    got = licenses.scan(spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")).collect()
+    assert {list(want)[r["doc_id"]]: r["labels"] for r in got} == want and all(r["score"] > 0 and r["n_kept"] == 1 for r in got)
+
+
 def base_by_brute_force(t):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     found = sorted((i, label) for p, label in (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
