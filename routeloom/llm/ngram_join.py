@@ -6,6 +6,10 @@ pass a filter on a hash order, which drops those without enough shared tokens; t
 frequency with ties by several hashes, and a candidate pair must share a prefix token in every one of these orders before
 its sets are compared.
 
+Links are then counted within each component, since no link leaves one: the sets of two blocks of its classes are
+compared in one task, which returns a count per class and no pairs. n_links is thus the number of all classes that reach
+the threshold; its work grows with the square of a component.
+
 Equal sets are one class, represented by the smallest id. Within a block of classes that share a token the classes are
 compared with a few pivots first; only classes that remain in different components are then compared with each other, so
 a large group of near copies costs a star and not all pairs. Null and empty texts have an empty set and link with
@@ -28,6 +32,10 @@ from .components import components
 N_WORDS, PERCENT = 5, 80
 #: Orders that every candidate must pass, and pivots tried in each block before its other pairs.
 ORDERS, PIVOT_ROUNDS = 3, 3
+#: Tokens of the classes in one block of a component, about; a class counts as LEAST_TOKENS at least, which bounds a block's classes.
+BLOCK_TOKENS, LEAST_TOKENS = 1 << 17, 256
+#: Tokens compared at once within two blocks.
+SLAB = 2048
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
 
@@ -114,9 +122,9 @@ def survivors(heads: DataFrame) -> DataFrame:
     return met.join(heads.select("doc_id", "n").distinct(), "doc_id").where(F.col("hits") >= F.floor(F.col("n") / 20) + 1).select("doc_id").distinct()
 
 
-def links(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(documents, links): documents are (doc_id, n, class_id) for every row with an id; links are (a, b, both) between
-    class ids and join the same classes as all links together do."""
+def links(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, links, sets): documents are (doc_id, n, class_id) for every row with an id; links are (a, b, both) between
+    class ids and join the same classes as all links together do; sets has (doc_id, n, tokens) of every class in a link."""
     d = texts(docs).where("doc_id IS NOT NULL")
     heads = durable(_sets(d, n_words, False, percent))
     classes = heads.where("n > 0").groupBy("n", "low", "high").agg(F.min("doc_id").alias("class_id"))
@@ -148,7 +156,73 @@ def links(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT) -> tu
     other = state.select("token", F.col("doc_id").alias("b"), F.col("part").alias("part_b"), F.col("n").alias("n_b"), F.col("k").alias("k_b"))
     rest = state.join(other, "token").where((F.col("doc_id") < F.col("b")) & (F.col("part") != F.col("part_b")) & _can_reach("n", "k", "n_b", "k_b", percent))
     new = durable(_verified(rest.select(F.col("doc_id").alias("a"), "b").distinct(), sets, percent))
-    return members, found.unionByName(new).distinct()
+    return members, found.unionByName(new).distinct(), sets.select("doc_id", "n", "tokens")
+
+
+def linked(a: list[np.ndarray], b: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
+    """Which sets of ``a`` and ``b`` (distinct tokens each) reach the threshold, as a matrix."""
+    n_a, n_b = (np.array([len(t) for t in x], np.int64) for x in (a, b))
+    all_a, all_b = np.concatenate(a), np.concatenate(b)
+    row_a, row_b = np.repeat(np.arange(len(a)), n_a), np.repeat(np.arange(len(b)), n_b)
+    common = np.intersect1d(all_a, all_b)
+
+    def placed(tokens: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(common, tokens), max(len(common) - 1, 0))
+        held = common[at] == tokens if len(common) else np.zeros(len(tokens), bool)
+        order = np.argsort(at[held], kind="stable")
+        return at[held][order], row[held][order]
+
+    (at_a, row_a), (at_b, row_b) = placed(all_a, row_a), placed(all_b, row_b)
+    both = np.zeros((len(a), len(b)), np.float64)
+    for lo in range(0, len(common), SLAB):
+        x, y = np.zeros((len(a), SLAB), np.float32), np.zeros((len(b), SLAB), np.float32)
+        for m, at, row in ((x, at_a, row_a), (y, at_b, row_b)):
+            i, j = np.searchsorted(at, (lo, lo + SLAB))
+            m[row[i:j], at[i:j] - lo] = 1
+        both += x @ y.T
+    return both * 100 >= (n_a[:, None] + n_b[None, :] - both) * percent
+
+
+def degrees(part: DataFrame, sets: DataFrame, percent: int = PERCENT, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """(node, n_links): how many other classes each class of a component reaches the threshold with."""
+    d = durable(part.join(sets, F.col("node") == F.col("doc_id")).select("component", "node", "n", "tokens"))
+    size = d.groupBy("component").agg(F.ceil(F.sum(F.greatest("n", F.lit(LEAST_TOKENS))) / block_tokens).cast("int").alias("blocks"))
+    # Components of several blocks: at most all tokens / block_tokens of them.
+    d = d.join(F.broadcast(size.where("blocks > 1")), "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    d = d.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    d = d.select("component", "node", "tokens", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    d = d.select("component", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), (F.col("block") > F.col("with")).alias("right"), "node", "tokens")
+    d = d.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sides = None, ([], [])
+
+        def counted() -> pa.RecordBatch:
+            (left, right), (component, lo, hi) = sides, key
+            nodes, n = [], []
+            if lo == hi and left:
+                m = linked([t for _, t in left], [t for _, t in left], percent)
+                np.fill_diagonal(m, False)
+                nodes, n = [x for x, _ in left], m.sum(1)
+            elif left and right:
+                m = linked([t for _, t in left], [t for _, t in right], percent)
+                nodes, n = [x for x, _ in left + right], np.concatenate((m.sum(1), m.sum(0)))
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(n, pa.int64())], names=["node", "n_links"])
+
+        for b in batches:
+            tokens = b.column("tokens")
+            ends, flat_tokens = tokens.offsets.to_numpy(), tokens.values.to_numpy()
+            rows = zip(*(b.column(c).to_pylist() for c in ("component", "lo", "hi", "right", "node")))
+            for i, (component, lo, hi, right, node) in enumerate(rows):
+                if key != (component, lo, hi):
+                    if key is not None:
+                        yield counted()
+                    key, sides = (component, lo, hi), ([], [])
+                sides[right].append((node, flat_tokens[ends[i]:ends[i + 1]].copy()))
+        if key is not None:
+            yield counted()
+
+    return d.mapInArrow(count, "node bigint, n_links bigint").groupBy("node").agg(F.sum("n_links").alias("n_links"))
 
 
 def _ordered(sets: DataFrame, percent: int) -> DataFrame:
@@ -169,12 +243,23 @@ def _ordered(sets: DataFrame, percent: int) -> DataFrame:
     return durable(x.where(F.size("p0") > 0).drop("known"))
 
 
+def parts(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, (node, component) of every class in a link, sets)."""
+    members, found, sets = links(docs, n_words, percent)
+    return members, components(found), sets
+
+
+def firsts(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
+    """Ids of the documents that are the smallest of their component; no links are counted for this."""
+    members, part, _ = parts(docs, n_words, percent)
+    out = members.join(part, members.class_id == part.node, "left")
+    return out.where(F.col("doc_id") == F.coalesce("component", "class_id")).select("doc_id").distinct()
+
+
 def groups(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, class_id, component_id, n_links (found for its class)."""
-    members, found = links(docs, n_words, percent)
-    found = durable(found)
-    part = components(found)
-    degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    """One row per input row: doc_id, n_shingles, class_id, component_id, n_links (all other classes that its class reaches the threshold with)."""
+    members, part, sets = parts(docs, n_words, percent)
+    degree = degrees(part, sets, percent)
     out = members.join(part, members.class_id == part.node, "left").drop("node").join(degree, F.col("class_id") == F.col("node"), "left")
     out = out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
     none = docs.where(F.col("doc_id").isNull()).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(0).cast("bigint").alias("n_shingles"), F.lit(None).cast("bigint").alias("class_id"), F.lit(None).cast("bigint").alias("component_id"), F.lit(0).cast("bigint").alias("n_links"))

@@ -192,6 +192,25 @@ def test_ngram_join_equals_brute_force(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == groups_by_brute_force(rows)
 
 
+def test_every_link_of_a_group_of_near_copies_is_counted(spark):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    made = []
+    for i in range(40):
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(9)}"
+        made.append((i, " ".join(w)))
+    d = spark.createDataFrame(made, "doc_id long, text string")
+    sets = {i: {tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for i, t in made}
+    classes = {frozenset(s): i for i, s in reversed(sets.items())}
+    want = {i: sum(s != x and 100 * len(s & x) >= 80 * len(s | x) for x in classes) for i, s in sets.items()}
+    assert {r["doc_id"]: r["n_links"] for r in ngram_join.groups(d).collect()} == want and max(want.values()) > 10
+    _, part, held = ngram_join.parts(d)
+    got = ngram_join.degrees(part, held, block_tokens=2000).collect()  # several blocks
+    assert {r["node"]: r["n_links"] for r in got} == {i: want[i] for i in classes.values() if want[i]}
+
+
 def test_ngram_query_equals_brute_force_on_documents(spark):
     d = pd.read_parquet(f"{SF}/documents.parquet")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op3_ngram_jaccard(spark, SF).collect()}
