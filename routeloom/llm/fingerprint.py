@@ -4,7 +4,8 @@ A k-mer of code points is an anchor if the smallest hash among its inner s-mers
 fingerprint is the sequence of anchor hashes, six hex digits each. A text without anchors (shorter than k, or with none by
 chance) has one anchor, the hash of the whole; a null or empty text has none and an empty fingerprint. Two empty
 fingerprints are alike by 1, an empty and another by 0. Rows with one doc_id are ordered by text; a null doc_id stands
-after all others; a single row is its own next document.
+after all others; a single row is its own next document. A text edited in its second half shares an anchor with the
+original from 37 code points on; shorter ones may share none, and below 23 they do so only if nothing changed.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import mix, texts
 
-K, S = 48, 8
+#: An anchor is among every 2 k - s - 1 = 19 code points, so two texts with as many in common share one.
+K, S = 12, 4
 #: Rows of one id range at most, about; a range is streamed, so this bounds time and not memory.
 ROWS_PER_RANGE = 50_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)

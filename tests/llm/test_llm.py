@@ -452,6 +452,14 @@ def test_fingerprints_equal_brute_force(spark):
         assert 0 <= r["near_next"] <= 1 and r["near_edited"] == fingerprint.likeness(fingerprint.anchors(t), fingerprint.anchors(edited))
 
 
+def test_half_edited_short_texts_are_alike():
+    rng = random.Random(11)
+    for n in [*range(37, 201)] * 3:
+        t, other = ("".join(rng.choice("abcdefgh é") for _ in range(n)) for _ in range(2))
+        half = n // 2
+        assert fingerprint.likeness(fingerprint.anchors(t), fingerprint.anchors(t[:n - half] + other[:half])) > 0
+
+
 def test_likeness():
     a = fingerprint.anchors("abc " * 200)
     assert fingerprint.likeness(a, a) == 1 and fingerprint.likeness(a, a[:0]) == 0 and fingerprint.likeness(a[:0], a[:0]) == 1
