@@ -139,9 +139,9 @@ def show_ping(sums: DataFrame, key: str = "probe") -> DataFrame:
 
 
 def probe_locations(probes: DataFrame, networks: int = 12) -> DataFrame:
-    """Probes per (country, city): count, mean coordinates, the ``networks`` most common networks.
+    """Probes per (country, city): count, mean coordinates, the ``networks`` most common networks for display, and all of them.
 
-    Counted per network first, so the arrays hold at most ``networks`` items.
+    Counted per network first, so ``all_networks`` holds one item per network of the place.
     """
     p = (probes.where((F.coalesce("city", F.lit("")) != "") & (F.coalesce("country", F.lit("")) != ""))
          .withColumn("place_key", place_key("country", "city")))
@@ -151,17 +151,19 @@ def probe_locations(probes: DataFrame, networks: int = 12) -> DataFrame:
     nets = p.where(F.coalesce("network", F.lit("")) != "").groupBy("place_key", "network").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.coalesce("asn", F.lit(0))).alias("asn"))
     w = Window.partitionBy("place_key").orderBy(F.desc("n"), "network")
-    top = nets.withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= networks)
-    arrays = top.groupBy("place_key").agg(F.sort_array(F.collect_list(F.struct("ord", "network", "asn", "n"))).alias("networks"))
+    ranked = nets.withColumn("ord", F.row_number().over(w))
+    arrays = ranked.groupBy("place_key").agg(F.sort_array(F.collect_list(F.struct("ord", "network", "asn", "n"))).alias("all_networks"))
+    arrays = arrays.withColumn("networks", F.filter("all_networks", lambda x: x["ord"] <= networks))
     return loc.join(arrays, "place_key", "left").select(
         place_slug("n.country", "n.city").alias("slug"), "place_key", F.col("n.country").alias("cc"), F.col("n.city").alias("city"),
-        "count", "lat", "lon", "networks")
+        "count", "lat", "lon", "networks", "all_networks")
 
 
 def suggestions(locations: DataFrame, query: str) -> DataFrame:
     """What a text may mean: 6 places, 4 countries, 5 networks, as (kind, ord, label, n).
 
-    ``locations`` as from :func:`probe_locations`, plus ``country`` (its display name).
+    ``locations`` as from :func:`probe_locations`, plus ``country`` (its display name). Networks are counted from
+    all networks of each place.
     """
     q = query.strip().lower()
     hit = lambda c: F.contains(F.lower(c), F.lit(q))
@@ -175,7 +177,7 @@ def suggestions(locations: DataFrame, query: str) -> DataFrame:
 
     cities = places.select(F.col("slug").alias("label"), F.col("count").alias("n"))
     countries = (locations.where(hit(F.concat_ws(" ", "country", "cc"))).groupBy(F.col("cc").alias("label")).agg(F.sum("count").alias("n")))
-    nets = locations.select(F.explode("networks").alias("w")).where(
+    nets = locations.select(F.explode("all_networks").alias("w")).where(
         hit(F.col("w.network")) | F.contains(F.concat(F.lit("as"), F.col("w.asn").cast("string")), F.lit(q)))
     nets = nets.groupBy(F.col("w.asn").cast("string").alias("label")).agg(F.sum("w.n").alias("n"))
     out = ranked(cities, "city", 6).unionByName(ranked(countries, "country", 4)).unionByName(ranked(nets, "network", 5))

@@ -274,3 +274,13 @@ def test_pages_and_name_ranks(spark):
     assert [(r.asn, r.rank) for r in S.names_matching(names, "foo").orderBy("rank", "asn").collect()] == [(1, 0), (2, 1), (3, 1)]
     assert S.names_matching(names, " ").isEmpty()
     assert [S.low_cut(x) for x in (None, 1, 100)] == [3, 3, 20]
+
+
+def test_suggestions_count_networks_beyond_the_displayed_ones(spark):
+    from routeloom.operators import measure
+    made = [("C1", "Town", f"Net{i:02d}", 100 + i, 1.0, 2.0) for i in range(15) for _ in range(20 - i)] + [("C1", "City", "Net14", 114, 1.0, 2.0)]
+    probes = spark.createDataFrame(made, "country string, city string, network string, asn long, latitude double, longitude double")
+    loc = measure.probe_locations(probes)
+    assert {r["city"]: len(r["networks"]) for r in loc.collect()} == {"Town": 12, "City": 1}
+    got = measure.suggestions(loc.withColumn("country", F.lit("Land")), "net14").collect()
+    assert [(r["kind"], r["label"], r["n"]) for r in got] == [("network", "114", 7)]
