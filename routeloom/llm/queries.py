@@ -6,8 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bilinear, fingerprint, licenses, lines, mixing, neighbours, ngram_join, pieces, quality, suffixes
-from .common import fold_of, table, texts
+from . import bilinear, fingerprint, licenses, lines, mixing, neighbours, ngram_join, pieces, quality, radix, suffixes
+from .common import LOWER, UPPER, fold_of, table, texts
 
 
 def piece_model() -> str:
@@ -70,5 +70,12 @@ def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold_of("doc_id") == 0).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_kept").cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_suffix_dedup, op3_ngram_jaccard, op4_license_scan, op5_multi_index_hashing, op6_log_bilinear, op7_temperature_mixing, op8_sentencepiece, op9_syncmer_fingerprints, op10_quality_ranking)}
-ORACLES: dict[str, str] = {}
+def op11_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group, and the row that stays, of every document."""
+    return radix.groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_suffix_dedup, op3_ngram_jaccard, op4_license_scan, op5_multi_index_hashing, op6_log_bilinear, op7_temperature_mixing, op8_sentencepiece, op9_syncmer_fingerprints, op10_quality_ranking, op11_radix_dedup)}
+ORACLES: dict[str, str] = {"op11_radix_dedup": f"""
+    SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+    FROM (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents) WINDOW same AS (PARTITION BY t)"""}
