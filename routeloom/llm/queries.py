@@ -6,8 +6,9 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bilinear, fingerprint, licenses, lines, mixing, neighbours, ngram_join, pieces, quality, radix, suffixes
-from .common import LOWER, UPPER, fold_of, table, texts
+from . import bilinear, codes, fingerprint, licenses, lines, mixing, neighbours, ngram_join, pieces, quality, radix, spellings, suffixes
+from .common import fold_of, table, texts
+from .oracles import ORACLES  # noqa: F401
 
 
 def piece_model() -> str:
@@ -75,7 +76,14 @@ def op11_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix.groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_suffix_dedup, op3_ngram_jaccard, op4_license_scan, op5_multi_index_hashing, op6_log_bilinear, op7_temperature_mixing, op8_sentencepiece, op9_syncmer_fingerprints, op10_quality_ranking, op11_radix_dedup)}
-ORACLES: dict[str, str] = {"op11_radix_dedup": f"""
-    SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
-    FROM (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents) WINDOW same AS (PARTITION BY t)"""}
+def op12_dual_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every usable vector, the error of its label, and a digest of the codebooks."""
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every word of the corpus."""
+    return spellings.variants(spellings.words(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_suffix_dedup, op3_ngram_jaccard, op4_license_scan, op5_multi_index_hashing, op6_log_bilinear, op7_temperature_mixing, op8_sentencepiece, op9_syncmer_fingerprints, op10_quality_ranking, op11_radix_dedup, op12_dual_tree_codes, op13_spelling_variants)}
