@@ -1,5 +1,9 @@
 """Queries: binary dumps, streams, incremental state, the whole snapshot."""
 
+import bz2
+import gzip
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from routeloom.functions import addr
@@ -11,6 +15,7 @@ from routeloom.sources import rib_dump, rpsl, tables
 from routeloom.streaming import delta as D, measurements as SM
 
 from . import base, fixtures as fx
+from .oracle_base import cte
 from .q_records import scratch
 from .q_text import _route_texts, set_texts
 from .registry import query
@@ -20,8 +25,23 @@ def _hex(n, digits):
     return F.lpad(F.hex(n), digits, "0")
 
 
-def dump_files(spark, sf):
-    """A small dump per order: a peer table of seven peers, then one record per line item."""
+def _record(sub, body):
+    return F.concat(F.lit("00000000000D"), F.lit(sub), _hex((F.length(body) / 2).cast("bigint"), 8), body)
+
+
+def _rib_body(net, plen, peer, asns):
+    """Hex of one RIB record's body: a prefix with one entry."""
+    path = F.concat(F.lit("02"), _hex(F.size(asns), 2), F.array_join(F.transform(asns, lambda a: F.lpad(F.hex(a), 8, "0")), ""))
+    attr = F.concat(F.lit("4001010050" + "02"), _hex(F.length(path) / 2, 4), path)
+    used = F.substring(net, F.lit(1), (F.ceil(plen / 8) * 2).cast("int"))
+    return F.concat(F.lit("00000000"), _hex(plen, 2), used, F.lit("0001"), _hex(peer, 4), F.lit("00000000"), _hex(F.length(attr) / 2, 4), attr)
+
+
+PEERS = "00000000" + "0000" + "0007" + "".join(f"02{0:08x}{0xC0000200 + i:08x}{64500 + i:08x}" for i in range(1, 8))
+
+
+def dump_records(spark, sf):
+    """(collector, l_orderkey, record): hex of one record per line item."""
     li = spread(fx.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"))
     e = li.join(fx.blocks(spark, sf), F.col("l_partkey") == F.col("k"))
     sk, ln = F.col("l_suppkey"), F.col("l_linenumber").cast("bigint")
@@ -30,16 +50,75 @@ def dump_files(spark, sf):
     asns = F.array_compact(F.array(F.lit(64500) + ln, F.when(sk % 7 != 0, F.get(tier, (sk % 24).cast("int"))),
                                    F.when(sk % 3 == 0, F.get(tier, ((sk * 5) % 24).cast("int"))), F.lit(30000) + sk % 20, o, o))
     e = e.withColumn("asns", asns)
-    path = F.concat(F.lit("02"), _hex(F.size("asns"), 2), F.array_join(F.transform("asns", lambda a: F.lpad(F.hex(a), 8, "0")), ""))
-    attr = F.concat(F.lit("4001010050" + "02"), _hex(F.length(path) / 2, 4), path)
-    net = F.substring(_hex(F.col("ip_start"), 8), F.lit(1), (F.ceil(F.col("plen") / 8) * 2).cast("int"))
-    body = F.concat(F.lit("00000000"), _hex(F.col("plen"), 2), net, F.lit("0001"), _hex(ln - 1, 4), F.lit("00000000"), _hex(F.length(attr) / 2, 4), attr)
-    record = lambda sub, b: F.concat(F.lit("00000000000D"), F.lit(sub), _hex((F.length(b) / 2).cast("bigint"), 8), b)
-    peers = "00000000" + "0000" + "0007" + "".join(f"02{0:08x}{0xC0000200 + i:08x}{64500 + i:08x}" for i in range(1, 8))
+    body = _rib_body(_hex(F.col("ip_start"), 8), F.col("plen"), ln - 1, F.col("asns"))
+    return e.select(F.when(ln % 2 == 1, "rrc01").otherwise("rrc06").alias("collector"), "l_orderkey", _record("0002", body).alias("record"))
+
+
+def dump_files(spark, sf):
+    """A small dump per order: a peer table of seven peers, then one record per line item."""
     # One order's items: a handful of records per file.
-    per = e.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(record("0002", body))), "").alias("records"))
+    per = dump_records(spark, sf).groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list("record")), "").alias("records"))
     return per.select(F.concat(F.lit("dump/"), F.col("l_orderkey").cast("string")).alias("path"),
-                      F.unhex(F.concat(record("0001", F.lit(peers)), F.col("records"))).alias("content"))
+                      F.unhex(F.concat(_record("0001", F.lit(PEERS)), F.col("records"))).alias("content"))
+
+
+def _write_dumps(folder):
+    def run(batches):
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                packed = bz2.compress(r["content"]) if r["collector"] == "rrc06" else gzip.compress(r["content"])
+                ending = "bz2" if r["collector"] == "rrc06" else "gz"
+                for collector, held in ((r["collector"], packed), ("cut", packed[:len(packed) // 2])):
+                    if collector == "cut" and r["collector"] != "rrc01":
+                        continue
+                    system, path = rib_dump.file_system(f"{folder}/{collector}/{r['name']}.{ending}")
+                    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                    with system.open_output_stream(path, compression=None) as f:
+                        f.write(held)
+                    out.append((collector, path))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], names=["collector", "path"])
+
+    return run
+
+
+def dump_folders(spark, sf):
+    """Compressed dumps in the shared folder: two collectors with a file per 20,000 order numbers, IPv6 beside them in the second, and
+    files of a third, which are the first collector's cut in half."""
+    four = dump_records(spark, sf).select("collector", F.concat(F.lit("v4-"), F.floor(F.col("l_orderkey") / 20000).cast("string")).alias("name"), "record")
+    blocks = fx.blocks6(spark, sf).withColumn("s", addr.wide_hex("ip_start"))
+    asns = F.array(F.lit(64501).cast("bigint"), (F.col("plen") + 65000).cast("bigint"))
+    six = blocks.select(F.lit("rrc06").alias("collector"), F.concat(F.lit("v6-"), F.substring("s", 1, 8)).alias("name"),
+                        _record("0004", _rib_body(F.col("s"), F.col("plen"), F.lit(0).cast("bigint"), asns)).alias("record"))
+    per = four.unionByName(six).groupBy("collector", "name").agg(F.array_join(F.sort_array(F.collect_list("record")), "").alias("records"))
+    content = F.unhex(F.concat(_record("0001", F.lit(PEERS)), F.col("records"))).alias("content")
+    folder = scratch(spark)
+    durable(per.select("collector", "name", content).mapInArrow(_write_dumps(folder), "collector string, path string"))
+    return folder
+
+
+_V4_HEX = "lpad(lower(printf('%x', ip_start)), 32, '0')"
+
+
+@query(f"""SELECT collector, 4::BIGINT AS family, plen, {_V4_HEX} AS start_hex, peer_asn, '192.0.2.' || (peer_asn - 64500) AS peer_ip, array_to_string(asns, ' ') AS asns, count(*) AS n FROM fx_entry GROUP BY ALL
+  UNION ALL SELECT 'rrc06', 6, plen, s, 64501, '192.0.2.1', '64501 ' || (65000 + plen), 1 FROM fx_block6""")
+def read_rib(spark, sf):
+    """Dump files of two collectors and both families, streamed by the dump source."""
+    folder = dump_folders(spark, sf)
+    e = rib_dump.read_rib(spark, {c: f"{folder}/{c}" for c in ("rrc01", "rrc06")}, torn="refuse")
+    return e.groupBy("collector", "family", "plen", addr.wide_hex("ip_start").alias("start_hex"), "peer_asn", "peer_ip", base.joined("asns", " ").alias("asns")).agg(F.count(F.lit(1)).alias("n"))
+
+
+cte("dump_per", """SELECT CASE WHEN l_linenumber % 2 = 1 THEN 'rrc01' ELSE 'rrc06' END AS collector, floor(l_orderkey / 20000) AS f, count(*) + 1 AS n FROM lineitem JOIN fx_block ON k = l_partkey GROUP BY ALL
+    UNION ALL SELECT 'rrc06', -ascii(s[8]) - 1000 * ascii(s[1]), count(*) + 1 FROM fx_block6 GROUP BY ALL""")
+
+
+@query("""SELECT collector, TRUE AS complete, count(*) AS files, CAST(sum(n) AS BIGINT) AS records FROM dump_per GROUP BY collector UNION ALL SELECT 'cut', FALSE, count(*), NULL FROM dump_per WHERE collector = 'rrc01'""")
+def dump_states(spark, sf):
+    """What the status rows say of whole files and of files cut in half."""
+    folder = dump_folders(spark, sf)
+    s = rib_dump.dump_status(rib_dump.dump_frames(spark, {c: f"{folder}/{c}" for c in ("rrc01", "rrc06", "cut")}))
+    return s.groupBy("collector", "complete").agg(F.count(F.lit(1)).alias("files"), F.sum(F.when(F.col("complete"), F.col("records"))).alias("records"))
 
 
 @query("""SELECT prefix, plen, ip_start, ip_end, peer_asn, '192.0.2.' || (peer_asn - 64500) AS peer_ip, array_to_string(asns, ' ') AS asns, count(*) AS n FROM fx_entry GROUP BY ALL""")

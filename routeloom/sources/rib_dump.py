@@ -1,20 +1,26 @@
 """TABLE_DUMP_V2 RIB dumps to flat RIB entries.
 
-A compressed dump cannot be split, so one task unpacks it, but only to cut it into records. The records
-are spread over the cluster and kept in a durable copy; the expensive part, decoding attributes, then runs
-on all executors, and peers join by (file, table, index) like any other dimension.
+``rib_dump`` is a data source of its own: one partition per dump file, whose task reads the file as a stream, unpacks it in
+windows of bounded size and hands records out as it cuts them, so a dump may be larger than any cell or worker. A compressed
+dump cannot be split, but that task only cuts; the records are spread over the cluster and kept in a durable copy, and the
+expensive part, decoding attributes, runs on all executors. Peers join as a dimension by (file, table, index).
+
+Every file ends with a status row: how many records were read, and what was wrong if the file ended early or was damaged.
 """
 
 from __future__ import annotations
 
 import bz2
 import io
+import json
 import struct
 import zlib
-from typing import Iterator
+from typing import BinaryIO, Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import addr
 from ..session import durable
@@ -24,83 +30,153 @@ TABLE_DUMP_V2 = 13
 PEER_INDEX = 1
 RIB_SUBTYPES = {2: (4, False), 4: (6, False), 8: (4, True), 10: (6, True)}
 AS_PATH = 2
-
-FRAME_SCHEMA = "file string, tbl int, seq bigint, family int, addpath boolean, body binary"
-ENTRY_SCHEMA = ("file string, tbl int, seq bigint, family int, plen int, hi bigint, lo bigint, "
+#: Family of the row that ends a file.
+STATUS = -1
+#: Bytes unpacked at a time, bytes of records in a batch, and the size from which a record's length must be damage.
+WINDOW, BATCH, LARGEST = 1 << 20, 4 << 20, 1 << 26
+#: Peers are broadcast up to this number.
+FEW_PEERS = 200_000
+
+FRAME_SCHEMA = "collector string, file string, tbl int, seq bigint, family int, addpath boolean, body binary, problem string"
+ENTRY_SCHEMA = ("collector string, file string, tbl int, seq bigint, family int, plen int, hi bigint, lo bigint, "
                 "peer_index int, asns array<bigint>, path_cut boolean")
 PEER_SCHEMA = "file string, tbl int, peer_index int, peer_asn bigint, peer_ip string"
 
 
-def _chunks(name: str, content: bytes) -> Iterator[bytes]:
-    """Uncompressed pieces; damage ends the stream quietly with what was readable."""
-    if name.endswith((".gz", ".bz2")):
-        fresh = (lambda: zlib.decompressobj(31)) if name.endswith(".gz") else bz2.BZ2Decompressor
-        unpacker, view, step = fresh(), memoryview(content), 1 << 20
-        at = 0
-        try:
-            while at < len(view):
-                yield unpacker.decompress(bytes(view[at:at + step]))
-                at += step
-                # Several members may follow each other in one file.
-                while unpacker.eof and unpacker.unused_data:
-                    rest, unpacker = unpacker.unused_data, fresh()
-                    yield unpacker.decompress(rest)
-        except (zlib.error, OSError, EOFError):
-            return
-    else:
-        yield content
+class Damaged(Exception):
+    """What makes the rest of a file unreadable."""
 
 
-def _records(chunks: Iterator[bytes]) -> Iterator[tuple[int, int, bytes]]:
+def _pieces(name: str, stream: BinaryIO, window: int = WINDOW) -> Iterator[bytes]:
+    """Unpacked bytes, at most ``window`` at a time whatever the compression; several members may follow each other."""
+    if not name.endswith((".gz", ".bz2")):
+        while piece := stream.read(window):
+            yield piece
+        return
+    gz = name.endswith(".gz")
+    unpacker, data = None, b""
+    try:
+        while True:
+            if not data and (unpacker is None or gz or unpacker.needs_input):
+                data = stream.read(window)
+                if not data:
+                    break
+            if unpacker is None:
+                data = data.lstrip(b"\0")  # padding between members
+                if not data:
+                    continue
+                unpacker = zlib.decompressobj(31) if gz else bz2.BZ2Decompressor()
+            piece = unpacker.decompress(data, window)
+            data = unpacker.unconsumed_tail if gz else b""
+            if piece:
+                yield piece
+            if unpacker.eof:
+                data, unpacker = unpacker.unused_data, None
+        if unpacker is not None and gz:
+            if piece := unpacker.flush():
+                yield piece
+            unpacker = None if unpacker.eof else unpacker
+    except (zlib.error, OSError, EOFError) as e:
+        raise Damaged(f"unpacking: {e}") from None
+    if unpacker is not None:
+        raise Damaged("ends inside a compressed member")
+
+
+def _records(pieces: Iterator[bytes]) -> Iterator[tuple[int, int, bytes]]:
     """(type, subtype, body) of every complete record."""
     buf = bytearray()
-    for chunk in chunks:
-        buf += chunk
+    for piece in pieces:
+        buf += piece
         at = 0
         while len(buf) - at >= 12:
             kind, sub, size = struct.unpack_from(">HHI", buf, at + 4)
+            if size > LARGEST:
+                raise Damaged(f"a record of {size} bytes")
             if len(buf) - at - 12 < size:
                 break
             yield kind, sub, bytes(buf[at + 12:at + 12 + size])
             at += 12 + size
         del buf[:at]
+    if buf:
+        raise Damaged("ends inside a record")
 
 
-def _framer(families: frozenset[int], limit: int | None):
-    """Cut dumps into records, dropping default routes and unwanted families before any decoding."""
-
-    def cut(batches):
-        for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                rows, weight, table, kept = [], 0, 0, 0
-                for seq, (kind, sub, body) in enumerate(_records(_chunks(path, content))):
-                    if kind != TABLE_DUMP_V2:
-                        continue
-                    if sub == PEER_INDEX:
-                        table += 1
-                        rows.append((path, table, seq, 0, False, body))
-                    elif sub in RIB_SUBTYPES and len(body) > 4 and body[4] and RIB_SUBTYPES[sub][0] in families:
-                        rows.append((path, table, seq, *RIB_SUBTYPES[sub], body))
-                        kept += 1
-                    weight += len(body)
-                    full = limit is not None and kept >= limit
-                    if rows and (weight > 4 << 20 or full):
-                        yield _frame_batch(rows)
-                        rows, weight = [], 0
-                    if full:
-                        break
-                if rows:
-                    yield _frame_batch(rows)
-
-    return cut
+def cut(collector: str | None, file: str, stream: BinaryIO, families: frozenset[int], limit: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Records of one dump, then its status; default routes and unwanted families go before any decoding."""
+    rows, weight, table, kept, seq, problem = [], 0, 0, 0, -1, None
+    records = _records(_pieces(file, stream))
+    while True:
+        try:
+            seq, (kind, sub, body) = seq + 1, next(records)
+        except (StopIteration, Damaged) as e:
+            problem, seq = str(e) if isinstance(e, Damaged) else None, seq + 1
+            break
+        if kind == TABLE_DUMP_V2:
+            if sub == PEER_INDEX:
+                table += 1
+                rows.append((collector, file, table, seq, 0, False, body, None))
+                weight += len(body)
+            elif sub in RIB_SUBTYPES and len(body) > 4 and body[4] and RIB_SUBTYPES[sub][0] in families:
+                rows.append((collector, file, table, seq, *RIB_SUBTYPES[sub], body, None))
+                weight += len(body)
+                kept += 1
+        if weight > BATCH:
+            yield _frame_batch(rows)
+            rows, weight = [], 0
+        if limit is not None and kept >= limit:
+            seq += 1
+            break
+    yield _frame_batch(rows + [(collector, file, table, seq, STATUS, False, None, problem)])
 
 
 def _frame_batch(rows):
-    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
-    names = ["file", "tbl", "seq", "family", "addpath", "body"]
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.string()]
+    names = ["collector", "file", "tbl", "seq", "family", "addpath", "body", "problem"]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
 
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path as Spark names it, and the path there; raises where Python has none for the scheme."""
+    scheme, _, rest = path.partition(":") if ":/" in path else ("file", "", path)
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    host, _, inside = rest.lstrip("/").partition("/")
+    system, root = pafs.FileSystem.from_uri(f"{scheme}://{host}/")
+    return system, (inside if scheme in ("s3", "gs", "s3a") and not root.strip("/") else f"{root.rstrip('/')}/{inside}")
+
+
+class DumpReader(DataSourceReader):
+    def __init__(self, options):
+        self.files = json.loads(options["files"])
+        self.families = frozenset(json.loads(options.get("families", "[4, 6]")))
+        self.limit = json.loads(options.get("limit", "null"))
+
+    def partitions(self):
+        return [InputPartition(x) for x in self.files]
+
+    def read(self, partition):
+        if not self.files:
+            return
+        collector, path = partition.value
+        system, inside = file_system(path)
+        with system.open_input_stream(inside, compression=None) as stream:
+            yield from cut(collector, path, stream, self.families, self.limit)
+
+
+class DumpSource(DataSource):
+    """``spark.read.format("rib_dump")`` with options ``files`` (JSON list of [collector, path]), ``families``, ``limit``."""
+
+    @classmethod
+    def name(cls):
+        return "rib_dump"
+
+    def schema(self):
+        return FRAME_SCHEMA
+
+    def reader(self, schema):
+        return DumpReader(self.options)
+
+
 def _as_path(attrs: bytes) -> tuple[list[int], bool]:
     """All ASNs of the AS_PATH attribute, segments in order, and whether it was cut short."""
     view = io.BytesIO(attrs)
@@ -131,9 +207,9 @@ def _signed(x: int) -> int:
 
 
 def _decode_entries(batches):
-    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(),
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(),
              pa.list_(pa.int64()), pa.bool_()]
-    names = ["file", "tbl", "seq", "family", "plen", "hi", "lo", "peer_index", "asns", "path_cut"]
+    names = ["collector", "file", "tbl", "seq", "family", "plen", "hi", "lo", "peer_index", "asns", "path_cut"]
     for batch in batches:
         out = []
         for r in batch.to_pylist():
@@ -157,7 +233,7 @@ def _decode_entries(batches):
                 at = size_at + 2 + size
                 asns, cut = _as_path(body[size_at + 2:at])
                 if asns:
-                    out.append((r["file"], r["tbl"], r["seq"], r["family"], plen, hi, lo, peer, asns, cut))
+                    out.append((r["collector"], r["file"], r["tbl"], r["seq"], r["family"], plen, hi, lo, peer, asns, cut))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
@@ -183,32 +259,78 @@ def _decode_peers(batches):
 
 
 def frames(files: DataFrame, family: int | None = None, limit: int | None = None) -> DataFrame:
-    """Records of dump files (``path``, ``content``) as rows; ``limit`` prefixes per file."""
+    """Records of dumps that are held as cells (``path``, ``content``, optionally ``collector``); ``limit`` prefixes per file."""
     wanted = frozenset((4, 6) if family is None else (family,))
-    return files.select("path", "content").mapInArrow(_framer(wanted, limit), FRAME_SCHEMA)
+    named = files if "collector" in files.columns else files.withColumn("collector", F.lit(None).cast("string"))
+
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                yield from cut(r["collector"], r["path"], io.BytesIO(r["content"]), wanted, limit)
+
+    return named.select("collector", "path", "content").mapInArrow(run, FRAME_SCHEMA)
+
+
+def dump_frames(spark: SparkSession, dumps: dict[str, str | list[str]], family: int | None = None, limit: int | None = None) -> DataFrame:
+    """Records and status rows of the dumps ``{collector: path, folder or paths}``, spread over the cluster and written once.
+
+    Spark lists the files (names only). Files in a store that Python cannot open are read as cells instead, up to 2 GiB each.
+    """
+    spark.dataSource.register(DumpSource)
+    named = []
+    for collector, paths in dumps.items():
+        files = spark.read.format("binaryFile").load(paths if isinstance(paths, list) else [paths]).select("path")
+        named += [(collector, r["path"]) for r in files.orderBy("path").collect()]  # a name per dump file
+    streamed, cells = [], []
+    for x in named:
+        try:
+            file_system(x[1])
+            streamed.append(x)
+        except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+            cells.append(x)
+    out = (spark.read.format("rib_dump").option("files", json.dumps(streamed)).option("limit", json.dumps(limit))
+           .option("families", json.dumps([4, 6] if family is None else [family])).load())
+    for collector in {c for c, _ in cells}:
+        held = spark.read.format("binaryFile").load([p for c, p in cells if c == collector]).withColumn("collector", F.lit(collector))
+        out = out.unionByName(frames(held, family, limit))
+    return durable(out.repartition("file", "seq"))
+
+
+def dump_status(framed: DataFrame) -> DataFrame:
+    """One row per file: collector, file, peer tables, records read, whether the file was whole, and what was wrong with it."""
+    return framed.where(F.col("family") == STATUS).select("collector", "file", F.col("tbl").alias("peer_tables"), F.col("seq").alias("records"),
+                                                          F.col("problem").isNull().alias("complete"), "problem")
+
+
+def refuse_torn(framed: DataFrame) -> None:
+    """Raise when a file is damaged or ends early."""
+    torn = dump_status(framed).where(~F.col("complete")).select("file", "problem").limit(20).collect()
+    if torn:
+        raise RuntimeError("unusable dumps: " + "; ".join(f"{r['file']} {r['problem']}" for r in torn))
 
 
 def entries_from_frames(framed: DataFrame) -> DataFrame:
-    """RIB entries (one per prefix and peer) with their peer.
+    """RIB entries (one per prefix and peer) with collector and peer; a missing peer leaves NULLs.
 
-    Peers join per file and table on the left side's skew-free record order; a missing peer leaves NULLs.
+    Peers are a few hundred rows per file and are broadcast once a count has shown it. ``framed`` should be a written table,
+    as it is read for the peers and for the entries.
     """
     peers = framed.where(F.col("family") == 0).mapInArrow(_decode_peers, PEER_SCHEMA)
-    raw = framed.where(F.col("family") != 0).mapInArrow(_decode_entries, ENTRY_SCHEMA)
+    few = peers.limit(FEW_PEERS + 1).count() <= FEW_PEERS
+    raw = framed.where(F.col("family") > 0).mapInArrow(_decode_entries, ENTRY_SCHEMA)
     point = addr.wide(F.col("hi"), F.col("lo"))
-    return (raw.join(peers, ["file", "tbl", "peer_index"], "left").withColumn("ip_start", point)
+    return (raw.join(F.broadcast(peers) if few else peers, ["file", "tbl", "peer_index"], "left").withColumn("ip_start", point)
             .withColumn("ip_end", addr.WIDE.last("ip_start", "plen", "family"))
             .withColumn("prefix", addr.network_text("family", "ip_start", "plen"))
-            .select("file", "seq", "family", "prefix", "plen", "ip_start", "ip_end", "peer_asn", "peer_ip", "asns", "path_cut"))
+            .select("collector", "file", "seq", "family", "prefix", "plen", "ip_start", "ip_end", "peer_asn", "peer_ip", "asns", "path_cut"))
 
 
-def read_rib(spark: SparkSession, dumps: dict[str, str | list[str]], family: int | None = None, limit: int | None = None) -> DataFrame:
-    """RIB entries of several collectors: ``{collector: path or paths}`` on any file system Spark reads."""
-    out = None
-    for collector, paths in dumps.items():
-        files = spark.read.format("binaryFile").load(paths if isinstance(paths, list) else [paths])
-        f = frames(files, family, limit).withColumn("collector", F.lit(collector))
-        out = f if out is None else out.unionByName(f)
-    spread = durable(out.repartition("file", "seq"))
-    tags = spread.select("file", "collector").distinct()
-    return entries_from_frames(spread.drop("collector")).join(tags, "file").drop("file", "seq")
+def read_rib(spark: SparkSession, dumps: dict[str, str | list[str]], family: int | None = None, limit: int | None = None, torn: str = "keep") -> DataFrame:
+    """RIB entries of several collectors: ``{collector: path, folder or paths}``.
+
+    A file that ends early gives what could be read (``torn="keep"``) or an error (``"refuse"``).
+    """
+    framed = dump_frames(spark, dumps, family, limit)
+    if torn == "refuse":
+        refuse_torn(framed)
+    return entries_from_frames(framed).drop("file", "seq")
