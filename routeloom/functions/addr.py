@@ -366,6 +366,17 @@ def cidr_bounds(text) -> Column:
     return let(F.lower(F.trim(_as_col(text))), parse)
 
 
+def point_of(text, axis: Axis) -> Column:
+    """Address text of either family to ``struct(family, ip)``; on a narrow axis IPv6 has no point. NULL point when malformed."""
+    def parse(t):
+        six = F.contains(t, F.lit(":"))
+        four = v4_int(t) if axis is NARROW else wide_from_v4(v4_int(t))
+        far = F.lit(None).cast(axis.type) if axis is NARROW else F.when(~F.contains(t, F.lit("/")), cidr_bounds(t)["ip_start"])
+        return F.struct(F.when(six, 6).otherwise(4).alias("family"), F.when(six, far).otherwise(four).alias("ip"))
+
+    return let(_as_col(text), parse)
+
+
 def network_text(family, point, plen) -> Column:
     """CIDR text of a wide network address."""
     addr = F.when(_as_col(family) == 4, v4_text(v4_from_wide(point))).otherwise(wide_text(point))

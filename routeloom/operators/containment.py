@@ -1,8 +1,9 @@
-"""Prefix containment as equi-joins.
+"""Prefix containment as equi-joins, and the closest block by a sweep.
 
-CIDR blocks nest, so "block B covers address A" is "A cut to B's length is B's start". A row is expanded
-over the block lengths that occur (at most 33 for IPv4 and 129 for IPv6, whatever the data size) and
-joined on equality. A range condition on both ends would become a nested loop.
+CIDR blocks nest, so "block B covers address A" is "A cut to B's length is B's start". Where all covering blocks are wanted, a
+row is expanded over the block lengths that occur (at most 33 for IPv4 and 129 for IPv6, whatever the data size) and
+joined on equality. A range condition on both ends would become a nested loop. Where only the closest block is wanted, one
+sweep in address order (``covering.py``) needs one row for each block and address.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import addr
+from .covering import deepest, enclosing
 
 
 def lengths(blocks: DataFrame) -> DataFrame:
@@ -44,26 +46,18 @@ def covering(rows: DataFrame, blocks: DataFrame, carry: list[str], strict: bool
 
 def nearest_parents(prefixes: DataFrame) -> DataFrame:
     """(pid, parent_pid, parent_plen) for every prefix lying inside another one."""
-    pairs = covering(prefixes.select("family", "ip_start", "plen", "pid"), prefixes, ["pid"], strict=True)
-    best = F.max_by(F.struct(F.col("b_pid"), F.col("b_plen")), "b_plen")
-    return (pairs.groupBy("pid").agg(best.alias("_b"))
-            .select("pid", F.col("_b.b_pid").alias("parent_pid"), F.col("_b.b_plen").alias("parent_plen")))
+    return enclosing(prefixes, ["pid", "plen"]).select(
+        F.col("own.pid").alias("pid"), F.col("around.pid").alias("parent_pid"), F.col("around.plen").alias("parent_plen"))
 
 
 def longest_match(lookups: DataFrame, prefixes: DataFrame, carry: list[str], point: str = "ip") -> DataFrame:
     """Each lookup address with the most specific prefix covering it; NULLs when there is none.
 
-    Addresses are made distinct before the expansion, so a hot address costs one lookup. ``lookups`` needs
-    family and ``point``; ``carry`` names prefix columns to bring back.
+    Addresses are made distinct for the sweep, so a hot address costs one lookup. ``lookups`` needs family and ``point`` in
+    the prefixes' address form; ``carry`` names prefix columns to bring back.
     """
-    width = F.when(F.col("family") == 4, F.lit(32)).otherwise(F.lit(128))
-    points = (lookups.where(F.col(point).isNotNull()).select("family", F.col(point).alias("ip_start")).distinct()
-              .withColumn("plen", width))
-    hits = covering(points, prefixes, carry)
-    row = F.struct(*[F.col(f"b_{c}").alias(c) for c in carry])
-    best = (hits.groupBy("family", "ip_start").agg(F.max_by(row, "b_plen").alias("_m"))
-            .select("family", F.col("ip_start").alias(point), "_m.*"))
-    return lookups.join(best, ["family", point], "left")
+    best = deepest(lookups.select("family", F.col(point).alias("ip_start")), prefixes, carry)
+    return lookups.join(best.withColumnRenamed("ip_start", point), ["family", point], "left")
 
 
 def parents(prefixes: DataFrame, k: int = 12) -> DataFrame:

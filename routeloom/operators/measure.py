@@ -86,13 +86,19 @@ def tier1_place(asn) -> Column:
     return F.when(at(0).isNotNull(), F.struct(at(0).alias("lat"), at(1).alias("lon")))
 
 
+def _points(rows: DataFrame, text: str, blocks: DataFrame) -> DataFrame:
+    """Rows with ``family`` and ``ip`` of an address text, in the address form of ``blocks``; NULL when malformed or not of their families."""
+    p = addr.point_of(text, addr.axis_of(blocks))
+    return rows.withColumn("_p", p).withColumns({"family": F.col("_p.family"), "ip": F.col("_p.ip")}).drop("_p")
+
+
 def place_addresses(ips: DataFrame, prefixes: DataFrame, city_points: DataFrame) -> DataFrame:
-    """Distinct address texts with prefix facts and coordinates.
+    """Distinct address texts of either family with prefix facts and coordinates.
 
-    City coordinates where known, else the country's centroid. ``prefixes`` has prefix, origin_asn, cc,
-    city, province over narrow IPv4 addresses; ``city_points`` has place_key, lat, lon.
+    City coordinates where known, else the country's centroid. ``prefixes`` has prefix, origin_asn, cc, city, province; narrow
+    addresses hold IPv4 only, wide ones both families. ``city_points`` has place_key, lat, lon.
     """
-    texts = ips.select(F.col("ip").alias("text")).distinct().withColumn("family", F.lit(4)).withColumn("ip", addr.v4_int("text"))
+    texts = _points(ips.select(F.col("ip").alias("text")).distinct(), "text", prefixes)
     m = containment.longest_match(texts, prefixes, ["prefix", "origin_asn", "cc", "city", "province"])
     m = m.withColumn("cc", F.when(F.col("cc") != "ZZ", F.col("cc"))).withColumn("place_key", place_key("cc", "city"))
     pts = city_points.select("place_key", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
@@ -240,8 +246,8 @@ def dns_status(answers: DataFrame, json: str = "json") -> DataFrame:
 
 
 def enrich_dns(records: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """IPv4 address records with the most specific covering prefix and its origin."""
-    a = records.where(F.col("qtype") == "A").withColumn("family", F.lit(4)).withColumn("ip", addr.v4_int("data"))
+    """Address records (A and AAAA) with the most specific covering prefix and its origin."""
+    a = _points(records.where(F.col("qtype").isin("A", "AAAA")), "data", prefixes)
     return containment.longest_match(a, prefixes, ["prefix", "origin_asn"])
 
 
@@ -262,8 +268,14 @@ def bootstrap_for_asn(asns: DataFrame, services: DataFrame) -> DataFrame:
 
 
 def bootstrap_for_ip(ips: DataFrame, services: DataFrame) -> DataFrame:
-    """Registry address per IPv4 address text. ``services`` has cidr and urls."""
-    r = addr.v4_range("cidr")
-    nets = services.select(F.lit(4).alias("family"), r["start"].alias("ip_start"), r["plen"].alias("plen"), base_url("urls").alias("base"))
-    asked = ips.select(F.col("ip").alias("text"), F.lit(4).alias("family"), addr.v4_int("ip").alias("ip"))
-    return containment.longest_match(asked, nets, ["base"]).select(F.col("text").alias("ip"), "base")
+    """Registry address per address or CIDR text of either family; of a CIDR its first address counts. ``services`` has cidr and urls."""
+    nets = services.select(addr.cidr_bounds("cidr").alias("b"), base_url("urls").alias("base")).select("b.family", "b.ip_start", "b.plen", "base")
+    texts = ips.select(F.col("ip").alias("text"), F.split_part("ip", F.lit("/"), F.lit(1)).alias("first"))
+    return containment.longest_match(_points(texts, "first", nets), nets, ["base"]).select(F.col("text").alias("ip"), "base")
+
+
+def bootstrap_for_domain(domains: DataFrame, services: DataFrame) -> DataFrame:
+    """Registry address per domain name, by its last label. ``services`` has tld and urls; case and a final dot do not count."""
+    label = F.element_at(F.split(F.regexp_replace(F.lower("domain"), r"\.$", ""), r"\."), -1)
+    known = services.select(F.lower("tld").alias("_label"), base_url("urls").alias("base")).groupBy("_label").agg(F.min("base").alias("base"))
+    return domains.select("domain", label.alias("_label")).join(known, "_label", "left").select("domain", "base")

@@ -145,8 +145,9 @@ def test_segments_list_is_cut_but_province_is_the_last(spark):
     base = 10 << 24
     geo = [(4, base + 2 * i, base + 2 * i, "C", f"P{i:03}", "town") for i in range(100)]
     p = nets(spark, ["10.0.0.0/24"]).withColumn("origin_asn", F.lit(1)).withColumn("n_paths", F.lit(2))
-    r = G.segments(p, spark.createDataFrame(geo, GEO)).collect()
-    assert len(r) == 1 and len(r[0].segs) == 48 and r[0].province == "P099" and r[0].segs[1] == "10.0.0.2/32"
+    whole, cut = (G.segments(p, spark.createDataFrame(geo, GEO), **how).collect() for how in ({}, {"cidr_cap": 48}))
+    for r, n in ((whole, 100), (cut, 48)):
+        assert len(r) == 1 and len(r[0].segs) == n and r[0].province == "P099" and r[0].segs[1] == "10.0.0.2/32"
 
 
 def test_as_of_misses_and_last_address(spark):
