@@ -249,7 +249,8 @@ def compress(vectors: DataFrame, label_col: str = "label", **how) -> DataFrame:
     """vec_id, code, error, label_error (error summed over equal labels, nulls together) and codebooks_sha256 of every usable row."""
     model = fit(vectors, **how)
     coded = durable(encode(vectors.withColumnRenamed(label_col, "code_label"), model, keep=("code_label",)))
-    sums = coded.groupBy(F.col("code_label").alias("own_label")).agg(F.sum(F.col("error").cast("decimal(38,0)")).alias("total"))
+    sums = coded.groupBy(F.col("code_label").alias("own_label")).agg(
+        F.when(F.count("error") == F.count(F.lit(1)), F.sum(F.col("error").cast("decimal(38,0)"))).alias("total"))  # none where one does not fit a long
     few = sums.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     out = coded.join(F.broadcast(sums) if few else sums, F.col("code_label").eqNullSafe(F.col("own_label")))
     return out.select("vec_id", "code", "error", F.expr("try_cast(total AS bigint)").alias("label_error"), F.lit(model.digest()).alias("codebooks_sha256"))
