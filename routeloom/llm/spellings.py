@@ -26,15 +26,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from routeloom.operators.ordered import PART, pin
 from routeloom.session import durable
 
-from .common import BROADCAST_IDS, LOWER, UPPER, texts
+from .common import LOWER, UPPER, texts
 
 RUN = "[a-zÀ-ÿ]"
 #: Least code points and occurrences of a word; one run in so many is edited.
 MIN_CHARS, MIN_COUNT, EDITED = 5, 3, 97
 #: Words of a range partition.
 PART_WORDS = 50_000
-#: Words are broadcast up to so many bytes.
-BROADCAST_BYTES = 32 << 20
+#: Links are broadcast up to this number, and words up to so many bytes.
+BROADCAST_IDS = 250_000
+BROADCAST_BYTES = 16 << 20
 
 
 def words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_count: int = MIN_COUNT, edited: int | None = EDITED) -> DataFrame:
@@ -114,7 +115,9 @@ def near(vocabulary: DataFrame, part_words: int = PART_WORDS) -> tuple[DataFrame
     held = durable(vocabulary.select("word", "n"))
     ahead = nodes(held.select(F.col("word").alias("key")), part_words).select(F.col("key").alias("word"), F.col("path").alias("ahead"))
     back = nodes(held.select(F.reverse("word").alias("key")), part_words).select(F.reverse("key").alias("word"), F.col("path").alias("back"))
-    both = durable(held.join(ahead, "word").join(back, "word").withColumn("id", F.element_at("ahead", -1)))
+    both = held.join(ahead, "word").join(back, "word").withColumn("id", F.element_at("ahead", -1))
+    # A word makes some twenty pairs: few words a task keep the tasks alike whatever the size of the vocabulary's files.
+    both = durable(both.repartition(max(1, -(-held.count() // (part_words // 2))), "id"))
     each = both.select((-F.col("n")).alias("rank"), "id", F.explode(_pairs()).alias("at")).select("rank", "id", "at.*")
     # A group is bounded by the alphabet, so its members may lie in one array.
     groups = each.groupBy("before", "after").agg(F.collect_list(F.struct("rank", "id", "skip", "lead")).alias("own")).where(F.size("own") > 1)
