@@ -149,16 +149,25 @@ _SUM = """SELECT user_id%20 AS probe, floor(min(value) FILTER (WHERE event_type
 
 
 def _event_stream(spark, sf):
-    schema = fx.table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    """Events in the order of their time, a file for each fifth of the time; each file also repeats the event numbers divisible by 3 of the files before it, late."""
+    e = fx.table(spark, sf, "events")
+    span = e.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    step = (span["hi"] - span["lo"]) / 5
+    out = scratch(spark)
+    for i in range(5):
+        begin = F.lit(span["lo"] + step * i)
+        own = (F.col("ts") >= begin) & ((F.col("ts") < F.lit(span["lo"] + step * (i + 1))) if i < 4 else F.lit(True))
+        late = (F.col("ts") < begin) & (F.col("event_id") % 3 == 0)
+        e.where(own | late).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(out)
+    return spark.readStream.schema(e.withColumn("ts", F.col("ts").cast("timestamp")).schema).option("maxFilesPerTrigger", 1).parquet(out)
 
 
 @query(_SUM)
 def ping_stream(spark, sf):
-    """Every event is a one-sample round; the stream sees each of them twice."""
+    """Every event is a one-sample round; the stream sees each of them twice at once, and a third of them again after they were forgotten."""
     e = _event_stream(spark, sf)
     ok = F.when(F.col("event_type") != "error", F.col("value"))
-    r = e.select((F.col("user_id") % 20).alias("probe"), F.col("event_id").alias("round"), F.lit(1).cast("bigint").alias("total"),
+    r = e.select((F.col("user_id") % 20).alias("probe"), F.col("event_id").alias("round"), "ts", F.lit(1).cast("bigint").alias("total"),
                  F.when(ok.isNotNull(), 1).otherwise(0).cast("bigint").alias("rcv"), F.when(ok.isNull(), 1).otherwise(0).cast("bigint").alias("drop"),
                  ok.alias("min"), ok.alias("max"), ok.alias("avg"), F.explode(F.array(F.lit("finished"), F.lit("finished"))).alias("status"))
     out = scratch(spark)
@@ -168,12 +177,12 @@ def ping_stream(spark, sf):
     return spark.read.parquet(f"{out}/now").select("probe", "min", "max", "total", "rcv", "drop")
 
 
-@query("SELECT DISTINCT user_id AS measurement, event_id%20 AS probe, event_id%7 AS ttl FROM events")
+@query("SELECT user_id AS measurement, event_id%20 AS probe, event_id AS ttl FROM events")
 def hop_stream(spark, sf):
-    """Hops reported again by later polls come out once."""
-    h = _event_stream(spark, sf).select(F.col("user_id").alias("measurement"), (F.col("event_id") % 20).alias("probe"), (F.col("event_id") % 7).alias("ttl"))
+    """Hops reported again by later polls come out once, also when they have been forgotten meanwhile."""
+    h = _event_stream(spark, sf).select(F.col("user_id").alias("measurement"), (F.col("event_id") % 20).alias("probe"), F.col("event_id").alias("ttl"), "ts")
     out = scratch(spark)
-    q = (SM.new_hops(h).writeStream.outputMode("append").format("parquet").option("path", f"{out}/hops").option("checkpointLocation", f"{out}/state")
+    q = (SM.new_hops(h).drop("ts").writeStream.outputMode("append").format("parquet").option("path", f"{out}/hops").option("checkpointLocation", f"{out}/state")
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(f"{out}/hops")
@@ -195,6 +204,33 @@ def delta_feed(spark, sf):
     return feed.state().select(addr.v4_from_wide("ip_start").alias("ip_start"), "origin", "source")
 
 
+@query("""SELECT (10*65536 + c_custkey) * 256 AS ip_start, 65000 + c_custkey AS origin FROM customer WHERE c_custkey % 5 <> 0
+  UNION SELECT (10*65536 + c_custkey) * 256, 66000 + c_custkey FROM customer WHERE c_custkey % 7 = 0""")
+def delta_merged(spark, sf):
+    """Feeds batch by batch over a base that no batch rewrites: deletions, additions, objects of other classes, a torn, a gapped and a replayed feed."""
+    c = fx.table(spark, sf, "customer").select("c_custkey")
+    feed = D.DeltaFeed(spark, scratch(spark), fold_at=10.0)
+    net = addr.v4_text((F.lit(10 * 65536) + F.col("c_custkey")) * 256)
+    obj = lambda o: F.concat(F.lit("route: "), net, F.lit("/24\norigin: AS"), (F.col("c_custkey") + o).cast("string"), F.lit("\nsource: RADB"))
+    feed.publish(rpsl.routes(c.select(obj(65000).alias("object")), "RADB"), 0)
+    n = c.agg(F.max("c_custkey")).first()[0]
+    # Of a customer's three serials the first removes every fifth one's object (others touch a maintainer), the second adds every seventh's other one.
+    k, other = F.col("c_custkey"), F.lit("mntner: M\nsource: RADB")
+    one = lambda op, at, body: F.concat(F.lit(op + " "), (k * 3 + 3 + at).cast("string"), F.lit("\n\n"), body, F.lit("\n\n"))
+    ops = F.concat(F.when(k % 5 == 0, one("DEL", -2, obj(65000))).otherwise(one("ADD", -2, other)), F.when(k % 7 == 0, one("ADD", -1, obj(66000))).otherwise(one("DEL", -1, other)), one("ADD", 0, other))
+    texts = durable(c.select("c_custkey", F.concat(F.lit("%START\n\n"), ops, F.lit("%END\n")).alias("text")))
+    half = n // 2
+    assert not feed.apply_batch(texts.where(k <= half).select(F.replace("text", F.lit("%END"), F.lit("")).alias("text")))  # torn
+    assert feed.apply_batch(texts.where(k <= half)) and not feed.apply_batch(texts.where(k <= half))
+    try:
+        feed.apply_batch(texts.where((k > half) & (k != n - 1)))
+        raise AssertionError("a gap was applied")
+    except D.FeedGap:
+        pass
+    assert feed.apply_batch(texts) and feed.serial() == 3 * n + 3 and len(feed.current()["deltas"]) == 2
+    return feed.state().select(addr.v4_from_wide("ip_start").alias("ip_start"), "origin")
+
+
 # ---------------------------------------------------------------- everything
 
 @query("""SELECT 'prefixes' AS name, count(*) AS n FROM pfx UNION ALL SELECT 'paths', count(*) FROM ranked UNION ALL SELECT 'pathsearch', count(*) FROM search_table
