@@ -3,10 +3,12 @@
 from pyspark.sql import functions as F
 
 from routeloom.functions import addr
-from routeloom.operators import containment as C, intervals as I, measure as M
+from routeloom.operators import containment as C, intervals as I, measure as M, rib
+from routeloom.sources import rib_dump
 
 from . import fixtures as fx
 from .oracle_base import cte
+from .q_stream import dump_folders
 from .registry import query
 
 
@@ -162,3 +164,39 @@ def bootstrap_by_domain(spark, sf):
     services = fx.table(spark, sf, "region").select(tld.alias("tld"), F.array(F.concat(F.lit("https://reg."), F.lower(tld))).alias("urls")).distinct()
     found = M.bootstrap_for_domain(named.select("domain").distinct(), services)
     return named.join(found, "domain").select("page_id", "base")
+
+
+# ---------------------------------------------------------------- CIDR lists
+
+cte("mx_range", f"""SELECT o_orderkey AS id, 6 AS family, least(a, b) AS s, greatest(a, b) AS e FROM (SELECT o_orderkey, {number('h')} AS a, {number("(substr(h, 1, 20) || substr(md5('y' || o_orderkey), 1, 12))")} AS b
+    FROM (SELECT *, {_SIX.format(k='o_custkey', id='o_orderkey')} AS h FROM orders))
+  UNION ALL SELECT -1 - tie, 4, s::UHUGEINT, e::UHUGEINT FROM geo_raw""")
+
+
+@query(f"""WITH lvl AS (SELECT k, CAST(power(2, k) AS UHUGEINT) AS sz FROM range(50) t(k)),
+  cut AS (SELECT id, family, k, sz, (s + sz - 1) // sz AS l, (e + 1) // sz AS r FROM mx_range, lvl),
+  blk AS (SELECT id, family, k, l * sz AS adr FROM cut WHERE l < r AND l % 2 = 1 UNION ALL SELECT id, family, k, (r - 1) * sz FROM cut WHERE l < r AND r % 2 = 1)
+  SELECT id, row_number() OVER (PARTITION BY id ORDER BY adr) AS ord, {text_of('adr')} AS at, CASE WHEN family = 4 THEN 32 ELSE 128 END - k AS plen FROM blk""".replace("WITH lvl AS", "SELECT * FROM (WITH lvl AS") + ")")
+def cidr_lists_mixed(spark, sf):
+    """Intervals of many blocks in both families, written as CIDRs and read back from their texts."""
+    k, i = F.col("o_custkey"), F.col("o_orderkey")
+    h = _six(k, i)
+    other = F.concat(F.substring(h, 1, 20), F.substring(F.md5(F.concat(F.lit("y"), i.cast("string")).cast("binary")), 1, 12))
+    six = fx.table(spark, sf, "orders").select(i.alias("id"), F.lit(6).alias("family"), addr.wide_from_hex(F.least(h, other)).alias("ip_start"), addr.wide_from_hex(F.greatest(h, other)).alias("ip_end"))
+    four = fx.geo_raw(spark, sf).select((-F.col("tie") - 1).alias("id"), "family", addr.wide_from_v4("ip_start").alias("ip_start"), addr.wide_from_v4("ip_end").alias("ip_end"))
+    each = six.unionByName(four).select("id", F.posexplode(addr.wide_cidrs("family", "ip_start", "ip_end")).alias("pos", "cidr"))
+    b = addr.cidr_bounds("cidr")
+    return each.select("id", (F.col("pos") + 1).alias("ord"), addr.wide_hex(b["ip_start"]).alias("at"), b["plen"].alias("plen"))
+
+
+
+# ---------------------------------------------------------------- prefix table
+
+@query(f"""SELECT 4 AS family, plen, {text_of('ip_start::UHUGEINT')} AS at, origin_asn, n_origins, n_paths, n_distinct_paths FROM pfx
+  UNION ALL SELECT 6, plen, s, 65000 + plen, 1, 1, 1 FROM fx_block6""")
+def prefix_dimension_mixed(spark, sf):
+    """One row per prefix of either family, from dump files of two collectors."""
+    folder = dump_folders(spark, sf)
+    e = rib_dump.read_rib(spark, {c: f"{folder}/{c}" for c in ("rrc01", "rrc06")})
+    p = rib.prefix_dimension(rib.distinct_paths(e))
+    return p.select("family", "plen", addr.wide_hex("ip_start").alias("at"), "origin_asn", "n_origins", "n_paths", "n_distinct_paths")

@@ -7,18 +7,16 @@ Two physical forms, chosen by what a table holds:
   so that Spark's signed order is the unsigned order. Such structs sort, group, join and window as they
   are, and ``hi`` as a leaf column gets Parquet statistics.
 
-Nothing here runs Python per row except :func:`wide_cidrs`.
+Nothing here runs Python per row.
 """
 
 from __future__ import annotations
 
-import ipaddress
 from dataclasses import dataclass
 from typing import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructType
+from pyspark.sql.types import LongType, StructType
 
 SIGN = -(1 << 63)
 WIDE_TYPE = "struct<hi:bigint,lo:bigint>"
@@ -385,20 +383,72 @@ def network_text(family, point, plen) -> Column:
 
 # ---------------------------------------------------------------- 128-bit CIDR lists
 
-@F.pandas_udf(ArrayType(StringType()))
-def _cidr_lists(family: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
-    def one(fam, a, b):
-        if a is None or b is None:
-            return None
-        make = ipaddress.IPv4Address if fam == 4 else ipaddress.IPv6Address
-        nets = ipaddress.summarize_address_range(make(int(a, 16)), make(int(b, 16)))
-        return [str(n) for n in nets]
-    return pd.Series([one(f, a, b) for f, a, b in zip(family, first, last)])
+def _trailing_zeros(hi: Column, lo: Column) -> Column:
+    """Zero bits at the end of a raw 128-bit number; 128 for zero."""
+    ends = lambda x: F.length(F.bin(x)) - F.length(F.rtrim(F.bin(x), F.lit("0")))
+    return F.when(lo != 0, ends(lo)).when(hi != 0, ends(hi) + 64).otherwise(F.lit(128))
+
+
+def _bit(hi: Column, lo: Column, k: Column) -> Column:
+    """Bit ``k`` of a raw 128-bit number, counted from its end."""
+    at = lambda x, n: F.call_function("shiftright", x, n.cast("int")).bitwiseAND(F.lit(1).cast("bigint"))
+    return F.when(k < 64, at(lo, k)).otherwise(at(hi, k - 64))
+
+
+def _span(a: Column, b: Column) -> Column:
+    """Whole numbers from a to b, none when b is smaller."""
+    return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+
+
+def wide_blocks(start, end) -> Column:
+    """Closed interval in wide form to its minimal list of blocks, ascending: structs (at, bits), a block having 2^bits addresses.
+
+    Let d be the highest bit in which the ends differ. Below it the start climbs to the middle and the end descends from it: the
+    start's own block spans its trailing zeros, and every further zero bit of the start below d is a block to its right; the end's block spans
+    its trailing ones, and every further one bit of the end is a block to its left. Only bits of the two words are read, so
+    nothing carries and the ends of the space are no special case.
+    """
+    def words(p):
+        x = _as_col(p)
+        return x["hi"].bitwiseXOR(F.lit(SIGN)), x["lo"].bitwiseXOR(F.lit(SIGN))
+
+    (sh, sl), (eh, el) = words(start), words(end)
+    raw = F.struct(sh.alias("sh"), sl.alias("sl"), eh.alias("eh"), el.alias("el"))
+
+    def measure(r):
+        xh, xl = r["sh"].bitwiseXOR(r["eh"]), r["sl"].bitwiseXOR(r["el"])
+        d = F.when(xh != 0, F.length(F.bin(xh)) + 63).when(xl != 0, F.length(F.bin(xl)) - 1).otherwise(F.lit(-1))
+        ones = _trailing_zeros(F.bitwise_not(r["eh"]), F.bitwise_not(r["el"]))
+        return F.struct(r.alias("r"), d.alias("d"), F.least(d, _trailing_zeros(r["sh"], r["sl"])).alias("t"), F.least(d, ones).alias("u"))
+
+    def block(point, bits):
+        return F.struct(point.alias("at"), bits.cast("int").alias("bits"))
+
+    def cover(m):
+        r, d, t, u = m["r"], m["d"], m["t"], m["u"]
+        s, e = wide(r["sh"], r["sl"]), wide(r["eh"], r["el"])
+
+        def rising(k):
+            base = _wide_mask(s, F.lit(128) - k)
+            put = lambda x, on, n: F.when(on, x.bitwiseOR(_shl(F.lit(1).cast("bigint"), n.cast("int")))).otherwise(x)
+            # The lowest bit of the flipped word is as it was, the highest is zero where the raw one is one.
+            hi = F.when(k == 127, F.lit(0).cast("bigint")).otherwise(put(base["hi"], k >= 64, k - 64))
+            lo = F.when(k == 63, F.lit(0).cast("bigint")).otherwise(put(base["lo"], k < 64, k))
+            return block(F.struct(hi.alias("hi"), lo.alias("lo")), k)
+
+        up = F.transform(F.filter(_span(t + 1, d - 1), lambda k: _bit(r["sh"], r["sl"], k) == 0), rising)
+        down = F.transform(F.filter(F.reverse(_span(u + 1, d - 1)), lambda k: _bit(r["eh"], r["el"], k) == 1), lambda k: block(_wide_mask(e, F.lit(127) - k), k))
+        ends = F.concat(F.array(block(s, t)), up, down, F.array(block(_wide_mask(e, F.lit(128) - u), u)))
+        return F.when(d < 0, F.array(block(s, F.lit(0)))).when((t == d) & (u == d), F.array(block(s, d + 1))).otherwise(ends)
+
+    good = _as_col(start).isNotNull() & _as_col(end).isNotNull() & (_as_col(start) <= _as_col(end))
+    return F.when(good, let(let(raw, measure), cover))
 
 
 def wide_cidrs(family, start, end) -> Column:
-    """Closed interval in wide form to its minimal CIDR list (Arrow batches; at most 254 entries a row)."""
-    return _cidr_lists(_as_col(family), wide_hex(start), wide_hex(end))
+    """Closed interval in wide form to its minimal CIDR list (at most 254 entries a row), in built-in functions alone."""
+    width = family_width(family)
+    return F.transform(wide_blocks(start, end), lambda b: network_text(family, b["at"], width - b["bits"]))
 
 
 def interval_cidrs(axis: Axis, family, start, end) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import paths as P
 from . import ordered
 
 PLACE = ["family", "plen", "ip_start", "ip_end"]
+#: AS numbers are below this.
+_ASNS = 1 << 32
 
 
 def keep_family(df: DataFrame, family: int | None) -> DataFrame:
@@ -31,9 +34,18 @@ def cleaned(entries: DataFrame) -> DataFrame:
                     F.size("_clean").alias("path_len"), F.element_at("_clean", -1).alias("origin_asn")))
 
 
+def _least(df: DataFrame, columns: list[str]) -> list[Column]:
+    """Minima of columns that agree within a group. A 128-bit address is folded as its two words: a struct cannot be updated in a
+    hash table's row, and the aggregation would sort instead."""
+    def least(c):
+        kind = df.schema[c].dataType
+        return F.struct(*[F.min(f"{c}.{f.name}").alias(f.name) for f in kind]) if isinstance(kind, StructType) else F.min(c)
+
+    return [least(c).alias(c) for c in columns]
+
+
 def _fold(df: DataFrame, keys: list[str], peers) -> DataFrame:
-    carried = [F.min(c).alias(c) for c in [*PLACE, "path_len", "origin_asn"]]
-    return df.groupBy(*keys).agg(*carried, peers.alias("n_peers"))
+    return df.groupBy(*keys).agg(*_least(df, [*PLACE, "path_len", "origin_asn"]), peers.alias("n_peers"))
 
 
 def observations(entries: DataFrame) -> DataFrame:
@@ -54,20 +66,24 @@ def distinct_paths(entries: DataFrame) -> DataFrame:
 def origin_weights(pathobs: DataFrame) -> DataFrame:
     """Peers and distinct paths per (prefix, origin)."""
     return pathobs.groupBy("prefix", "origin_asn").agg(
-        *[F.min(c).alias(c) for c in PLACE], F.sum("n_peers").alias("ns"), F.count(F.lit(1)).alias("np"))
+        *_least(pathobs, PLACE), F.sum("n_peers").alias("ns"), F.count(F.lit(1)).alias("np"))
 
 
 def prefix_dimension(pathobs: DataFrame) -> DataFrame:
     """One row per prefix: totals, number of origins and the origin most peers see (smallest on ties).
 
-    The first level folds a hot prefix down to its origins before the second shuffle.
+    The first level folds a hot prefix down to its origins before the second shuffle. Peers and origin are packed into one
+    number (peers first, then the smaller origin as the larger rest; up to 2^30 peers), whose maximum is hash-aggregated.
     """
-    return origin_weights(pathobs).groupBy("prefix").agg(
-        *[F.min(c).alias(c) for c in PLACE],
-        F.max_by("origin_asn", F.struct(F.col("ns"), -F.col("origin_asn"))).alias("origin_asn"),
+    weights = origin_weights(pathobs)
+    rest = F.coalesce(F.lit(_ASNS) - F.col("origin_asn"), F.lit(0).cast("bigint"))  # 0: no origin
+    best = F.max(F.col("ns") * F.lit(2 * _ASNS) + rest) % F.lit(2 * _ASNS)
+    return weights.groupBy("prefix").agg(
+        *_least(weights, PLACE), best.alias("_best"),
         F.count("origin_asn").alias("n_origins"),
         F.sum("ns").alias("n_paths"),
-        F.sum("np").alias("n_distinct_paths"))
+        F.sum("np").alias("n_distinct_paths")).select(
+        "prefix", *PLACE, F.when(F.col("_best") > 0, F.lit(_ASNS) - F.col("_best")).alias("origin_asn"), "n_origins", "n_paths", "n_distinct_paths")
 
 
 def with_pids(prefixes: DataFrame) -> DataFrame:
