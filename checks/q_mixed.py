@@ -1,13 +1,16 @@
 """Queries on tables that hold both families in one address order; the oracles compute in UHUGEINT."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from routeloom.functions import addr
-from routeloom.operators import containment as C, intervals as I, measure as M, rib
-from routeloom.sources import rib_dump
+from routeloom.operators import containment as C, intervals as I, measure as M, paging, rib
+from routeloom.session import durable
+from routeloom.sources import rib_dump, rpsl
 
-from . import fixtures as fx
+from . import base, fixtures as fx
 from .oracle_base import cte
+from .q_records import scratch
 from .q_stream import dump_folders
 from .registry import query
 
@@ -200,3 +203,84 @@ def prefix_dimension_mixed(spark, sf):
     e = rib_dump.read_rib(spark, {c: f"{folder}/{c}" for c in ("rrc01", "rrc06")})
     p = rib.prefix_dimension(rib.distinct_paths(e))
     return p.select("family", "plen", addr.wide_hex("ip_start").alias("at"), "origin_asn", "n_origins", "n_paths", "n_distinct_paths")
+
+
+# ---------------------------------------------------------------- a registry directory
+
+def _write_objects(folder):
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                system, path = rib_dump.file_system(f"{folder}/{r['kind']}/{r['name']}")
+                system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(path, compression=None) as f:
+                    f.write(r["text"].encode())
+            yield pa.RecordBatch.from_arrays([b.column("name")], names=["name"])
+
+    return run
+
+
+@query("""SELECT kind, plen::BIGINT AS plen, adr, origin, CASE WHEN s_suppkey%3 = 0 THEN plen ELSE plen + s_suppkey%3 END AS maxlen, s_suppkey%2 = 0 AND o = 0 AS first FROM (
+    SELECT s_suppkey, 'route' AS kind, 24 AS plen, lpad(lower(printf('%x', (172*65536 + s_suppkey)::BIGINT * 256)), 32, '0') AS adr FROM supplier WHERE s_suppkey < 60000
+    UNION ALL SELECT s_suppkey, 'route6', 48, 'fd42' || lpad(lower(printf('%x', s_suppkey)), 8, '0') || repeat('0', 20) FROM supplier), LATERAL (SELECT unnest([0, 1]) AS o),
+  LATERAL (SELECT (4242420000 + s_suppkey + o * 5000)::BIGINT AS origin) WHERE o = 0 OR s_suppkey%2 = 0""")
+def registry_directory(spark, sf):
+    """Route objects of both families from a directory of one-object files, whose names are the networks; an object may name two origins."""
+    k = F.col("s_suppkey")
+    s = fx.table(spark, sf, "supplier")
+    h = F.lpad(F.lower(F.hex(k)), 8, "0")
+    four = F.concat(addr.v4_text((F.lit(172 * 65536) + k) * 256), F.lit("/24"))
+    six = F.concat(F.lit("fd42:"), F.substring(h, 1, 4), F.lit(":"), F.substring(h, 5, 4), F.lit("::/48"))
+    rows = None
+    for kind, net, plen, frame in (("route", four, 24, s.where(k < 60000)), ("route6", six, 48, s)):
+        text = F.concat(F.lit(f"{kind}:".ljust(20)), net, F.lit("\ndescr:   x\n+\n  more\norigin: AS"), (k + 4242420000).cast("string"),
+                        F.when(k % 2 == 0, F.concat(F.lit("\norigin: AS"), (k + 4242425000).cast("string"))).otherwise(F.lit("")),
+                        F.when(k % 3 != 0, F.concat(F.lit("\nmax-length: "), (k % 3 + plen).cast("string"))).otherwise(F.lit("")), F.lit("\n"))
+        name = F.replace(F.replace(net, F.lit("/"), F.lit("_")), F.lit(":"), F.lit("%3A"))
+        r = frame.select(F.lit(kind).alias("kind"), name.alias("name"), text.alias("text"))
+        rows = r if rows is None else rows.unionByName(r)
+    folder = scratch(spark)
+    durable(rows.mapInArrow(_write_objects(folder), "name string"))
+    out = None
+    for kind in ("route", "route6"):
+        objects = rpsl.read_files(spark, f"{folder}/{kind}", kind)
+        bad = objects.where(F.replace("name", F.lit("_"), F.lit("/")) != F.get("attrs", F.lit(0))["value"])
+        assert bad.isEmpty()
+        v = rpsl.registry_vrps(objects).select(F.lit(kind).alias("kind"), "plen", addr.wide_hex("ip_start").alias("adr"), F.col("asn").alias("origin"), "maxlen")
+        out = v if out is None else out.unionByName(v)
+    number = F.when(F.col("kind") == "route", F.conv(F.substring("adr", 25, 6), 16, 10).cast("bigint") - 172 * 65536).otherwise(F.conv(F.substring("adr", 5, 8), 16, 10).cast("bigint"))
+    return out.withColumn("first", (number % 2 == 0) & (F.col("origin") == number + 4242420000))
+
+
+# ---------------------------------------------------------------- pages by key
+
+@query("""SELECT row_no, pid, prefix, n_paths, row_no <= (total // 37) * 37 AND (row_no - 1) // 37 < (total - 1) // 37 AS more FROM
+  (SELECT *, row_number() OVER (ORDER BY n_paths DESC, cc NULLS FIRST, pid) AS row_no, count(*) OVER () AS total FROM tagged)
+  WHERE (row_no - 1) // 37 IN (0, 3, (total - 1) // 37)""")
+def keyset_pages(spark, sf):
+    """The first, the fourth and the last page of all prefixes, each found by its keys."""
+    df = base.tagged(spark, sf)
+    order = paging.keys(paging.Key("n_paths", True), "cc", "pid")
+    starts = paging.page_starts(df, order, 37)
+    last = starts.agg(F.max("page")).first()[0]
+    out = None
+    for n in sorted({0, 3, last}):
+        p = paging.page(df, order, starts, n).select("row_no", "pid", "prefix", "n_paths", "more")
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+@query("""SELECT row_no, hi_lo, plen FROM (SELECT row_number() OVER (ORDER BY s DESC, plen) AS row_no, s AS hi_lo, plen FROM fx_block6) WHERE row_no <= 60""")
+def keyset_walk(spark, sf):
+    """Three pages of twenty blocks of the second family from the end of the address space, each continued from the last row shown."""
+    df = fx.blocks6(spark, sf)
+    order = paging.keys(paging.Key("ip_start.hi", True), paging.Key("ip_start.lo", True), "plen")
+    mark, out = None, None
+    for i in range(3):
+        rows = paging.after(df, order, mark, 20).orderBy(*[k.order() for k in order]).collect()  # a page
+        if not rows:
+            break
+        mark = paging.cursor(rows[-1], order)
+        p = spark.createDataFrame([(i * 20 + j + 1, r["ip_start"], r["plen"]) for j, r in enumerate(rows)], f"row_no bigint, at {addr.WIDE_TYPE}, plen int")
+        out = p if out is None else out.unionByName(p)
+    return out.select("row_no", addr.wide_hex("at").alias("hi_lo"), "plen")

@@ -76,11 +76,27 @@ def rdap_entities(spark, sf):
     return e.select("kind", "key", base.joined("trail", ".").alias("trail"), "depth", "handle", F.array_join("roles", ",").alias("roles"), "name", F.size("rows").alias("n_rows"))
 
 
-@query("""SELECT kind, s_suppkey::VARCHAR AS key, s_suppkey::VARCHAR || '/' || pos AS card, field, value FROM (SELECT s_suppkey, unnest(['autnum','ip','domain']) AS kind FROM supplier),
-  LATERAL (SELECT * FROM (VALUES (0,'kind','group'),(0,'address','Street 1, Town ' || s_suppkey),(0,'phone','+1 ' || s_suppkey),(0,'fax','+2'),(0,'email','a@b'),(0,'fullname','Tech')) v(pos, field, value))""")
+@query("""SELECT kind, s_suppkey::VARCHAR AS key, s_suppkey::VARCHAR || '/' || trail AS card, field, value FROM (SELECT s_suppkey, s_name, unnest(['autnum','ip','domain']) AS kind FROM supplier),
+  LATERAL (SELECT * FROM (VALUES ('0', 'Tech'), ('1', s_name), ('1.0', 'Sub ' || s_suppkey)) t(trail, fn)),
+  LATERAL (SELECT * FROM (VALUES ('kind','group'),('address','Street 1, Town ' || s_suppkey),('phone','+1 ' || s_suppkey),('fax','+2'),('email','a@b'),('fullname', fn),
+    ('org', CASE WHEN trail = '1' AND s_suppkey%3=0 THEN 'Org ' || s_suppkey END)) v(field, value)) WHERE value IS NOT NULL""")
 def vcard_rows(spark, sf):
-    e = R.rdap_entities(_rdap(spark, sf)).where(F.col("name") == "Tech")
-    return e.select("kind", "key", F.concat("key", F.lit("/"), F.get("trail", F.lit(0)).cast("string")).alias("card"), F.inline("rows"))
+    """All cards of all entities."""
+    e = R.rdap_entities(_rdap(spark, sf))
+    return e.select("kind", "key", F.concat("key", F.lit("/"), base.joined("trail", ".")).alias("card"), F.inline("rows"))
+
+
+@query("""SELECT c_custkey::VARCHAR AS key, unnest(range(0, 3 + c_custkey%9)) AS depth, 'H' || c_custkey || '-' || unnest(range(0, 3 + c_custkey%9)) AS handle,
+  unnest(range(0, 3 + c_custkey%9)) + 1 AS trail_length FROM customer""")
+def rdap_deep_entities(spark, sf):
+    """Entities within entities, three to eleven deep, by customer."""
+    k = F.col("c_custkey")
+    doc = F.lit("")
+    for depth in reversed(range(11)):
+        own = F.concat(F.lit('{"handle":"H'), k.cast("string"), F.lit(f'-{depth}","roles":["noc"]'), F.when(doc == "", F.lit("")).otherwise(F.concat(F.lit(',"entities":['), doc, F.lit("]"))), F.lit("}"))
+        doc = F.when(k % 9 + 3 > depth, own).otherwise(F.lit(""))
+    docs = fx.table(spark, sf, "customer").select(F.lit("ip").alias("kind"), k.cast("string").alias("key"), F.concat(F.lit('{"entities":['), doc, F.lit("]}")).alias("json"))
+    return R.rdap_entities(R.parse_rdap(docs)).select("key", "depth", "handle", F.size("trail").alias("trail_length"))
 
 
 @query("""SELECT kind, s_suppkey::VARCHAR AS key, CASE WHEN s_suppkey%3=0 THEN 'Org ' || s_suppkey ELSE s_name END AS org, CASE kind WHEN 'domain' THEN '' ELSE s_name END AS netname,

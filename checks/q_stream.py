@@ -12,7 +12,7 @@ from routeloom.operators import rib
 from routeloom.plans import snapshot
 from routeloom.session import durable, spread
 from routeloom.sources import rib_dump, rpsl, tables
-from routeloom.streaming import delta as D, measurements as SM
+from routeloom.streaming import delta as D, measurements as SM, refresh
 
 from . import base, fixtures as fx
 from .oracle_base import cte
@@ -82,6 +82,21 @@ def _write_dumps(folder):
     return run
 
 
+def _copy_dumps(folder, stamp):
+    def run(batches):
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                system, path = rib_dump.file_system(f"{folder}/{stamp}.{r['path'].rsplit('/', 1)[1]}")
+                system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(path, compression=None) as f:
+                    f.write(r["content"])
+                out.append(path)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["path"])
+
+    return run
+
+
 def dump_folders(spark, sf):
     """Compressed dumps in the shared folder: two collectors with a file per 20,000 order numbers, IPv6 beside them in the second, and
     files of a third, which are the first collector's cut in half."""
@@ -204,6 +219,32 @@ def delta_feed(spark, sf):
     return feed.state().select(addr.v4_from_wide("ip_start").alias("ip_start"), "origin", "source")
 
 
+@query(f"""SELECT 'first' AS at, collector, 4::BIGINT AS family, count(*) AS n FROM fx_entry WHERE collector = 'rrc01' GROUP BY collector UNION ALL SELECT 'first', 'rrc06', 6, count(*) FROM fx_block6
+  UNION ALL SELECT 'last', collector, 4, count(*) FROM fx_entry GROUP BY collector""")
+def snapshot_refresh(spark, sf):
+    """Snapshots swapped by a pointer: of the dumps at first, unchanged by a second look, then of one collector's newer dump, whose newest of all is torn."""
+    made, source = dump_folders(spark, sf), scratch(spark)
+
+    def put(collector, stamp, glob, as_collector=None):
+        """Copies of dump files, the stamp before their names."""
+        paths = spark.read.format("binaryFile").load(f"{made}/{collector}/{glob}").select("path", "content")
+        durable(paths.mapInArrow(_copy_dumps(f"{source}/{as_collector or collector}", stamp), "path string"))
+
+    stamp = lambda path: F.split_part(F.element_at(F.split(path, "/"), -1), F.lit("."), F.lit(1))
+    store = refresh.SnapshotFolder(spark, scratch(spark))
+    put("rrc01", "1", "v4-*")
+    put("rrc06", "1", "v6-*")
+    build = lambda entries, folder: entries.groupBy("collector", "family").agg(F.count(F.lit(1)).alias("n")).write.parquet(folder)
+    first = refresh.refresh(spark, source, store, build, stamp)
+    assert first and refresh.refresh(spark, source, store, build, stamp) is None
+    put("rrc06", "2", "v4-*")
+    put("cut", "3", "v4-*", "rrc06")
+    last = refresh.refresh(spark, source, store, build, stamp)
+    assert last == store.current()[0] and last != first and refresh.refresh(spark, source, store, build, stamp) is None
+    read = lambda at, folder: spark.read.parquet(folder).select(F.lit(at).alias("at"), "collector", "family", "n")
+    return read("first", first).unionByName(read("last", last))
+
+
 @query("""SELECT (10*65536 + c_custkey) * 256 AS ip_start, 65000 + c_custkey AS origin FROM customer WHERE c_custkey % 5 <> 0
   UNION SELECT (10*65536 + c_custkey) * 256, 66000 + c_custkey FROM customer WHERE c_custkey % 7 = 0""")
 def delta_merged(spark, sf):
@@ -233,18 +274,64 @@ def delta_merged(spark, sf):
 
 # ---------------------------------------------------------------- everything
 
+def _published(spark, sf):
+    sets = rpsl.as_sets(set_texts(spark, sf), "RADB")
+    n = fx.table(spark, sf, "nation").select(F.concat(F.lit("C"), F.col("n_nationkey").cast("string")).alias("cc"), F.col("n_name").alias("name_en"), F.reverse("n_name").alias("name_zh"))
+    inp = snapshot.Inputs(fx.entries(spark, sf), base.geo(spark, sf), fx.vrps(spark, sf), fx.irr_routes(spark, sf), sets, as_of={"rpki": "2026-12-01 08:00"}, country_names=n)
+    out = scratch(spark)
+    return out, snapshot.publish(snapshot.build(inp), out, stamp=1, parts=4)
+
+
+def row_sum(*columns):
+    """A sum over rows of the first 32 bits of each row's md5: equal for equal tables, whatever their order."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) if isinstance(c, str) else c for c in columns])
+    return F.sum(F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")).cast("bigint")
+
+
+def row_sum_sql(*columns):
+    text = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in columns)
+    return f"CAST(sum(('0x' || substr(md5(concat_ws('|', {text})), 1, 8))::BIGINT) AS BIGINT)"
+
+
+@query(f"""SELECT 'prefixes' AS name, {row_sum_sql('pid', 'prefix', 'plen', 'ip_start', 'ip_end', 'origin_asn', 'n_origins', 'n_paths', 'n_distinct_paths', "coalesce(cc, 'ZZ')", 'city')} AS content FROM tagged
+  UNION ALL SELECT 'paths', {row_sum_sql('pid', 'path_str', "array_to_string(a, ' ')", 'path_len', 'n_peers', "CASE WHEN rn = 1 THEN 'true' ELSE 'false' END")} FROM arr_paths
+  UNION ALL SELECT 'irr', {row_sum_sql('pid', 'origin')} FROM (SELECT DISTINCT p.pid, i.origin FROM pfx p JOIN irr_route i ON i.ip_start = p.ip_start AND i.ip_end = p.ip_end)
+  UNION ALL SELECT 'dfz_ref', {row_sum_sql('family', 'dfz_ref')} FROM dfz
+  UNION ALL SELECT 'countries', {row_sum_sql('cc', 'n')} FROM (SELECT cc, count(*) AS n FROM tagged WHERE cc IS NOT NULL GROUP BY cc)
+  UNION ALL SELECT 'country_names', {row_sum_sql('cc', 'n_name')} FROM (SELECT DISTINCT cc FROM tagged) JOIN nation ON cc = 'C' || n_nationkey""")
+def published_contents(spark, sf):
+    """The contents of the published tables, row by row, as a reader of the snapshot finds them."""
+    out, doc = _published(spark, sf)
+    read = lambda t: snapshot.read_published(spark, out, t)
+    named = {"prefixes": ("pid", "prefix", "plen", "ip_start", "ip_end", "origin_asn", "n_origins", "n_paths", "n_distinct_paths", "cc", "city"),
+             "paths": ("pid", "path_str", F.array_join("path_arr", " "), "path_len", "n_peers", F.col("is_best").cast("string")),
+             "irr": ("pid", "origin"), "dfz_ref": ("family", "dfz_ref"), "countries": ("cc", "n"), "country_names": ("cc", "name_en")}
+    rows = None
+    for t, columns in named.items():
+        r = read(t).agg(row_sum(*columns).alias("content")).select(F.lit(t).alias("name"), "content")
+        rows = r if rows is None else rows.unionByName(r)
+    return rows
+
+
+@query("""SELECT 'scope' AS topic, 'families' AS name, string_agg(DISTINCT family::VARCHAR, ',' ORDER BY family::VARCHAR) AS value FROM pfx UNION ALL SELECT 'scope', 'collectors', 'rrc01,rrc06'
+  UNION ALL SELECT 'dfz_ref', family::VARCHAR, dfz_ref::VARCHAR FROM dfz UNION ALL SELECT 'rpki', 'count', count(*)::VARCHAR FROM fx_block UNION ALL SELECT 'rpki', 'as_of', '2026-12-01 08:00'
+  UNION ALL SELECT 'irr', 'count', count(*)::VARCHAR FROM irr_route UNION ALL SELECT 'irr', 'sources', string_agg(DISTINCT source, ',' ORDER BY source) FROM irr_route
+  UNION ALL SELECT 'asset', 'n_sets', count(*)::VARCHAR FROM set_dim UNION ALL SELECT 'asset', 'n_edges', count(*)::VARCHAR FROM set_edge UNION ALL SELECT 'asset', 'sources', 'RADB,RIPE'""")
+def snapshot_facts(spark, sf):
+    """What a published snapshot tells of its making."""
+    return snapshot.read_published(spark, _published(spark, sf)[0], "facts")
+
+
 @query("""SELECT 'prefixes' AS name, count(*) AS n FROM pfx UNION ALL SELECT 'paths', count(*) FROM ranked UNION ALL SELECT 'pathsearch', count(*) FROM search_table
-  UNION ALL SELECT 'asn_neigh', count(*) FROM adj UNION ALL SELECT 'geo', count(*) FROM (SELECT DISTINCT pid, cc, city FROM pieces)
+  UNION ALL SELECT 'country_names', count(DISTINCT cc) FROM tagged UNION ALL SELECT 'asn_neigh', count(*) FROM adj UNION ALL SELECT 'geo', count(*) FROM (SELECT DISTINCT pid, cc, city FROM pieces)
   UNION ALL SELECT 'irr', count(*) FROM (SELECT DISTINCT p.pid, i.origin FROM pfx p JOIN irr_route i ON i.ip_start = p.ip_start AND i.ip_end = p.ip_end)
   UNION ALL SELECT 'asset_set', count(*) FROM set_dim UNION ALL SELECT 'asset_member', count(*) FROM set_edge UNION ALL SELECT 'asset_memberof', count(*) FROM set_edge
   UNION ALL SELECT 'dfz_ref', count(*) FROM dfz UNION ALL SELECT 'countries', count(DISTINCT cc) FROM tagged
-  UNION ALL SELECT 'cities', count(*) FROM (SELECT cc, city FROM tagged WHERE cc IS NOT NULL AND city IS NOT NULL GROUP BY cc, city HAVING count(*) >= 2)""")
+  UNION ALL SELECT 'cities', count(*) FROM (SELECT cc, city FROM tagged WHERE cc IS NOT NULL AND city IS NOT NULL GROUP BY cc, city HAVING count(*) >= 2)
+  UNION ALL SELECT 'facts', 9 + count(*) FROM dfz""")
 def published_snapshot(spark, sf):
     """The whole snapshot built, written, checked against its manifest and read back."""
-    sets = rpsl.as_sets(set_texts(spark, sf), "RADB")
-    inp = snapshot.Inputs(fx.entries(spark, sf), base.geo(spark, sf), fx.vrps(spark, sf), fx.irr_routes(spark, sf), sets)
-    out = scratch(spark)
-    doc = snapshot.publish(snapshot.build(inp), out, stamp=1, parts=4)
+    out, doc = _published(spark, sf)
     sets_ = doc.select(F.explode("datasets").alias("d")).select("d.dataset")
     names = [r["dataset"] for r in sets_.collect()]  # table names
     counts = None

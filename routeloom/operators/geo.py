@@ -67,24 +67,29 @@ def segments(prefixes: DataFrame, geo: DataFrame, cap: int | None = None, cidr_c
     last = F.max_by(F.struct("ip_start", "province"), "ip_start")
     whole = I.merge_equal(cut, ["pid", "cc", "city"], {"tail": last})
     group = ["family", "pid", "cc", "city"]
-    w = Window.partitionBy(*group).orderBy("ip_start")
-    placed = whole.withColumn("ord", F.row_number().over(w))
-    listed = ((placed if cidr_cap is None else placed.where(F.col("ord") <= cidr_cap))
-              .withColumn("cidrs", addr.interval_cidrs(axis, "family", "ip_start", "ip_end"))
-              .groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("ord", "cidrs"))).alias("_l")))
-    prov = whole.groupBy(*group).agg(F.max_by("tail.province", "ip_start").alias("province"))
-    cidrs = F.flatten(F.transform("a._l", lambda x: x["cidrs"]))
-    match = None
-    for c in group:
-        cond = F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-        match = cond if match is None else match & cond
-    out = (listed.alias("a").join(prov.alias("b"), match)
-           .select(*[F.col(f"a.{c}").alias(c) for c in group], "b.province",
-                   (cidrs if cidr_cap is None else F.slice(cidrs, 1, cidr_cap)).alias("segs")))
+    piece = F.struct("ip_start", addr.interval_cidrs(axis, "family", "ip_start", "ip_end").alias("cidrs"))
+    if cidr_cap is not None:
+        w = Window.partitionBy(*group).orderBy("ip_start")
+        whole = whole.withColumn("ord", F.row_number().over(w))
+        piece = F.when(F.col("ord") <= cidr_cap, piece)
+    # List and province come from one pass over the pieces.
+    listed = whole.groupBy(*group).agg(F.sort_array(F.collect_list(piece)).alias("_l"), F.max_by("tail.province", "ip_start").alias("province"))
+    cidrs = F.flatten(F.transform("_l", lambda x: x["cidrs"]))
+    out = listed.select(*group, "province", (cidrs if cidr_cap is None else F.slice(cidrs, 1, cidr_cap)).alias("segs"))
     facts = [c for c in ("prefix", "plen", "origin_asn", "n_origins", "n_paths") if c in prefixes.columns]
     return out.join(prefixes.select("pid", *facts), "pid")
 
 
+def segment_rows(prefixes: DataFrame, geo: DataFrame, cap: int | None = None) -> DataFrame:
+    """The segments with one row per CIDR: (family, pid, cc, city, province, at, cidr); a row is bounded, whatever the size of a place.
+
+    ``at`` is the first address of the CIDR's piece; (pid, cc, city, at, cidr) in address order is the list of :func:`segments`.
+    """
+    axis = addr.axis_of(prefixes)
+    pieces = I.merge_equal(I.carve(I.effective_ranges(prefixes), geo, cap), ["pid", "cc", "city", "province"])
+    return pieces.select("family", "pid", "cc", "city", "province", F.col("ip_start").alias("at"), F.explode(addr.interval_cidrs(axis, "family", "ip_start", "ip_end")).alias("cidr"))
+
+
 def counts_by(df: DataFrame, *keys: str, least: int = 1) -> DataFrame:
     """Rows per key, NULL keys left out, groups below ``least`` dropped."""
     for k in keys:

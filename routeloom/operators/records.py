@@ -6,14 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fixed import (EVENT_FIELDS, VCARD_FIELDS, WHOIS_BRACKET, WHOIS_HIDDEN_VALUE, WHOIS_LABELS, WHOIS_NS_HEADERS)
 from ..functions.text import iso_date, literal_map
-
-ENTITY_LEVELS = 5
-
-
-def _entity_schema(level: int = ENTITY_LEVELS) -> str:
-    inner = f",entities:array<{_entity_schema(level - 1)}>" if level > 1 else ""
-    return f"struct<handle:string,roles:array<string>,vcardArray:array<string>{inner}>"
-
+from ..session import durable
 
 RDAP_SCHEMA = (
     "struct<handle:string,startAutnum:bigint,endAutnum:bigint,name:string,ldhName:string,unicodeName:string,"
@@ -22,7 +15,7 @@ RDAP_SCHEMA = (
     "events:array<struct<eventAction:string,eventDate:string>>,"
     "nameservers:array<struct<ldhName:string,handle:string>>,secureDNS:struct<delegationSigned:boolean>,"
     "remarks:array<struct<title:string,description:array<string>>>,"
-    f"entities:array<{_entity_schema()}>>")
+    "entities:array<variant>>")
 
 
 def _filled(c: Column) -> Column:
@@ -105,22 +98,33 @@ def entity_name(entity: Column) -> Column:
     return F.coalesce(_filled(F.get(fn, F.lit(3))), _filled(entity["handle"]), _filled(F.get(entity["roles"], F.lit(0))), F.lit("?"))
 
 
+def entity(v: Column) -> Column:
+    """An entity, parsed with its document, as struct(handle, roles, vcardArray, entities); nested entities stay as they were parsed."""
+    get = lambda path, kind: F.try_variant_get(v, path, kind)
+    card = F.array(F.lit("vcard"), get("$.vcardArray[1]", "string"))
+    return F.struct(get("$.handle", "string").alias("handle"), get("$.roles", "array<string>").alias("roles"), card.alias("vcardArray"),
+                    get("$.entities", "array<variant>").alias("entities"))
+
+
 def rdap_entities(parsed: DataFrame) -> DataFrame:
     """The entity tree, one row per entity: (kind, key, trail, depth, handle, roles, name, rows).
 
-    ``trail`` holds the positions from the top, so it orders the tree.
+    ``trail`` holds the positions from the top, so it orders the tree. Documents are parsed once; each level is written and its
+    nested entities are the next, until a level is empty, however deep that is.
     """
-    level = parsed.select("kind", "key", F.posexplode("doc.entities").alias("p", "e")).withColumn("trail", F.array("p"))
-    out = None
-    for depth in range(ENTITY_LEVELS):
+    level = parsed.select("kind", "key", F.posexplode("doc.entities").alias("p", "v")).withColumn("trail", F.array("p"))
+    out, depth = None, 0
+    while True:
+        level = level.select("kind", "key", "trail", entity(F.col("v")).alias("e"))
         flat = level.select("kind", "key", "trail", F.lit(depth).alias("depth"), F.col("e.handle").alias("handle"),
                             F.coalesce("e.roles", F.array().cast("array<string>")).alias("roles"),
-                            entity_name(F.col("e")).alias("name"), vcard_rows(F.col("e.vcardArray")).alias("rows"))
-        out = flat if out is None else out.unionByName(flat)
-        if depth + 1 < ENTITY_LEVELS:
-            level = (level.select("kind", "key", "trail", F.posexplode("e.entities").alias("p", "e"))
-                     .withColumn("trail", F.concat("trail", F.array("p"))))
-    return out
+                            entity_name(F.col("e")).alias("name"), vcard_rows(F.col("e.vcardArray")).alias("rows"), F.col("e.entities").alias("below"))
+        flat = durable(flat)
+        if out is not None and flat.isEmpty():
+            return out
+        out = flat.drop("below") if out is None else out.unionByName(flat.drop("below"))
+        level = flat.select("kind", "key", "trail", F.posexplode("below").alias("p", "v")).withColumn("trail", F.concat("trail", F.array("p")))
+        depth += 1
 
 
 def holder(parsed: DataFrame) -> DataFrame:
@@ -128,7 +132,7 @@ def holder(parsed: DataFrame) -> DataFrame:
 
     Its organisation row wins over its name; ``holder`` falls back to the network name.
     """
-    ents = F.col("doc.entities")
+    ents = F.transform("doc.entities", entity)
     role = lambda r: F.get(F.filter(ents, lambda e: F.array_contains(e["roles"], r)), F.lit(0))
     one = parsed.select("kind", "key", F.coalesce(role("registrant"), role("administrative"), F.get(ents, F.lit(0))).alias("e"),
                         F.coalesce("doc.name", F.lit("")).alias("netname"), F.coalesce("doc.country", F.lit("")).alias("cc"))
