@@ -103,6 +103,54 @@ def test_frequent_passage_goes_from_documents_that_share_a_rarer_line_too(spark)
     assert got.where(F.contains("text", F.lit(passage))).count() == 1 and got.where("lines_removed = 1").count() == 298
 
 
+def test_a_copy_goes_whose_lines_each_have_another_first_holder(spark):
+    lines_ = [f"line number {i}" for i in range(10)]
+    made = [(i, f"own words of {i} here\n{x}\nand more of {i} below") for i, x in enumerate(lines_)] + [(20, "\n".join(lines_)), (30, "\n".join(lines_)), (40, "\n\n".join(lines_)), (50, "\n".join(lines_[::-1]))]
+    got = {r["doc_id"]: r for r in lines.dedup(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got[20]["lines_removed"] == 0 and got[30]["lines_removed"] == 10 and not got[30]["lines_left"]
+    assert got[40]["lines_removed"] == 0 and got[50]["lines_removed"] == 0 and all(got[i]["lines_removed"] == 0 for i in range(10))
+
+
+def windows_of(text, min_words=8):
+    """(lines of the window, first line number) by definition."""
+    ls = [x.strip() for x in text.split("\n")]
+    for i, x in enumerate(ls):
+        if x:
+            for j in range(i, len(ls)):
+                if sum(len(y.split()) for y in ls[i:j + 1]) >= min_words:
+                    yield tuple(ls[i:j + 1]), i
+                    break
+
+
+@pytest.mark.parametrize("seed,rare,hot", [(1, 100, 2000), (2, 1, 2000), (3, 100, 10**9)])
+def test_line_dedup_leaves_no_window_of_an_earlier_document(spark, monkeypatch, seed, rare, hot):
+    monkeypatch.setattr(lines, "HOT_SHARE", hot)
+    rng = random.Random(seed)
+    pool = [" ".join(rng.choice("abcdefgh") for _ in range(rng.choice((0, 1, 2, 3, 5, 9)))) for _ in range(25)]
+    made = [(i * 2, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 14)))) for i in range(70)]
+    d = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    gone = {r["doc_id"]: set(r["gone"]) for r in lines.removed_lines(d, rare=rare).collect()}
+    seen, checked = set(), 0
+    for n, (i, t) in enumerate(made):
+        ls, must, may = t.split("\n"), set(), set()
+        for w, at in windows_of(t):
+            if w in seen:
+                must |= set(range(at, at + len(w)))
+        for _, earlier in made[:n]:  # every run of lines that both have, of eight words or more
+            es = earlier.split("\n")
+            for x in range(len(ls)):
+                for y in range(len(es)):
+                    k = 0
+                    while x + k < len(ls) and y + k < len(es) and ls[x + k] == es[y + k]:
+                        k += 1
+                    if sum(len(v.split()) for v in ls[x:x + k]) >= 8:
+                        may |= set(range(x, x + k))
+        assert must <= gone.get(i, set()) <= may
+        checked += len(must)
+        seen |= {w for w, _ in windows_of(t)}
+    assert checked > 50
+
+
 # ------------------------------------------------------------------ suffix dedup
 
 def removed_by_brute_force(docs, length):
