@@ -139,7 +139,8 @@ def labelled(labels: DataFrame, most: int = MAX_LABELLED, quality_col: str = "qu
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Ranking:
-    """Fit on the labelled sample. The label sample is bounded, so it may be broadcast; only its features reach the driver."""
+    """Fit on the labelled sample. The label sample is bounded, so it may be broadcast. Only features reach the driver, of at most
+    ``most`` rows: of more (where labelled ids repeat), those with the smallest hashes of id and features."""
     picked = texts(docs).join(F.broadcast(labelled(labels, most)), "doc_id")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Ranki
             x = features(*flat(b.column("text")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "y", "x"])
 
-    got = picked.mapInArrow(rows, "doc_id bigint, y int, x binary").toPandas().sort_values(["doc_id", "y", "x"], kind="stable")
+    found = picked.mapInArrow(rows, "doc_id bigint, y int, x binary")
+    got = found.orderBy(F.xxhash64("doc_id", "x"), "doc_id", "y", "x").limit(most).toPandas().sort_values(["doc_id", "y", "x"], kind="stable")
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), N_FEATURES)
     return fit(x, got["y"].to_numpy())
 
