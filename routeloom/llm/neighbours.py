@@ -99,10 +99,16 @@ def search_block(codes: Codes, radius: int, rows: np.ndarray, queries: np.ndarra
     return np.concatenate(out_q), np.concatenate(out_r), np.concatenate(out_s)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors divided by the power of two just above their largest component: the cosine stays as it is, and no square over- or underflows."""
+    _, power = np.frexp(np.abs(x).max(axis=1, keepdims=True))
+    return np.ldexp(x, -power)
+
+
 def _matrix(col: pa.ChunkedArray) -> np.ndarray:
     a = col.combine_chunks()
     values = a.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return values.reshape(len(a), -1) if len(a) else np.zeros((0, 1))
+    return scaled(values.reshape(len(a), -1)) if len(a) else np.zeros((0, 1))
 
 
 def search(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
@@ -117,7 +123,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
     ranked = v.withColumn("nth", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
     index = durable(ranked.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
     sample = index.orderBy(F.xxhash64("v"), F.col("ids")[0]).limit(SAMPLE).toPandas()["v"]
-    codes = Codes(np.stack(sample.to_numpy()).astype(np.float64), k)
+    codes = Codes(scaled(np.stack(sample.to_numpy()).astype(np.float64)), k)
     asked = v.where(queries)
     keys = durable(asked.groupBy("v").agg(F.min("vec_id").alias("key")))
     found = durable(_in_blocks(index, keys, codes, codes.radius, k))
