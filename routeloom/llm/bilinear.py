@@ -8,8 +8,9 @@ tokens; within that entry a token has its share of the discounted training count
 one event together. The model is thus a distribution over the same events as the counts.
 
 Counts cover every training document. Training passes over every training document once, in rounds: in each round every
-task starts from the same parameters and walks through its documents, and the results are averaged in groups, level by
-level. Only vocabulary-sized tables reach the driver or are broadcast. Null and empty texts consist of the end alone;
+shard starts from the same parameters and walks through its documents, and the results are averaged in groups, level by
+level. A shard is the documents of a hash of the id, in the order of id and text, so equal tables give equal scores
+whatever their files. An id with very many rows is one shard. Only vocabulary-sized tables reach the driver or are broadcast. Null and empty texts consist of the end alone;
 repeated rows get equal scores; without training rows every count is zero and only unseen events remain.
 """
 
@@ -30,6 +31,8 @@ from .common import flat, fold_of, hashed_words, texts
 VOCAB, FAR_WORDS, DIM, HEAD = 4_096, 63, 16, 200_000
 #: Noise words of a batch, positions of a batch, step size, tasks averaged at once.
 NOISE, BATCH, RATE, FAN = 64, 4_096, 0.06, 64
+#: Training tokens of a shard in all rounds together, about.
+SHARD_TOKENS = 2_000_000
 UNK, END, START = 0, 1, 2
 #: The end of a text as a token; no word hashes to it but by chance of 2^-64.
 END_HASH = -1
@@ -189,6 +192,7 @@ def _averaged(df: DataFrame) -> DataFrame:
     """Weighted means of the parameters of up to FAN tasks per group."""
 
     def mean(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("task")
         weight = rows.column("weight").to_numpy()
         total = sum(np.frombuffer(x.as_py(), "<f4").astype(np.float64) * w for x, w in zip(rows.column("params"), weight))
         return pa.table({"task": rows.column("group").slice(0, 1), "weight": pa.array([int(weight.sum())], pa.int64()), "params": pa.array([(total / weight.sum()).astype("<f4").tobytes()], pa.binary())})
@@ -198,21 +202,34 @@ def _averaged(df: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, counts: DataFrame, in_training: Column, fold: Column, rounds: list[int]) -> Model:
     """Counts become the vocabulary; then one round for each fold of the training documents."""
-    # Tokens by eighths of powers of two of their count: few rows, whatever the input; whole levels are taken while they fit.
-    level = F.floor(F.log2("c") * 8)
+    # Tokens by eighths of powers of two of their count: few rows, whatever the input; whole levels are taken while they fit,
+    # and of the next one the tokens of so many hash buckets as still fit.
+    level, bucket = F.floor(F.log2("c") * 8), F.pmod(F.xxhash64("token"), F.lit(1024))
     levels = sorted((r["level"], r["n"]) for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect())[::-1]
-    least, held = 1 << 20, 0
+    least, held, over = 1 << 20, 0, None
     for at, n in levels:
         if held + n > HEAD:
+            over = at
             break
         least, held = at, held + n
-    top = counts.where(level >= least).toPandas().sort_values(["c", "token"], ascending=[False, True])
+    wanted = level >= least
+    if over is not None:
+        most = -1
+        for at, n in sorted((r["bucket"], r["n"]) for r in counts.where(level == over).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()):
+            if held + n > HEAD:
+                break
+            most, held = at, held + n
+        wanted = wanted | ((level == over) & (bucket <= most))
+    top = counts.where(wanted | (F.col("token") == END_HASH)).toPandas().sort_values(["c", "token"], ascending=[False, True])
     hashes, c = top["token"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
     sums = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("one"), F.sum((F.col("c") == 2).cast("long")).alias("two")).first()
     words = np.sort(c[hashes != END_HASH])[::-1][:VOCAB - 3]
     n, v, one, two = (int(sums[x] or 0) for x in ("n", "v", "one", "two"))
     rest, rest_distinct = n - int(words.sum()) - int(c[hashes == END_HASH].sum()), v - len(words) - int((hashes == END_HASH).sum())
     model = Model(hashes, c, Totals(n, v, rest, rest_distinct, min(0.95, max(0.05, one / (one + 2 * two) if one else 0.5))))
+    # Documents go to shards by their id, and into one order within a shard, so that neither files nor lost executors change
+    # the result. Their number follows from the tokens.
+    shards = max(1, n // SHARD_TOKENS)
     for r in rounds:
         current = model
 
@@ -240,9 +257,9 @@ def fit(docs: DataFrame, counts: DataFrame, in_training: Column, fold: Column, r
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([n], pa.int64()), pa.array([_packed(p)], pa.binary())], names=["task", "weight", "params"])
 
-        own = docs.where(in_training & (fold == r)).select("text")
-        done = own.mapInArrow(train, "task int, weight bigint, params binary")
-        tasks = own.rdd.getNumPartitions()
+        own = docs.where(in_training & (fold == r)).repartition(shards, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+        done = own.select("text").mapInArrow(train, "task int, weight bigint, params binary")
+        tasks = shards
         while tasks > 1:
             done, tasks = _averaged(done), -(-tasks // FAN)
         got = done.orderBy("task").first()
