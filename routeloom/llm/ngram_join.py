@@ -14,6 +14,8 @@ Equal sets are one class, represented by the smallest id. Within a block of clas
 compared with a few pivots first; only classes that remain in different components are then compared with each other, so
 a large group of near copies costs a star and not all pairs. Null and empty texts have an empty set and link with
 nothing. Repeated rows link; rows without an id are left out of the links and get their own row with a null component.
+An id with several texts is several documents, each with its own set and links; component_id is then still the smallest id reached.
+A very long text is one array of 8 bytes a shingle; further columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from routeloom.session import durable
 
-from .common import flat, hashed_words, mix, semi, texts
+from .common import BROADCAST_IDS, flat, hashed_words, mix, semi, texts
 from .components import components
 
 N_WORDS, PERCENT = 5, 80
@@ -122,6 +124,21 @@ def survivors(heads: DataFrame) -> DataFrame:
     return met.join(heads.select("doc_id", "n").distinct(), "doc_id").where(F.col("hits") >= F.floor(F.col("n") / 20) + 1).select("doc_id").distinct()
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """All rows with an id and their ``row_id``: the id, or a hash of id and text where the id has several texts."""
+    d = docs.where("doc_id IS NOT NULL")
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    several = d.groupBy("doc_id").agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a <> b").select("doc_id")
+    several = durable(several)
+    own = F.col("doc_id").cast("bigint")
+    if several.isEmpty():
+        return d.withColumn("row_id", own)
+    marked = several.select(F.col("doc_id").alias("_several"))
+    few = marked.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    d = d.join(F.broadcast(marked) if few else marked, F.col("doc_id") == F.col("_several"), "left")
+    return d.withColumn("row_id", F.when(F.col("_several").isNull(), own).otherwise(F.xxhash64("doc_id", text))).drop("_several")
+
+
 def links(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, links, sets): documents are (doc_id, n, class_id) for every row with an id; links are (a, b, both) between
     class ids and join the same classes as all links together do; sets has (doc_id, n, tokens) of every class in a link."""
@@ -249,8 +266,16 @@ def parts(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT) -> tu
     return members, components(found), sets
 
 
+def kept_rows(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row of each component, with all columns, and the rows without an id; of repeated rows one stays."""
+    d = told_apart(docs)
+    kept = firsts(d.select(F.col("row_id").alias("doc_id"), "text"), n_words, percent).select(F.col("doc_id").alias("row_id"))
+    out = d.join(kept, "row_id", "left_semi").dropDuplicates(["row_id"]).drop("row_id")
+    return out.unionByName(docs.where("doc_id IS NULL"))
+
+
 def firsts(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
-    """Ids of the documents that are the smallest of their component; no links are counted for this."""
+    """Ids of the documents that are the smallest of their component; no links are counted for this. Ids tell texts apart."""
     members, part, _ = parts(docs, n_words, percent)
     out = members.join(part, members.class_id == part.node, "left")
     return out.where(F.col("doc_id") == F.coalesce("component", "class_id")).select("doc_id").distinct()
@@ -258,9 +283,16 @@ def firsts(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT) -> D
 
 def groups(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per input row: doc_id, n_shingles, class_id, component_id, n_links (all other classes that its class reaches the threshold with)."""
-    members, part, sets = parts(docs, n_words, percent)
+    d = told_apart(docs.select("doc_id", "text"))
+    members, part, sets = parts(d.select(F.col("row_id").alias("doc_id"), "text"), n_words, percent)
     degree = degrees(part, sets, percent)
     out = members.join(part, members.class_id == part.node, "left").drop("node").join(degree, F.col("class_id") == F.col("node"), "left")
     out = out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    renamed = durable(d.where("row_id <> doc_id").select("row_id", F.col("doc_id").alias("real")).distinct())
+    if not renamed.isEmpty():  # ids with several texts: the ids again, and the smallest of each class and component
+        out = durable(out.join(renamed, out.doc_id == renamed.row_id, "left").withColumn("doc_id", F.coalesce("real", "doc_id")).drop("row_id", "real"))
+        for c in ("class_id", "component_id"):
+            out = out.join(out.groupBy(F.col(c).alias("_c")).agg(F.min("doc_id").alias("_least")), F.col(c) == F.col("_c")).withColumn(c, F.col("_least")).drop("_c", "_least")
+        out = out.select("doc_id", "n_shingles", "class_id", "component_id", "n_links")
     none = docs.where(F.col("doc_id").isNull()).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(0).cast("bigint").alias("n_shingles"), F.lit(None).cast("bigint").alias("class_id"), F.lit(None).cast("bigint").alias("component_id"), F.lit(0).cast("bigint").alias("n_links"))
     return out.unionByName(none)

@@ -265,6 +265,16 @@ def test_ngram_query_equals_brute_force_on_documents(spark):
     assert got == groups_by_brute_force(zip(d.doc_id, d.text))
 
 
+def test_an_id_with_two_texts_is_two_documents(spark):
+    a, b = ("x1 x2 x3 x4 x5 x6 x7", "y1 y2 y3 y4 y5 y6 y7")
+    d = spark.createDataFrame([(1, a), (5, a), (5, b), (7, b), (9, "z"), (9, "z"), (None, a)], "doc_id long, text string")
+    got = sorted((r["doc_id"] or -1, r["component_id"], r["n_links"], r["n_shingles"]) for r in ngram_join.groups(d).collect())
+    assert got == [(-1, None, 0, 0), (1, 1, 0, 3), (5, 1, 0, 3), (5, 5, 0, 3), (7, 5, 0, 3), (9, 9, 0, 1), (9, 9, 0, 1)]
+    near = spark.createDataFrame([(1, a + " q" * 90), (5, a + " q" * 90), (5, b), (7, b + " y8"), (8, "other")], "doc_id long, text string")
+    kept = ngram_join.kept_rows(near.withColumn("row_no", F.lit(1))).collect()
+    assert len(kept) == 4 and {r["text"] for r in kept} == {a + " q" * 90, b, b + " y8", "other"} and kept[0].asDict().keys() == {"doc_id", "text", "row_no"}
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -369,6 +379,21 @@ def test_neighbours_recall_and_exact_scores(spark):
     assert hit >= 0.9 * len(got)
 
 
+def test_neighbours_of_extreme_vectors_have_finite_cosines(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 4))
+    size = np.where(np.arange(60) % 3 == 0, 1e200, np.where(np.arange(60) % 3 == 1, 1e-200, 1.0))
+    rows = [(i, (x[i] * size[i]).tolist()) for i in range(60)] + [(100, [5e-324, 0.0, 0.0, 0.0])]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert all(abs(r["score"]) <= 1 + 1e-12 for r in got) and len(got) == 15
+    for q in (0, 50):
+        s = unit @ unit[q]
+        for r in got:
+            if r["query_id"] == q and r["vec_id"] < 60:
+                assert math.isclose(r["score"], s[r["vec_id"]], abs_tol=1e-9)
+
+
 def test_neighbours_on_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (50, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0]), (7, [0.0, 1.0]), (8, [None, 1.0]), (None, [1.0, 1.0])]
     got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect()
@@ -391,6 +416,21 @@ def test_language_model_counts_equal_brute_force(spark):
         assert math.isclose(r["base_score"], sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), rel_tol=1e-9) and r["score"] < 0
 
 
+def test_language_model_does_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(bilinear, "SHARD_TOKENS", 3000)
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    two, six = ({r["doc_id"]: r["score"] for r in bilinear.score(d.repartition(n)).collect()} for n in (2, 6))
+    assert two == six
+
+
+def test_language_model_fills_its_head_from_a_level_of_equal_counts(spark, monkeypatch):
+    monkeypatch.setattr(bilinear, "HEAD", 3000)
+    d = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(200))) for i in range(40)], "doc_id long, text string")
+    counts = bilinear.token_counts(d)
+    model = bilinear.fit(d, counts, F.lit(True), F.lit(0), [])
+    assert 2500 < len(model.hashes) <= 3001 and model.size == len(model.hashes) + 2 and (model.hashes == bilinear.END_HASH).sum() == 1
+
+
 def test_language_model_is_normalised_and_learns_an_order():
     hashes = np.arange(10, 16, dtype=np.int64)
     counts = np.full(6, 1000, np.int64)
@@ -523,6 +563,15 @@ def test_quality_on_held_out_labels(spark):
     assert (got.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id]).all()
 
 
+def test_quality_takes_a_bounded_number_of_rows_of_one_labelled_id(spark, monkeypatch):
+    seen = []
+    real = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append(len(x)) or real(x, y))
+    d = spark.range(3000).selectExpr("IF(id < 2990, 1, id) AS doc_id", "concat('text ', id, ' of words') AS text")
+    quality.train(d, spark.createDataFrame([(1, 1), (2991, 0), (2992, 0)], "doc_id long, quality int"), most=5)
+    assert seen == [5]
+
+
 def test_quality_without_labels(spark, docs):
     none = spark.createDataFrame([(0, None), (2, 1)], "doc_id long, quality int")
     model = quality.train(docs, none)
