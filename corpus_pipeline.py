@@ -35,10 +35,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id; of repeated rows one stays."""
-    kept = ngram_join.firsts(docs)
-    own = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _columns(own.unionByName(docs.select(*COLUMNS).where("doc_id IS NULL")))
+    """One document of each group of near copies stays, the one with the smallest id; of repeated rows one stays, and texts that
+    share an id but are no near copies all stay."""
+    return _columns(ngram_join.kept_rows(docs.select(*COLUMNS)))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
