@@ -96,13 +96,13 @@ def nearest_parents_v6(spark, sf):
 
 @query("""SELECT pid, ord, parent_pid, parent_prefix, parent_plen FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY parent_plen DESC) AS ord FROM nest) WHERE ord <= 12""")
 def parent_prefixes(spark, sf):
-    return C.parents(base.prefixes(spark, sf))
+    return C.parents(base.prefixes(spark, sf), 12)
 
 
 @query("""SELECT pid, ord, child_pid, child_prefix, child_plen FROM (SELECT n.parent_pid AS pid, c.pid AS child_pid, c.prefix AS child_prefix, c.plen AS child_plen,
   row_number() OVER (PARTITION BY n.parent_pid ORDER BY c.ip_start, c.plen) AS ord FROM nest n JOIN pfx c ON c.pid = n.pid) WHERE ord <= 64""")
 def child_prefixes(spark, sf):
-    return C.children(base.prefixes(spark, sf))
+    return C.children(base.prefixes(spark, sf), 64)
 
 
 @query("""SELECT o_orderkey, ip, prefix, origin_asn FROM (SELECT o.*, p.prefix, p.origin_asn, row_number() OVER (PARTITION BY o_orderkey ORDER BY p.plen DESC NULLS LAST) AS r
@@ -215,7 +215,7 @@ def prefixes_per_city(spark, sf):
 @query("""SELECT cc, origin_asn, n, ord FROM (SELECT *, row_number() OVER (PARTITION BY cc ORDER BY n DESC, origin_asn) AS ord FROM (
   SELECT cc, origin_asn, count(*) AS n FROM tagged WHERE family = 4 AND cc IS NOT NULL GROUP BY cc, origin_asn)) WHERE ord <= 8""")
 def top_origins_per_country(spark, sf):
-    return G.top_origins(base.tagged(spark, sf))
+    return G.top_origins(base.tagged(spark, sf), 8)
 
 
 @query("""SELECT q.c_custkey, upper(n.cc) AS cc FROM (SELECT c_custkey, CASE c_custkey%4 WHEN 0 THEN 'nation_' || c_nationkey WHEN 1 THEN 'c' || c_nationkey WHEN 2 THEN 'q' || chr(97 + (c_nationkey%26)::INT) ELSE c_mktsegment || '9' END AS t

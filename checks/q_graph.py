@@ -66,7 +66,7 @@ def neighbour_pairs(spark, sf):
 
 @query("SELECT asn, neighbor, rel, n, ord FROM (SELECT *, row_number() OVER (PARTITION BY asn, rel ORDER BY n DESC, neighbor) AS ord FROM rel) WHERE ord <= 40")
 def as_relations(spark, sf):
-    return A.top_relations(base.adj(spark, sf)).select("asn", "neighbor", "rel", "n", "ord")
+    return A.top_relations(base.adj(spark, sf), 40).select("asn", "neighbor", "rel", "n", "ord")
 
 
 @query("""SELECT asn, neighbor, pid, path_str, CASE WHEN a[k+1] = neighbor THEN 'd' ELSE 'u' END AS side FROM (
@@ -87,7 +87,7 @@ def origins_from_paths(spark, sf):
 @query("""SELECT pid, upstream, n, ord FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY n DESC, upstream) AS ord FROM (
   SELECT pid, list_filter(a, lambda x: x <> a[-1])[-1] AS upstream, count(*) AS n FROM arr_paths GROUP BY ALL) WHERE upstream IS NOT NULL) WHERE ord <= 6""")
 def upstreams(spark, sf):
-    return A.upstreams(base.paths(spark, sf))
+    return A.upstreams(base.paths(spark, sf), 6)
 
 
 @query(f"""SELECT DISTINCT pid, kind, a, b FROM (SELECT pid, 'seen' AS kind, unnest(t) AS a, NULL AS b FROM t1p UNION ALL SELECT pid, 'entry', t[1], NULL FROM t1p UNION ALL
@@ -204,7 +204,7 @@ def _names(spark, sf):
 @query(f"""SELECT asn, rank FROM (SELECT *, row_number() OVER (ORDER BY rank, asn) AS r FROM (SELECT asn, min(CASE WHEN lower(name) = 'n1' THEN 0 WHEN starts_with(lower(name), 'n1')
   OR regexp_matches(lower(name), '[^a-zA-Z0-9_]n1') THEN 1 ELSE 2 END) AS rank FROM {_NAMES} WHERE contains(lower(name), 'n1') GROUP BY asn)) WHERE r <= 200""")
 def name_search(spark, sf):
-    return S.names_matching(_names(spark, sf), " N1 ").select("asn", "rank")
+    return S.names_matching(_names(spark, sf), " N1 ", 200).select("asn", "rank")
 
 
 @query("SELECT origin_asn, count(*) AS count4, 0 AS count6 FROM search_table GROUP BY origin_asn")
@@ -217,7 +217,7 @@ def origin_counts(spark, sf):
 def origin_prefixes(spark, sf):
     p, po = base.with_ids(spark, sf)
     t = S.search_table(p, po, rib.paths_per_prefix(rib.ranked_paths(po)))
-    return S.asn_prefixes(t).select("origin_asn", "pid", "n_paths", "ord")
+    return S.asn_prefixes(t, 400).select("origin_asn", "pid", "n_paths", "ord")
 
 
 @query("SELECT DISTINCT asn FROM (SELECT unnest(a) AS asn FROM arr_paths UNION ALL SELECT origin_asn FROM pfx)")

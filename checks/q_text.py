@@ -153,7 +153,7 @@ def as_set_members(spark, sf):
 
 @query("SELECT member, parent_key, row_number() OVER (PARTITION BY member ORDER BY parent_key) AS ord FROM (SELECT DISTINCT val AS member, set_key AS parent_key FROM set_edge)")
 def as_set_parents(spark, sf):
-    return AS.member_of(_sets(spark, sf)["as_memberof"])
+    return AS.member_of(_sets(spark, sf)["as_memberof"], k=500)
 
 
 @query("SELECT ord, kind, val FROM set_edge WHERE set_key = 'RIPE::AS-S20'")

@@ -8,9 +8,10 @@ sweep in address order (``covering.py``) needs one row for each block and addres
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import addr
+from . import ordered
 from .covering import deepest, enclosing
 
 
@@ -60,20 +61,18 @@ def longest_match(lookups: DataFrame, prefixes: DataFrame, carry: list[str], poi
     return lookups.join(best.withColumnRenamed("ip_start", point), ["family", point], "left")
 
 
-def parents(prefixes: DataFrame, k: int = 12) -> DataFrame:
-    """The ``k`` smallest other prefixes around each prefix, smallest first (column ``ord``)."""
+def parents(prefixes: DataFrame, k: int | None = None) -> DataFrame:
+    """All other prefixes around each prefix (or the ``k`` smallest), smallest first (column ``ord``)."""
     pairs = covering(prefixes.select("family", "ip_start", "plen", "pid"), prefixes, ["pid", "prefix"], strict=True)
-    w = Window.partitionBy("pid").orderBy(F.desc("b_plen"))
-    return (pairs.withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= k)
+    return (ordered.ranked(pairs, "pid", F.desc("b_plen"), k=k)
             .select("pid", "ord", F.col("b_pid").alias("parent_pid"), F.col("b_prefix").alias("parent_prefix"),
                     F.col("b_plen").alias("parent_plen")))
 
 
-def children(prefixes: DataFrame, k: int = 64) -> DataFrame:
-    """The first ``k`` prefixes inside each prefix in address order (shorter first at one address)."""
+def children(prefixes: DataFrame, k: int | None = None) -> DataFrame:
+    """All prefixes inside each prefix (or the first ``k``) in address order (shorter first at one address)."""
     pairs = covering(prefixes.select("family", "ip_start", "plen", "pid", "prefix"), prefixes, ["pid"], strict=True)
-    w = Window.partitionBy("b_pid").orderBy("ip_start", "plen")
-    return (pairs.withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= k)
+    return (ordered.ranked(pairs, "b_pid", "ip_start", "plen", k=k)
             .select(F.col("b_pid").alias("pid"), "ord", F.col("pid").alias("child_pid"),
                     F.col("prefix").alias("child_prefix"), F.col("plen").alias("child_plen")))
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import addr
 from ..functions.fixed import COUNTRY_OVERRIDE, GEO_PRIORITY
 from ..functions.text import literal_map
-from . import intervals as I
+from . import intervals as I, ordered
 
 PLACE = ["cc", "province", "city"]
 
@@ -97,12 +97,11 @@ def counts_by(df: DataFrame, *keys: str, least: int = 1) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
-def top_origins(tagged: DataFrame, k: int = 8) -> DataFrame:
-    """The ``k`` origins with most IPv4 prefixes per country (smaller ASN on ties)."""
+def top_origins(tagged: DataFrame, k: int | None = None) -> DataFrame:
+    """The origins per country (or the ``k`` largest) by their IPv4 prefixes, smaller ASN on ties."""
     v4 = tagged.where((F.col("family") == 4) & F.col("cc").isNotNull() & F.col("origin_asn").isNotNull())
     n = v4.groupBy("cc", "origin_asn").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("cc").orderBy(F.desc("n"), "origin_asn")
-    return n.withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= k)
+    return ordered.ranked(n, "cc", F.desc("n"), "origin_asn", k=k)
 
 
 def resolve_country(queries: DataFrame, countries: DataFrame, text: str = "text") -> DataFrame:

@@ -84,6 +84,13 @@ def scan(df: DataFrame, order: list, by: list[str], **wanted: tuple[str, Column]
     return out.drop(*local, *carry)
 
 
+def ranked(df: DataFrame, by: str | list[str], *order, k: int | None = None) -> DataFrame:
+    """Rows with their place ``ord`` in an order inside each group; with ``k`` the first so many of each, which Spark cuts before the shuffle."""
+    w = Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(*order)
+    out = df.withColumn("ord", F.row_number().over(w))
+    return out if k is None else out.where(F.col("ord") <= k)
+
+
 def number_rows(df: DataFrame, order: list[str], name: str = "pid", parts: int | None = None) -> DataFrame:
     """Consecutive numbers from 1 along a global order: a local row number plus the partition's offset."""
     pinned = pin(df, *order, parts=parts)

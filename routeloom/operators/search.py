@@ -7,9 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.paths import PathPattern, compile_pattern
-from . import containment
-
-NAME_CAP = 200
+from . import containment, ordered
 
 
 def search_table(prefixes: DataFrame, pathobs: DataFrame, per_prefix: DataFrame, statuses: DataFrame | None = None) -> DataFrame:
@@ -117,11 +115,11 @@ def subnet(prefixes: DataFrame, start, end, cc: str | None = None, city: str | N
     return df.orderBy(F.desc("plen"), "ip_start")
 
 
-def names_matching(names: DataFrame, query: str, cap: int = NAME_CAP) -> DataFrame:
+def names_matching(names: DataFrame, query: str, cap: int | None = None) -> DataFrame:
     """Networks whose name contains the text: whole name first, then at a word start, then inside.
 
-    ``names`` has (asn, name) with several names per network; the best rank counts. Returns up to ``cap``
-    rows with ``more``.
+    ``names`` has (asn, name) with several names per network; the best rank counts. With ``cap`` a report of so many
+    rows, and ``more`` tells whether others follow.
     """
     q = query.strip().lower()
     low = F.lower("name")
@@ -130,7 +128,7 @@ def names_matching(names: DataFrame, query: str, cap: int = NAME_CAP) -> DataFra
     rank = (F.when(low == q, 0).when((at == 1) | prior.rlike(r"[^a-zA-Z0-9_]"), 1).otherwise(2))
     hits = (names.where((F.lit(q) != "") & (F.col("asn") != 0) & F.col("name").isNotNull())
             .where(at > 0).groupBy("asn").agg(F.min(rank).alias("rank")))
-    return page(hits, [F.col("rank"), F.col("asn")], cap)
+    return hits.orderBy("rank", "asn").withColumn("more", F.lit(False)) if cap is None else page(hits, [F.col("rank"), F.col("asn")], cap)
 
 
 def asn_counts(table: DataFrame) -> DataFrame:
@@ -140,10 +138,9 @@ def asn_counts(table: DataFrame) -> DataFrame:
             .agg(F.count_if(~v6).alias("count4"), F.count_if(v6).alias("count6")))
 
 
-def asn_prefixes(table: DataFrame, k: int = 400) -> DataFrame:
-    """The ``k`` most visible prefixes per origin."""
-    w = Window.partitionBy("origin_asn").orderBy(F.desc("n_paths"), "pid")
-    return table.where(F.col("origin_asn").isNotNull()).withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= k)
+def asn_prefixes(table: DataFrame, k: int | None = None) -> DataFrame:
+    """The prefixes per origin (or the ``k`` most visible), most visible first."""
+    return ordered.ranked(table.where(F.col("origin_asn").isNotNull()), "origin_asn", F.desc("n_paths"), "pid", k=k)
 
 
 def export_rows(df: DataFrame, columns: list[str], order: list[Column], cap: int | None = None) -> DataFrame:
