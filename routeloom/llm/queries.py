@@ -86,4 +86,19 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spellings.variants(spellings.words(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_suffix_dedup, op3_ngram_jaccard, op4_license_scan, op5_multi_index_hashing, op6_log_bilinear, op7_temperature_mixing, op8_sentencepiece, op9_syncmer_fingerprints, op10_quality_ranking, op11_radix_dedup, op12_dual_tree_codes, op13_spelling_variants)}
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4 that SQL can express."""
+    return licenses.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op6."""
+    return bilinear.score(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens")
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edited texts of op9."""
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents")).select("doc_id", "n_chars", "edited_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_suffix_dedup, op3_ngram_jaccard, op4_license_scan, op5_multi_index_hashing, op6_log_bilinear, op7_temperature_mixing, op8_sentencepiece, op9_syncmer_fingerprints, op10_quality_ranking, op11_radix_dedup, op12_dual_tree_codes, op13_spelling_variants, license_base, token_counts, edited_texts)}
