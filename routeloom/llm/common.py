@@ -46,8 +46,9 @@ def flat(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Row ranges [i, j) whose texts hold at most ``most`` bytes together, or a single longer text."""
+def slices(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    """Row ranges [i, j) whose texts hold at most ``most`` bytes together, or a single longer text, which costs its readers
+    about 60 bytes a byte."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
