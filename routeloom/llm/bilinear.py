@@ -259,7 +259,7 @@ def fit(docs: DataFrame, counts: DataFrame, in_training: Column, fold: Column, r
 
         own = docs.where(in_training & (fold == r)).repartition(shards, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
         done = own.select("text").mapInArrow(train, "task int, weight bigint, params binary")
-        tasks = shards
+        tasks = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a step too many averages one row with itself
         while tasks > 1:
             done, tasks = _averaged(done), -(-tasks // FAN)
         got = done.orderBy("task").first()
