@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from routeloom.session import durable
+
 from .common import flat, fold_of, slices, texts
 
 #: Labelled rows that the ranking is fitted on at most, chosen by a hash of their id.
@@ -148,8 +150,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Ranki
             x = features(*flat(b.column("text")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "y", "x"])
 
-    found = picked.mapInArrow(rows, "doc_id bigint, y int, x binary")
-    got = found.orderBy(F.xxhash64("doc_id", "x"), "doc_id", "y", "x").limit(most).toPandas().sort_values(["doc_id", "y", "x"], kind="stable")
+    found = durable(picked.mapInArrow(rows, "doc_id bigint, y int, x binary"))
+    if found.count() > most:
+        found = durable(found.orderBy(F.xxhash64("doc_id", "x"), "doc_id", "y", "x").limit(most))
+    got = found.toPandas().sort_values(["doc_id", "y", "x"], kind="stable")
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), N_FEATURES)
     return fit(x, got["y"].to_numpy())
 
