@@ -186,6 +186,13 @@ def parse_whois(docs: DataFrame, key: str = "domain", text: str = "text", server
         return F.struct(x["kind"].alias("kind"), x["value"].alias("value"), x["follows"].alias("follows"), field.alias("field"),
                         F.coalesce(label.isin(WHOIS_NS_HEADERS), F.lit(False)).alias("header"))
 
+    dates = ["registration", "lastchanged", "expiration"]
+
+    def written(x: Column) -> Column:
+        # Both readings of a value, once per line: the fold below mentions the value often and only chooses between them.
+        dated = F.when(x["follows"] | x["field"].isin(dates), _trim(iso_date(x["value"])))
+        return F.struct(*[x[c].alias(c) for c in ("kind", "follows", "field", "header")], _trim(x["value"]).alias("value"), dated.alias("dated"))
+
     def step(acc: Column, x: Column) -> Column:
         field, header, follows, open_ = x["field"], x["header"], x["follows"], acc["open"]
         opens = (F.when(x["kind"] == "pair", F.when(field == "ns", "ns")).when(x["kind"] == "open", F.coalesce(field, F.when(header, "ns")))
@@ -194,8 +201,7 @@ def parse_whois(docs: DataFrame, key: str = "domain", text: str = "text", server
         inherited = F.when(open_ == "ns", "ns").when(open_.isNotNull() & (j == 1), open_).when(acc["ns"], "ns")
         later = header & (open_.isNull() | ((open_ != "ns") & (j > 1)))
         got = F.when(follows, inherited).when(x["kind"].isin("pair", "bracket"), field)
-        value = _trim(F.when(got.isin("registration", "lastchanged", "expiration"), iso_date(x["value"])).otherwise(x["value"]))
-        new = F.struct(got.alias("field"), value.alias("value"))
+        value = F.when(got.isin(dates), x["dated"]).otherwise(x["value"])
         keep = got.isNotNull() & (got != "ldhname") & (value != "") & ~value.rlike(WHOIS_HIDDEN_VALUE)
         seen = F.exists(acc["found"], lambda y: (y["field"] == got) & (y["value"] == value))
         return F.struct(
@@ -209,4 +215,5 @@ def parse_whois(docs: DataFrame, key: str = "domain", text: str = "text", server
     d = docs.select(*own, F.transform(lines, lambda x: F.struct(x["raw"].alias("raw"), x["line"].alias("line"), kind(x["line"]).alias("kind"))).alias("_l"))
     d = d.withColumn("_l", F.transform("_l", labelled))
     d = d.withColumn("_l", F.transform("_l", named))
+    d = d.withColumn("_l", F.transform("_l", written))
     return d.select(*own, F.inline(F.aggregate("_l", start, step)["found"]))
