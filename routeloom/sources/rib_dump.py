@@ -34,13 +34,15 @@ AS_PATH = 2
 STATUS = -1
 #: Bytes unpacked at a time, bytes of records in a batch, and the size from which a record's length must be damage.
 WINDOW, BATCH, LARGEST = 1 << 20, 4 << 20, 1 << 26
-#: Peers are broadcast up to this number.
-FEW_PEERS = 200_000
+#: Rows of small files that share a batch.
+ROWS = 10_000
+#: Peers are broadcast up to this number; a peer takes this many bytes of its table at least.
+FEW_PEERS, PEER_BYTES = 200_000, 11
 
 FRAME_SCHEMA = "collector string, file string, tbl int, seq bigint, family int, addpath boolean, body binary, problem string"
 ENTRY_SCHEMA = ("collector string, file string, tbl int, seq bigint, family int, plen int, hi bigint, lo bigint, "
                 "peer_index int, asns array<bigint>, path_cut boolean")
-PEER_SCHEMA = "file string, tbl int, peer_index int, peer_asn bigint, peer_ip string"
+PEER_SCHEMA = "file string, tbl int, peers array<struct<peer_asn:bigint,peer_ip:string>>"
 
 
 class Damaged(Exception):
@@ -103,6 +105,12 @@ def _records(pieces: Iterator[bytes]) -> Iterator[tuple[int, int, bytes]]:
 
 def cut(collector: str | None, file: str, stream: BinaryIO, families: frozenset[int], limit: int | None = None) -> Iterator[pa.RecordBatch]:
     """Records of one dump, then its status; default routes and unwanted families go before any decoding."""
+    for rows in _cut_rows(collector, file, stream, families, limit):
+        yield _frame_batch(rows)
+
+
+def _cut_rows(collector: str | None, file: str, stream: BinaryIO, families: frozenset[int], limit: int | None) -> Iterator[list[tuple]]:
+    """The rows of :func:`cut`, a list for each batch."""
     rows, weight, table, kept, seq, problem = [], 0, 0, 0, -1, None
     records = _records(_pieces(file, stream))
     while True:
@@ -121,12 +129,12 @@ def cut(collector: str | None, file: str, stream: BinaryIO, families: frozenset[
                 weight += len(body)
                 kept += 1
         if weight > BATCH:
-            yield _frame_batch(rows)
+            yield rows
             rows, weight = [], 0
         if limit is not None and kept >= limit:
             seq += 1
             break
-    yield _frame_batch(rows + [(collector, file, table, seq, STATUS, False, None, problem)])
+    yield rows + [(collector, file, table, seq, STATUS, False, None, problem)]
 
 
 def _frame_batch(rows):
@@ -179,25 +187,27 @@ class DumpSource(DataSource):
 
 def _as_path(attrs: bytes) -> tuple[list[int], bool]:
     """All ASNs of the AS_PATH attribute, segments in order, and whether it was cut short."""
-    view = io.BytesIO(attrs)
-    while len(head := view.read(3)) == 3:
-        flags, code, size = head
+    at, end = 0, len(attrs)
+    while end - at >= 3:
+        flags, code, size = attrs[at], attrs[at + 1], attrs[at + 2]
+        at += 3
         if flags & 0x10:
-            more = view.read(1)
-            if not more:
+            if at >= end:
                 break
-            size = size << 8 | more[0]
-        value = view.read(size)
+            size, at = size << 8 | attrs[at], at + 1
         if code != AS_PATH:
+            at += size
             continue
         asns: list[int] = []
-        seg = io.BytesIO(value)
-        while len(h := seg.read(2)) == 2:
-            raw = seg.read(4 * h[1])
-            whole = len(raw) // 4
-            asns += struct.unpack(f">{whole}I", raw[:4 * whole])
-            if whole < h[1]:
+        stop = min(end, at + size)
+        while stop - at >= 2:
+            hops = attrs[at + 1]
+            at += 2
+            whole = min(hops, (stop - at) // 4)
+            asns += struct.unpack_from(f">{whole}I", attrs, at)
+            if whole < hops:
                 return asns, True
+            at += 4 * hops
         return asns, False
     return [], False
 
@@ -212,9 +222,10 @@ def _decode_entries(batches):
     names = ["collector", "file", "tbl", "seq", "family", "plen", "hi", "lo", "peer_index", "asns", "path_cut"]
     for batch in batches:
         out = []
-        for r in batch.to_pylist():
-            body, plen = r["body"], r["body"][4]
-            width = 4 if r["family"] == 4 else 16
+        held = (batch.column(c).to_pylist() for c in ("collector", "file", "tbl", "seq", "family", "addpath", "body"))
+        for collector, file, tbl, seq, family, addpath, body in zip(*held):
+            plen = body[4]
+            width = 4 if family == 4 else 16
             used = (plen + 7) // 8
             net = int.from_bytes(body[5:5 + used].ljust(width, b"\0")[:width], "big")
             host = max(8 * width - plen, 0)
@@ -223,7 +234,7 @@ def _decode_entries(batches):
             at = 5 + used
             count = int.from_bytes(body[at:at + 2], "big")
             at += 2
-            skip = 8 if r["addpath"] else 4
+            skip = 8 if addpath else 4
             for _ in range(count):
                 size_at = at + 2 + skip
                 if size_at + 2 > len(body):
@@ -233,7 +244,7 @@ def _decode_entries(batches):
                 at = size_at + 2 + size
                 asns, cut = _as_path(body[size_at + 2:at])
                 if asns:
-                    out.append((r["collector"], r["file"], r["tbl"], r["seq"], r["family"], plen, hi, lo, peer, asns, cut))
+                    out.append((collector, file, tbl, seq, family, plen, hi, lo, peer, asns, cut))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
@@ -241,34 +252,45 @@ def _decode_entries(batches):
 def _decode_peers(batches):
     import socket
 
-    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
-    names = ["file", "tbl", "peer_index", "peer_asn", "peer_ip"]
+    kinds = [pa.string(), pa.int32(), pa.list_(pa.struct([("peer_asn", pa.int64()), ("peer_ip", pa.string())]))]
+    names = ["file", "tbl", "peers"]
     for batch in batches:
         out = []
-        for r in batch.to_pylist():
-            body = io.BytesIO(r["body"])
+        for file, tbl, packed in zip(*(batch.column(c).to_pylist() for c in ("file", "tbl", "body"))):
+            body, peers = io.BytesIO(packed), []
             body.read(4)
             body.read(int.from_bytes(body.read(2), "big"))
-            for i in range(int.from_bytes(body.read(2), "big")):
+            for _ in range(int.from_bytes(body.read(2), "big")):
                 flags = body.read(5)[0]
                 ip = socket.inet_ntop(socket.AF_INET6, body.read(16)) if flags & 1 else socket.inet_ntop(socket.AF_INET, body.read(4))
                 asn = int.from_bytes(body.read(4 if flags & 2 else 2), "big")
-                out.append((r["file"], r["tbl"], i, asn, ip))
+                peers.append({"peer_asn": asn, "peer_ip": ip})
+            out.append((file, tbl, peers))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
 
+def _cut_cells(batches: Iterator[pa.RecordBatch], families: frozenset[int], limit: int | None) -> Iterator[pa.RecordBatch]:
+    """Records of many dumps; small files share a batch."""
+    rows, weight = [], 0
+    for b in batches:
+        for collector, path, content in zip(*(c.to_pylist() for c in b.columns)):
+            for more in _cut_rows(collector, path, io.BytesIO(content), families, limit):
+                rows += more
+                weight += sum(len(r[6]) for r in more if r[6] is not None)
+                if weight > BATCH or len(rows) >= ROWS:
+                    yield _frame_batch(rows)
+                    rows, weight = [], 0
+    if rows:
+        yield _frame_batch(rows)
+
+
 def frames(files: DataFrame, family: int | None = None, limit: int | None = None) -> DataFrame:
     """Records of dumps that are held as cells (``path``, ``content``, optionally ``collector``); ``limit`` prefixes per file."""
     wanted = frozenset((4, 6) if family is None else (family,))
     named = files if "collector" in files.columns else files.withColumn("collector", F.lit(None).cast("string"))
 
-    def run(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                yield from cut(r["collector"], r["path"], io.BytesIO(r["content"]), wanted, limit)
-
-    return named.select("collector", "path", "content").mapInArrow(run, FRAME_SCHEMA)
+    return named.select("collector", "path", "content").mapInArrow(lambda batches: _cut_cells(batches, wanted, limit), FRAME_SCHEMA)
 
 
 def dump_frames(spark: SparkSession, dumps: dict[str, str | list[str]], family: int | None = None, limit: int | None = None) -> DataFrame:
@@ -312,14 +334,17 @@ def refuse_torn(framed: DataFrame) -> None:
 def entries_from_frames(framed: DataFrame) -> DataFrame:
     """RIB entries (one per prefix and peer) with collector and peer; a missing peer leaves NULLs.
 
-    Peers are a few hundred rows per file and are broadcast once a count has shown it. ``framed`` should be a written table,
-    as it is read for the peers and for the entries.
+    A file's peers are one row, a few hundred in an array; they are broadcast where the bytes of all peer tables show that they
+    are few. ``framed`` should be a written table, as it is read for the peers and for the entries.
     """
-    peers = framed.where(F.col("family") == 0).mapInArrow(_decode_peers, PEER_SCHEMA)
-    few = peers.limit(FEW_PEERS + 1).count() <= FEW_PEERS
+    held = framed.where(F.col("family") == 0)
+    peers = held.mapInArrow(_decode_peers, PEER_SCHEMA)
+    few = (held.agg(F.sum(F.length("body"))).first()[0] or 0) <= FEW_PEERS * PEER_BYTES
     raw = framed.where(F.col("family") > 0).mapInArrow(_decode_entries, ENTRY_SCHEMA)
     point = addr.wide(F.col("hi"), F.col("lo"))
-    return (raw.join(F.broadcast(peers) if few else peers, ["file", "tbl", "peer_index"], "left").withColumn("ip_start", point)
+    peer = F.get("peers", F.col("peer_index"))
+    return (raw.join(F.broadcast(peers) if few else peers, ["file", "tbl"], "left").withColumn("ip_start", point)
+            .withColumns({"peer_asn": peer["peer_asn"], "peer_ip": peer["peer_ip"]})
             .withColumn("ip_end", addr.WIDE.last("ip_start", "plen", "family"))
             .withColumn("prefix", addr.network_text("family", "ip_start", "plen"))
             .select("collector", "file", "seq", "family", "prefix", "plen", "ip_start", "ip_end", "peer_asn", "peer_ip", "asns", "path_cut"))
