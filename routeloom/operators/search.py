@@ -17,12 +17,17 @@ def search_table(prefixes: DataFrame, pathobs: DataFrame, per_prefix: DataFrame,
     search by path alone can return each prefix once.
     """
     pairs = pathobs.select("pid", "origin_asn").distinct()
+    # The codes come first: the blobs are then joined once a prefix, and are not shuffled again for each of its origins.
+    if statuses is not None:
+        pairs = pairs.join(statuses, ["pid", "origin_asn"], "left")
+    codes = [c for c in pairs.columns if c not in ("pid", "origin_asn")]
     head = prefixes.select("pid", "family", "prefix", "plen", F.col("origin_asn").alias("_rep"), "n_origins", "n_paths",
                            *[F.col(c) if c in prefixes.columns else F.lit(None).cast("string").alias(c)
                              for c in ("cc", "province", "city")])
     out = head.join(pairs, "pid").join(per_prefix.select("pid", "paths", "paths_blob", "best_path"), "pid", "left")
     if statuses is not None:
-        out = out.join(statuses, ["pid", "origin_asn"], "left")
+        rest = [c for c in out.columns if c not in ("pid", "origin_asn", *codes)]
+        out = out.select("pid", "origin_asn", *rest, *codes)
     else:
         out = out.withColumn("rpki", F.lit(0)).withColumn("irr", F.lit(0))
     return (out.withColumn("is_primary", F.col("origin_asn").eqNullSafe(F.col("_rep"))).drop("_rep")
