@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from routeloom.functions import paths as P, text as X
 from routeloom.operators import adjacency as A, geo as G, owners as OW, rib, search as S, validation as V
+from routeloom.session import durable
 from routeloom.sinks import publish as K
 
 from . import base, fixtures as fx
@@ -74,7 +75,7 @@ def as_relations(spark, sf):
   SELECT j.asn, j.neighbor, p.pid, p.path_str, p.a, p.path_len, unnest(range(1, len(p.a)+1)) AS k FROM adj j JOIN arr_paths p ON p.pid = j.ev_pid)
   WHERE a[k] = asn AND (a[k+1] = neighbor OR (k > 1 AND a[k-1] = neighbor))) WHERE r = 1""")
 def adjacency_evidence(spark, sf):
-    p = base.paths(spark, sf)
+    p = durable(base.paths(spark, sf).select("pid", "path_str", "path_arr", "path_len"))  # read for the pairs and for their evidence
     return A.evidence(A.adjacency(p), p)
 
 
