@@ -210,8 +210,8 @@ def delta_feed(spark, sf):
     feed = D.DeltaFeed(spark, scratch(spark))
     net = lambda c: addr.v4_text((F.lit(10 * 65536) + F.col(c)) * 256)
     text = lambda c: F.concat(F.lit("route: "), net(c), F.lit("/24\norigin: AS"), (F.col(c) + 65000).cast("string"), F.lit("\nsource: RADB"))
-    feed.publish(rpsl.routes(fx.table(spark, sf, "customer").select(text("c_custkey").alias("object")), "RADB"), -1)
-    e = fx.table(spark, sf, "events")
+    feed.publish(rpsl.routes(spread(fx.table(spark, sf, "customer").select("c_custkey")).select(text("c_custkey").alias("object")), "RADB"), -1)
+    e = spread(fx.table(spark, sf, "events").select("event_id", "event_type", "user_id"))
     op = F.when(F.col("event_type") == "error", "DEL ").otherwise("ADD ")
     texts = durable(e.select(F.concat(F.lit("%START\n\n"), op, F.col("event_id").cast("string"), F.lit("\n\n"), text("user_id"), F.lit("\n\n%END\n")).alias("text")))
     feed.apply_batch(texts)
@@ -249,7 +249,7 @@ def snapshot_refresh(spark, sf):
   UNION SELECT (10*65536 + c_custkey) * 256, 66000 + c_custkey FROM customer WHERE c_custkey % 7 = 0""")
 def delta_merged(spark, sf):
     """Feeds batch by batch over a base that no batch rewrites: deletions, additions, objects of other classes, a torn, a gapped and a replayed feed."""
-    c = fx.table(spark, sf, "customer").select("c_custkey")
+    c = spread(fx.table(spark, sf, "customer").select("c_custkey"))
     feed = D.DeltaFeed(spark, scratch(spark), fold_at=10.0)
     net = addr.v4_text((F.lit(10 * 65536) + F.col("c_custkey")) * 256)
     obj = lambda o: F.concat(F.lit("route: "), net, F.lit("/24\norigin: AS"), (F.col("c_custkey") + o).cast("string"), F.lit("\nsource: RADB"))
