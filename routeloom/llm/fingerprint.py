@@ -19,12 +19,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix, texts
+from .common import flat, mix, slices, texts
 
 #: An anchor is among every 2 k - s - 1 = 19 code points, so two texts with as many in common share one.
 K, S = 12, 4
 #: Rows of one id range at most, about; a range is streamed, so this bounds time and not memory.
 ROWS_PER_RANGE = 50_000
+#: Bytes of text whose anchors are found and compared at once, or one longer text.
+SLICE = 1 << 18
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _LOWEST = -(1 << 63)
 
@@ -36,12 +38,13 @@ def _powers() -> dict[int, np.uint64]:
 _POW = _powers()
 
 
-def anchors(text: str, k: int = K, s: int = S) -> np.ndarray:
-    """Anchor hashes (24 bits) in text order. ``s`` is a power of two, and s <= k <= 64."""
-    if not text:
-        return np.zeros(0, np.int64)
-    h = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+def anchors_of(many: list[str], k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
+    """Anchor hashes (24 bits) of all texts end to end, each in text order, and the n + 1 offsets into them. ``s`` is a power
+    of two, and s <= k <= 64."""
+    ends = np.concatenate((np.zeros(1, np.int64), np.cumsum([len(t) for t in many], dtype=np.int64)))
+    h = np.frombuffer("".join(many).encode("utf-32-le"), np.uint32).astype(np.uint64)
     n = len(h)
+    at, got = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if n >= k:
         h = mix(h + _MUL)
         at, width, inner, parts, done = h, 1, None, None, 0
@@ -66,43 +69,78 @@ def anchors(text: str, k: int = K, s: int = S) -> np.ndarray:
             low = np.minimum(low[:len(low) - (w - width)], low[w - width:])
         m = n - k + 1
         chosen = (low == inner[:m]) | (low == inner[w - 1:w - 1 + m])
-        got = parts[:m][chosen]
-        if len(got):
-            return (mix(got) >> np.uint64(40)).astype(np.int64)
-    return np.array([int.from_bytes(hashlib.blake2b(text.encode(), digest_size=3).digest(), "big")], np.int64)
+        # A k-mer never runs over the end of a text.
+        over = (ends[1:-1, None] - np.arange(1, k)).ravel()
+        chosen[over[(over >= 0) & (over < m)]] = False
+        at = np.flatnonzero(chosen)
+        got = parts[:m][at]
+    values, first = (mix(got) >> np.uint64(40)).astype(np.int64), np.searchsorted(at, ends)
+    bare = np.flatnonzero((np.diff(first) == 0) & (np.diff(ends) > 0))
+    if len(bare):
+        whole = [int.from_bytes(hashlib.blake2b(many[i].encode(), digest_size=3).digest(), "big") for i in bare.tolist()]
+        values = np.insert(values, first[bare], whole)
+        first = first + np.searchsorted(bare, np.arange(len(first)))
+    return values, first
+
+
+def anchors(text: str, k: int = K, s: int = S) -> np.ndarray:
+    """Anchor hashes of one text."""
+    return anchors_of([text], k, s)[0]
 
 
 def digits(a: np.ndarray) -> str:
-    return a.astype(">u4").tobytes().hex() if not len(a) else "".join(f"{x:06x}" for x in a.tolist())
+    """Six hex digits for each anchor."""
+    return a.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes().hex()
 
 
-def _numbered(a: np.ndarray) -> list[int]:
-    """Repeated anchors told apart by their occurrence."""
-    seen: dict[int, int] = {}
-    out = []
-    for x in a.tolist():
-        n = seen.get(x, 0)
-        seen[x] = n + 1
-        out.append(x | n << 24)
-    return out
+def _rising(places: list[int]) -> int:
+    """Length of the longest rising subsequence of distinct numbers."""
+    tails: list[int] = []
+    for p in places:
+        i = bisect_left(tails, p)
+        tails[i:i + 1] = [p]
+    return len(tails)
+
+
+def alike(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For each pair the share of anchors that can be matched in the same order: 2 * matched / (anchors of both). Of repeated
+    anchors the i-th on the one side goes with the i-th on the other."""
+    n = np.array([len(x) for p in pairs for x in p], np.int64)
+    both = n[0::2] + n[1::2]
+    if not both.any():
+        return np.ones(len(pairs))
+    # All anchors of all pairs end to end, the left side of a pair before its right side; sorted by anchor, then place.
+    values = np.concatenate([x for p in pairs for x in p])
+    run = np.repeat(np.arange(len(n)), n)
+    bits = len(values).bit_length()
+    key = np.sort(values << bits | np.arange(len(values)))
+    place, value = key & ((1 << bits) - 1), key >> bits
+    pair = run[place] >> 1
+    start = np.flatnonzero(np.concatenate(([True], (value[1:] != value[:-1]) | (pair[1:] != pair[:-1]))))
+    size = np.diff(np.append(start, len(values)))
+    right = np.add.reduceat(run[place] & 1, start)
+    count = np.minimum(right, size - right)
+    within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    to = np.full(len(values), -1)
+    to[place[np.repeat(start, count) + within]] = place[np.repeat(start + size - right, count) + within]
+    left = np.flatnonzero(to >= 0)
+    to = to[left]
+    if not len(to):
+        return (both == 0).astype(np.float64)
+    # Where all places before are smaller than all after, a new block begins; what rises in the blocks adds up.
+    top, low = np.maximum.accumulate(to), np.minimum.accumulate(to[::-1])[::-1]
+    first = np.flatnonzero(np.concatenate(([True], top[:-1] < low[1:])))
+    size = np.diff(np.append(first, len(to)))
+    rising = np.ones(len(first), np.int64)
+    for i in np.flatnonzero(size > 1).tolist():
+        rising[i] = _rising(to[first[i]:first[i] + size[i]].tolist())
+    matched = np.bincount(run[left[first]] >> 1, rising, len(pairs))
+    return np.where(both == 0, 1.0, 2 * matched / np.maximum(both, 1))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of anchors that can be matched in the same order: 2 * matched / (anchors of both)."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    if not len(np.intersect1d(a, b)):
-        return 0.0
-    if np.array_equal(a, b):
-        return 1.0
-    place = {x: i for i, x in enumerate(_numbered(b))}
-    tails: list[int] = []
-    for x in _numbered(a):
-        p = place.get(x)
-        if p is not None:
-            i = bisect_left(tails, p)
-            tails[i:i + 1] = [p]
-    return 2 * len(tails) / (len(a) + len(b))
+    """Share of the anchors of two texts that can be matched in the same order."""
+    return float(alike([(a, b)])[0])
 
 
 def _ranges(ids: DataFrame) -> list[int]:
@@ -144,23 +182,27 @@ def fingerprints(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
     """One row per input row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_anchors."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_anchors"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
+        before: list[tuple] = []  # the last row so far, whose next one is still to come
         for b in batches:
-            out = []
-            for doc_id, no_id, text, part, carry in zip(*(b.column(c).to_pylist() for c in ("doc_id", "no_id", "text", "part", "carry"))):
-                own = anchors(text, k, s)
-                if before is not None and before[3] == part:
-                    out.append(finish(before, text, own))
-                before = None if carry else (None if no_id else doc_id, text, own, part)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds], names=names)
-
-    def finish(row: tuple, following: str, next_anchors: np.ndarray) -> tuple:
-        doc_id, text, own, _ = row
-        half = len(text) // 2
-        edited = text[:len(text) - half] + following[:half]
-        changed = anchors(edited, k, s)
-        return (doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), digits(own), digits(changed), likeness(own, changed), likeness(own, next_anchors), len(own))
-
+            for i, j in slices(flat(b.column("text"))[1], SLICE):
+                doc_id, no_id, many, part, carry = (b.column(c).slice(i, j - i).to_pylist() for c in ("doc_id", "no_id", "text", "part", "carry"))
+                values, first = anchors_of(many, k, s)
+                own = [values[x:y] for x, y in zip(first, first[1:])]
+                ids = [None if none else x for x, none in zip(doc_id, no_id)]
+                seen = before + list(zip(ids, many, own, part, carry))
+                yield finish([(x, y) for x, y in zip(seen, seen[1:]) if not x[4] and x[3] == y[3]])
+                # A copy: the row must not hold the anchors of its whole slice.
+                before = [(*seen[-1][:2], seen[-1][2].copy(), *seen[-1][3:])]
+
+    def finish(pairs: list[tuple[tuple, tuple]]) -> pa.RecordBatch:
+        edited = [t[:len(t) - len(t) // 2] + following[:len(t) // 2] for (_, t, *_), (_, following, *_) in pairs]
+        values, first = anchors_of(edited, k, s)
+        changed = [values[x:y] for x, y in zip(first, first[1:])]
+        own = [x[2] for x, _ in pairs]
+        columns = [[x[0] for x, _ in pairs], [len(x[1]) for x, _ in pairs], [hashlib.sha256(t.encode()).hexdigest() for t in edited], [digits(a) for a in own], [digits(a) for a in changed],
+                   alike(list(zip(own, changed))), alike([(x[2], y[2]) for x, y in pairs]), [len(a) for a in own]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_anchors"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
     return neighbours(docs).mapInArrow(rows, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_anchors bigint")

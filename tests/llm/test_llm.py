@@ -553,6 +553,61 @@ def test_likeness():
     assert fingerprint.likeness(a, a) == 1 and fingerprint.likeness(a, a[:0]) == 0 and fingerprint.likeness(a[:0], a[:0]) == 1
 
 
+def matched_plainly(a, b):
+    """Likeness by its definition: occurrences numbered on both sides, the longest rising subsequence by patience."""
+    number = lambda xs: [(x, xs[:i].count(x)) for i, x in enumerate(xs)]
+    place = {x: i for i, x in enumerate(number(b))}
+    piles = []
+    for p in (place[x] for x in number(a) if x in place):
+        i = next((i for i, top in enumerate(piles) if top >= p), len(piles))
+        piles[i:i + 1] = [p]
+    return 2 * len(piles) / (len(a) + len(b)) if a and b else float(len(a) == len(b))
+
+
+def test_anchors_and_likeness_of_many_texts_equal_those_of_each():
+    rng = random.Random(5)
+    many = ["", "", "a", "abc " * 60, "é😀" * 40] + ["".join(rng.choice(letters) for _ in range(rng.choice([0, 3, 11, 12, 13, 40, 200]))) for letters in ("ab", "abcdé 😀", "abcdefghij ") for _ in range(60)] + [""]
+    values, first = fingerprint.anchors_of(many)
+    own = [values[x:y].tolist() for x, y in zip(first, first[1:])]
+    assert len(own) == len(many) and own == [fingerprint.anchors(t).tolist() for t in many] and all(map(lambda t, a: bool(t) == bool(a), many, own))
+    pairs = [(rng.choice(own), rng.choice(own)) for _ in range(300)] + list(zip(own, own[1:])) + [(a, a[len(a) // 2:] + a[:len(a) // 2]) for a in own]
+    got = fingerprint.alike([(np.array(a, np.int64), np.array(b, np.int64)) for a, b in pairs])
+    assert got.tolist() == [matched_plainly(a, b) for a, b in pairs]
+    assert fingerprint.alike([]).tolist() == []
+
+
+def test_likeness_takes_no_step_for_each_anchor_that_stayed_in_place(monkeypatch):
+    rng = random.Random(6)
+    t, other = ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(20_000)) for _ in range(2))
+    a, b = fingerprint.anchors(t), fingerprint.anchors(t[:10_000] + other[:10_000])
+    steps = []
+    real = fingerprint.bisect_left
+    monkeypatch.setattr(fingerprint, "bisect_left", lambda *x: steps.append(1) or real(*x))
+    assert 0.4 < fingerprint.likeness(a, b) < 0.6 and len(a) > 4000 and len(steps) < 100
+
+
+def test_fingerprints_over_many_slices_and_batches(spark):
+    """Texts of several slices, one longer than a slice, and batches of three rows: each row meets its next one."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgé") for _ in range(5)) for _ in range(300)]
+    texts = {i: " ".join(rng.choice(words) for _ in range(rng.choice([0, 2, 900]))) for i in range(40)} | {40: "long " + " ".join(rng.choice(words) for _ in range(60_000))}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {r["doc_id"]: r for r in fingerprint.fingerprints(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(got) == len(texts) and len(texts[40].encode()) > fingerprint.SLICE
+    for i, t in texts.items():
+        following, half, r = texts[(i - 1) % 41], len(t) // 2, got[i]
+        edited = t[:len(t) - half] + following[:half]
+        a, b, c = (fingerprint.anchors(x) for x in (t, edited, following))
+        assert (r["n_chars"], r["edited_sha256"], r["n_anchors"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), len(a))
+        assert (r["fingerprint"], r["edited_fingerprint"]) == tuple("".join(f"{x:06x}" for x in xs.tolist()) for xs in (a, b))
+        assert (r["near_edited"], r["near_next"]) == (fingerprint.likeness(a, b), fingerprint.likeness(a, c))
+
+
 # ------------------------------------------------------------------ quality
 
 def test_quality_on_held_out_labels(spark):
