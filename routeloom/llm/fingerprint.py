@@ -175,7 +175,8 @@ def neighbours(docs: DataFrame) -> DataFrame:
     wanted = spark.createDataFrame(follow, "doc_id bigint, part int")
     carried = d.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "part").agg(F.min("text").alias("text"))
     d = d.unionByName(carried.select("doc_id", F.lit(False).alias("no_id"), "text", "part", F.lit(1).alias("carry")))
-    return d.repartition(len(heads), "part").sortWithinPartitions("part", "carry", F.desc("doc_id"), "text")
+    # One task for each range: by a hash of the number, several ranges would fall to one task and none to others.
+    return d.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "carry", F.desc("doc_id"), "text")
 
 
 def fingerprints(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:

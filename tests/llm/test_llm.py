@@ -586,6 +586,17 @@ def test_likeness_takes_no_step_for_each_anchor_that_stayed_in_place(monkeypatch
     assert 0.4 < fingerprint.likeness(a, b) < 0.6 and len(a) > 4000 and len(steps) < 100
 
 
+def test_each_range_of_ids_has_a_task_of_its_own(spark):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        tasks = fingerprint.neighbours(docs).withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.countDistinct("part").alias("parts"), F.count("*").alias("n")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+    assert len(tasks) >= 15 and all(t["parts"] == 1 and t["n"] < 350 for t in tasks) and sum(t["n"] for t in tasks) == 4000 + len(tasks)
+
+
 def test_fingerprints_over_many_slices_and_batches(spark):
     """Texts of several slices, one longer than a slice, and batches of three rows: each row meets its next one."""
     rng = random.Random(8)
