@@ -310,8 +310,10 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
     c = F.coalesce("c", F.lit(0))
     known = c > 0
     inner = F.when(known, F.log10(F.greatest(c - t.discount, F.lit(1e-9)) / max(t.rest, 1))).otherwise(F.lit(float(np.log10(max(t.unseen(), 1e-12)))))
+    # Sums of decimals, which unlike those of doubles do not depend on the order in which rows arrive.
+    exact = lambda x: F.sum((F.col("times") * x).cast("decimal(38,18)")).cast("double")
     more = each.join(counts, "token", "left").groupBy("row").agg(
-        F.sum(F.when(known, F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(below))).alias("base_more"), F.sum(F.col("times") * inner).alias("p_more"))
+        F.sum(F.when(known, F.col("times")).otherwise(0)).alias("known"), exact(F.log10((c + 0.5) / F.lit(below))).alias("base_more"), exact(inner).alias("p_more"))
     out = first.drop("rare").join(more, "row", "left")
     zero = F.lit(0)
     return out.select("doc_id", (fold == held).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("known", zero)).alias("n_known"), F.lit(t.n).cast("bigint").alias("train_tokens"),
