@@ -102,3 +102,22 @@ def test_folds_of_wide_tables_hash_and_do_not_sort(spark):
     assert got == {"10.0.0.0/8": (7, 2, 3, 3, 8), "2001:db8::/32": (0, 2, 3, 2, 32)}
     lone = e.where("collector = 'a'")
     assert {r.prefix: r.origin_asn for r in rib.prefix_dimension(rib.distinct_paths(lone)).collect()} == {"10.0.0.0/8": 7, "2001:db8::/32": 4294967295}
+
+
+def test_odd_networks_read_as_the_library_reads_them(spark):
+    good = ["::", "::/0", "1::", "::1", "1:2:3:4:5:6:7:8", "2001:DB8::/32", "2001:db8:ffff::1/33", "::ffff:1.2.3.4/120", "1:0:0:2::3/64", "0.0.0.0/0", "10.255.199.249/31", "255.255.255.255"]
+    bad = ["", ":", ":::", "1::2::3", ":1::2", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "1::2:3:4:5:6:7:8:9", "12345::", "g::", "::1.2.3.256", "::1.2::3", "::/129", "10.0.0.0/33", "256.0.0.0", "01.0.0.0", "10.0.0", None]
+    d = spark.createDataFrame([(t,) for t in good + bad], "t string").withColumn("b", addr.cidr_bounds("t")).select("t", "b", addr.wide_hex("b.ip_start").alias("s"), addr.wide_hex("b.ip_end").alias("e"), addr.network_text("b.family", "b.ip_start", "b.plen").alias("n"))
+    got = {r.t: r for r in d.collect()}
+    assert all(got[t].b is None for t in bad)
+    for t in good:
+        n = ipaddress.ip_network(t, strict=False)
+        assert (got[t].b.family, got[t].b.plen, int(got[t].s, 16), int(got[t].e, 16)) == (n.version, n.prefixlen, int(n[0]), int(n[-1])), t
+        assert n.version == 4 or got[t].n == str(ipaddress.IPv6Address(int(n[0]))).replace("::ffff:1.2.3.0", "::ffff:102:300") + f"/{n.prefixlen}"
+
+
+def test_cidr_texts_are_written_without_patterns_and_masks_mention_their_length_little(spark):
+    d = spark.createDataFrame([(6, "0" * 32, "f" * 32)], "family int, a string, b string")
+    plan = lambda c: d.select(c)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan(addr.wide_cidrs("family", addr.wide_from_hex("a"), addr.wide_from_hex("b")))
+    assert "least(" not in plan(addr.cidr_bounds("a"))
