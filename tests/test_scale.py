@@ -86,3 +86,14 @@ def test_search_table_joins_codes_before_the_blobs(spark):
     lines = [x for x in plan.splitlines() if "Join" in x]
     # The join with the blobs is the uppermost one.
     assert "pid" in lines[0] and "origin_asn" not in lines[0].split("Join")[1]
+
+
+def test_columns_that_follow_from_others_are_written_and_not_shuffled(spark, tmp_path):
+    rows = durable(spark.range(4000).select("id", F.array(*[F.concat(F.lit(" "), F.md5((F.col("id") * 7 + i).cast("string").cast("binary")), F.lit(" ")) for i in range(9)]).alias("paths"))
+                   .withColumns({"paths_blob": F.array_join("paths", "|"), "best_path": F.get("paths", F.lit(0)), "n": F.col("id") % 3}))
+    rows = rows.unionByName(spark.createDataFrame([(-1, None, None, None, 0), (-2, [], "", None, 0)], rows.schema))
+    out = str(tmp_path / "out")
+    K.write_sorted(rows, out, ["n", "id"], parts=3, derived=S.follow_from_paths())
+    back = spark.read.parquet(out)
+    assert back.columns == rows.columns and back.count() == 4002 and rows.exceptAll(back).count() == 0 and back.exceptAll(rows).count() == 0
+    assert all(".zstd." in f for f in back.inputFiles())
